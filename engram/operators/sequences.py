@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from engram.functions.blocks import (BLOCK_FRAMES, block_window, core, frame_block, run_bounds,
+from engram.functions import kernels as K
+from engram.functions.blocks import (block_window, core, frame_block, run_bounds,
                                      sequence, with_halo)
 from engram.functions.exprs import col, ratio
 from engram.functions.quantiles import exact_quantile
@@ -61,40 +59,16 @@ def speed_box(df: DataFrame, keys: list[str], frame: str, x: str, y: str, width:
     return rolling_box(step, keys, frame, "_v", width, out).drop("_v", "_sx", "_sy")
 
 
-def savgol_weights(width: int, order: int) -> list[float]:
-    """Least-squares smoothing weights of a centred window; a fixed short list."""
-    if width % 2 == 0:
-        width += 1
-    k = np.arange(width) - width // 2
-    basis = np.vander(k, order + 1, increasing=True)
-    return [float(v) for v in np.linalg.pinv(basis)[0]]
-
-
-def weighted_window(df: DataFrame, keys: list[str], frame: str, value: str, weights: list[float], out: str) -> DataFrame:
-    """Centred weighted sum with literal weights, renormalised over the frames present at the ends."""
-    h = len(weights) // 2
-    w = block_window(keys, frame)
-    halo = with_halo(df, frame, h, h)
-    # One window of bounded size gathers the neighbourhood, one expression weighs it.
-    near = F.collect_list(F.struct((F.col(frame)).alias("f"), F.col(value).cast("double").alias("v"))).over(w.rangeBetween(-h, h))
-    wts = F.array(*[F.lit(x) for x in weights])
-    pick = lambda s, f: F.element_at(wts, (s["f"] - f + h + 1).cast("int"))
-    acc = F.aggregate(near, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")),
-                      lambda t, s: F.struct((t["a"] + pick(s, F.col(frame)) * s["v"]).alias("a"),
-                                            (t["b"] + pick(s, F.col(frame))).alias("b")))
-    return core(halo.withColumn("_acc", acc).withColumn(out, ratio("_acc.a", "_acc.b")).drop("_acc"))
-
-
 def velocity_savgol(df: DataFrame, keys: list[str], frame: str, x: str, y: str, fps: int, min_vel: float) -> DataFrame:
     """Savitzky-Golay smoothed speed (order 2, about one second); slow frames are dropped."""
     v = speed(df, keys, frame, x, y, 1.0 / fps, out="_raw")
-    sm = weighted_window(v, keys, frame, "_raw", savgol_weights(fps, 2), "velocity").drop("_raw")
+    sm = K.convolve(v, keys, frame, "_raw", K.savgol(fps, 2), "velocity", renormalise=True).drop("_raw")
     return sm.filter(F.col("velocity") >= min_vel)
 
 
 def mobile_smooth(df: DataFrame, keys: list[str], frame: str, value: str, threshold: float = 5.0,
                   width: int = 21, order: int = 4) -> DataFrame:
-    sm = weighted_window(df, keys, frame, value, savgol_weights(width, order), "_sm")
+    sm = K.convolve(df, keys, frame, value, K.savgol(width, order), "_sm", renormalise=True)
     return sm.withColumn("mobile", F.col("_sm") > threshold).drop("_sm")
 
 
@@ -208,7 +182,6 @@ def scale_events(df: DataFrame, keys: list[str], frame: str, on: Column, scale:
     """
     runs = run_bounds(df, keys, [frame], frame_block(frame), on, frame)
     cum = sequence(runs, keys, [frame], frame_block(frame), cumsum={"_c": scale})
-    reach = buffer + 1
     # The running sum at the end of the reach is looked up by frame; a run at the end of the trace stops there.
     last = df.groupBy(*keys).agg(F.max(frame).alias("_f1"), F.min(frame).alias("_f0"))
     starts = cum.filter(F.col("state") & F.col("is_start")).join(last, keys)
@@ -219,7 +192,6 @@ def scale_events(df: DataFrame, keys: list[str], frame: str, on: Column, scale:
                         F.least(F.col("run_end") + buffer - 1, F.col("_f1")).alias("_at"), F.col("run_start").alias("_bf"))
           .join(at, [*keys, "_at"]).join(before, [*keys, "_bf"], "left")
           .select(*keys, "run_start", "run_end", (F.col("_to") - F.coalesce("_from", F.lit(0.0))).alias("amplitude")))
-    del reach
     return ev.select(*keys, F.col("run_start").alias("start"), F.col("run_end").alias("end"),
                      F.when(F.col("amplitude") >= min_amplitude, F.col("amplitude")).otherwise(0.0).alias(out))
 
@@ -328,6 +300,25 @@ def dlc_short_segments(df: DataFrame, keys: list[str], frame: str, x: str, y: st
     return core(med).withColumns({x: F.coalesce(x, "_mx"), y: F.coalesce(y, "_my")}).drop("_mx", "_my")
 
 
+def global_std(df: DataFrame, keys: list[str], cell: list[str], value: str, width: float = 0.5, count: int = 200) -> DataFrame:
+    """First histogram edge at which half of the cells (with any variation) are covered."""
+    from engram.functions.exprs import histogram_bin
+    sd = df.groupBy(*keys, *cell).agg(F.stddev_pop(value).alias("_sd")).filter("_sd > 0")
+    h = (sd.withColumn("bin", histogram_bin("_sd", 0.0, width, count)).filter("bin is not null")
+           .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_c")))
+    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
+    upto = F.sum("_c").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+    total = F.sum("_c").over(w)
+    hit = h.withColumn("_share", upto / total).filter("_share >= 0.5")
+    return hit.groupBy(*keys).agg((F.min("bin") * F.lit(width)).alias("global_std"))
+
+
+def trace_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Signal to noise (mean over sd, 0 without variation) and skewness."""
+    sd = F.stddev_pop(value)
+    return df.groupBy(*keys).agg(F.when(sd > 0, F.avg(value) / sd).otherwise(0.0).alias("snr"), F.skewness(value).alias("skew"))
+
+
 def dense_ids(df: DataFrame, label: str, out: str = "dense_id") -> DataFrame:
     """Relabel 0..n-1; only the distinct labels are ranked."""
     ids = df.select(label).distinct().withColumn(out, (F.dense_rank().over(W.partitionBy(F.lit(1)).orderBy(label)) - 1))

@@ -4,7 +4,7 @@ import importlib
 
 from engram.plans.registry import ORACLE, QUERIES
 
-for _name in ("q_scalar", "q_maps"):
+for _name in ("q_scalar", "q_maps", "q_sequences"):
     importlib.import_module(f"engram.plans.{_name}")
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def _inc_beta(a, b, x, terms: int = 300):
@@ -52,6 +52,10 @@ def pearson_p(r: np.ndarray, n: np.ndarray) -> np.ndarray:
     return p
 
 
-@F.pandas_udf("double")
-def pearson_pvalue(r: pd.Series, n: pd.Series) -> pd.Series:
+def _batch(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(pearson_p(r.to_numpy(dtype=float, na_value=np.nan), n.to_numpy(dtype=float)))
+
+
+def pearson_pvalue(r, n):
+    """Column with the p-value of r over n points."""
+    return F.pandas_udf(_batch, T.DoubleType())(r, n)

@@ -33,6 +33,20 @@ def conv_sql(name, weights, first, renorm, src="traces", key="cell_id", value="f
         JOIN {src} s ON s.{key} = t.{key} AND s.frame = t.frame + k.lag GROUP BY 1, 2)"""
 
 
+def conv_list_sql(name, weights, first, renorm, src="traces", value="f"):
+    """The same on dense traces: a dot product of the kernel with a slice of the padded trace."""
+    n, last = len(weights), first + len(weights) - 1
+    pad0, pad1 = max(0, -first), max(0, last)
+    zeros = lambda k: f"list_resize(CAST([] AS DOUBLE[]), {k}, 0.0)"
+    lo = f"(frame + 1 + {pad0 + first})"
+    wl = "[" + ", ".join(f"{v!r}::DOUBLE" for v in weights) + "]"
+    dot = lambda a: f"list_dot_product({a}[{lo}:{lo} + {n - 1}], {wl})"
+    div = f" / {dot('ones')}" if renorm else ""
+    return f"""{name}_a AS (SELECT cell_id, list_concat(list_concat({zeros(pad0)}, list({value}::DOUBLE ORDER BY frame)), {zeros(pad1)}) AS arr,
+        list_concat(list_concat({zeros(pad0)}, list(1.0::DOUBLE ORDER BY frame)), {zeros(pad1)}) AS ones FROM {src} GROUP BY 1),
+    {name} AS (SELECT cell_id, frame, {dot('arr')}{div} AS {name} FROM {src} JOIN {name}_a USING (cell_id))"""
+
+
 STEP = """st AS (SELECT session, frame, x, y, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) / 0.05 AS s
     FROM track WINDOW w AS (PARTITION BY session ORDER BY frame)),
     sp AS (SELECT session, frame, x, y, coalesce(s, lead(s) OVER (PARTITION BY session ORDER BY frame)) AS v FROM st)"""
@@ -343,29 +357,28 @@ _EP = K.zero_phase(K.band_pass_ir(500.0, 6000.0, 30000.0, 2))
 _EX = [math.exp(-k / 20.0) for k in range(100)]
 
 
-@query("lowpass", with_views("traces", kernel_sql(_LP, -(len(_LP) // 2)), conv_sql("low", _LP, 0, True), "SELECT cell_id, frame, round(low, 6) + 0.0 AS low FROM low"))
+@query("lowpass", with_views("traces", conv_list_sql("low", _LP, -(len(_LP) // 2), True), "SELECT cell_id, frame, round(low, 6) + 0.0 AS low FROM low"))
 def lowpass(spark, d):
     return G.lowpass(S.traces(spark, d), CELL, "frame", "f", 1.0, 30.0).select("cell_id", "frame", r("low").alias("low"))
 
 
-@query("highpass", with_views("traces", kernel_sql(_LP, -(len(_LP) // 2)), conv_sql("low", _LP, 0, True),
+@query("highpass", with_views("traces", conv_list_sql("low", _LP, -(len(_LP) // 2), True),
     "SELECT cell_id, frame, round(f - low, 6) + 0.0 AS high FROM low JOIN traces USING (cell_id, frame)"))
 def highpass(spark, d):
     return G.highpass(S.traces(spark, d), CELL, "frame", "f", 1.0, 30.0).select("cell_id", "frame", r("high").alias("high"))
 
 
-@query("bandpass", with_views("traces", kernel_sql(_BP[::-1], -(len(_BP) - 1)), conv_sql("band", _BP, 0, False), "SELECT cell_id, frame, round(band, 6) + 0.0 AS band FROM band"))
+@query("bandpass", with_views("traces", conv_list_sql("band", _BP[::-1], -(len(_BP) - 1), False), "SELECT cell_id, frame, round(band, 6) + 0.0 AS band FROM band"))
 def bandpass(spark, d):
     return G.bandpass(S.traces(spark, d), CELL, "frame", "f", 0.5, 2.0, 30.0).select("cell_id", "frame", r("band").alias("band"))
 
 
-@query("ephys_bandpass", with_views("traces", kernel_sql(_EP, -(len(_EP) // 2)), conv_sql("band", _EP, 0, False), "SELECT cell_id, frame, round(band, 6) + 0.0 AS band FROM band"))
+@query("ephys_bandpass", with_views("traces", conv_list_sql("band", _EP, -(len(_EP) // 2), False), "SELECT cell_id, frame, round(band, 6) + 0.0 AS band FROM band"))
 def ephys_bandpass(spark, d):
     return G.ephys_bandpass(S.traces(spark, d), CELL, "frame", "f", 500.0, 6000.0, 30000.0).select("cell_id", "frame", r("band").alias("band"))
 
 
-@query("exp_smooth", with_views("traces", kernel_sql(_EX[::-1], -99), conv_sql("ex", _EX, 0, False),
-    kernel_sql(_LP, -(len(_LP) // 2)).replace("k(lag, w)", "k2(lag, w)"), conv_sql("low", _LP, 0, True, "ex", "cell_id", "ex").replace("CROSS JOIN k", "CROSS JOIN k2 k"),
+@query("exp_smooth", with_views("traces", conv_list_sql("ex", _EX[::-1], -99, False), conv_list_sql("low", _LP, -(len(_LP) // 2), True, "ex", "ex"),
     "SELECT cell_id, frame, round(low, 6) + 0.0 AS smooth FROM low"))
 def exp_smooth(spark, d):
     return G.exp_smooth(S.traces(spark, d), CELL, "frame", "f", 100, 20.0, 1.0, 30.0).select("cell_id", "frame", r("smooth").alias("smooth"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from engram.functions.blocks import frame_block, sequence
+from engram.functions.exprs import ratio
+from engram.functions.quantiles import exact_quantile
+from engram.session import cut_lineage
 
 
 def state_steps(df: DataFrame, frame: str, vec: str) -> DataFrame:
@@ -12,3 +17,269 @@ def state_steps(df: DataFrame, frame: str, vec: str) -> DataFrame:
     s = sequence(df, [], [frame], frame_block(frame), lag={"_p": vec})
     sq = F.aggregate(F.zip_with(vec, "_p", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
     return s.withColumn("step", F.sqrt(sq)).drop("_p")
+
+
+def position_state_mean(states: DataFrame, position: str, dim: str, value: str) -> DataFrame:
+    """Median and sd of the state per position and dimension."""
+    med = exact_quantile(states, [position, dim], value, 0.5, "median")
+    sd = states.groupBy(position, dim).agg(F.stddev_pop(value).alias("sd"))
+    return med.join(sd, [position, dim])
+
+
+def as_vectors(long: DataFrame, keys: list[str], dim: str, value: str, out: str = "vec") -> DataFrame:
+    """Long rows to one array per key, ordered by dimension; the length is the number of dimensions."""
+    return (long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(dim, value))).alias("_v"))
+                .withColumn(out, F.transform("_v", lambda s: s[value])).drop("_v"))
+
+
+CHUNK = 4096   # centroids held by one pass
+
+
+def nearest_centroid(states: DataFrame, vec: str, centroids: DataFrame, label: str, cvec: str) -> DataFrame:
+    """Closest centroid in L1 (tie: smallest label), adding ``nearest`` and ``distance``.
+
+    Centroids go to the tasks in chunks of bounded size; further chunks are further passes over
+    the same partitions, without a shuffle and without pairing rows.
+    """
+    n = centroids.count()
+    chunks = max(1, -(-n // CHUNK))
+    label_type = centroids.schema[label].dataType
+    out = states.withColumn("nearest", F.lit(None).cast(label_type)).withColumn("distance", F.lit(None).cast("double"))
+    schema = out.schema
+    for i in range(chunks):
+        part = centroids.filter(F.pmod(F.xxhash64(label), F.lit(chunks)) == i) if chunks > 1 else centroids
+        rows = sorted((r[0], r[1]) for r in part.select(label, cvec).collect())
+        names = np.array([r[0] for r in rows])
+        grid = np.array([r[1] for r in rows], dtype=float)
+
+        def run(batches, names=names, grid=grid):
+            for pdf in batches:
+                if len(pdf) and len(grid):
+                    x = np.stack(pdf[vec].to_numpy())
+                    best, at = np.full(len(x), np.inf), np.zeros(len(x), int)
+                    for j, c in enumerate(grid):
+                        dist = np.abs(x - c).sum(1)
+                        closer = dist < best
+                        best[closer], at[closer] = dist[closer], j
+                    old = pdf["distance"].to_numpy(dtype=float)
+                    # Equal distances from another chunk go to the smaller label.
+                    tie = (best == old) & (names[at] < pdf["nearest"].fillna(names.max()).to_numpy())
+                    better = ~(old <= best) | tie
+                    pdf["nearest"] = np.where(better, names[at], pdf["nearest"].fillna(0)).astype(names.dtype)
+                    pdf["distance"] = np.where(better, best, old)
+                yield pdf
+
+        out = out.mapInPandas(run, schema)
+    return out
+
+
+def transition_matrix(located: DataFrame, frame: str, label: str) -> DataFrame:
+    """Counts of (state at k, state at k + 1) along the frames that are present."""
+    s = sequence(located.select(frame, label), [], [frame], frame_block(frame), lead={"_to": label})
+    return (s.filter("_to is not null").groupBy(F.col(label).alias("src"), F.col("_to").alias("dst"))
+             .agg(F.count(F.lit(1)).alias("n")))
+
+
+def knn_sum(states: DataFrame, frame: str, vec: str, k: int = 6, slab_rows: int = 4096) -> DataFrame:
+    """Sum of the distances to the k nearest states, the state itself included.  Exact.
+
+    Equal states are counted once with their number.  States are cut in slabs by their distance to
+    one pivot.  The neighbours inside its own slab bound how far a state can look, and the triangle
+    inequality says which other slabs may hold something nearer; only those are compared.
+    """
+    points = states.groupBy(vec).agg(F.count(F.lit(1)).alias("_c"), F.min(frame).alias("_id"))
+    points = cut_lineage(points)
+    total = points.count()
+    pivot = np.array(points.orderBy("_id").select(vec).first()[0], dtype=float)
+    away = F.sqrt(F.aggregate(F.zip_with(vec, F.array(*[F.lit(float(v)) for v in pivot]), lambda a, b: (a - b) * (a - b)),
+                              F.lit(0.0), lambda t, v: t + v))
+    points = points.withColumn("_p", away)
+    slabs = max(1, -(-total // slab_rows))
+    cuts = points.approxQuantile("_p", [i / slabs for i in range(1, slabs)], 0.1 / slabs) if slabs > 1 else []
+    slab = sum((F.when(F.col("_p") >= c, 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) < 200 else \
+        F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("_p") >= c))
+    points = cut_lineage(points.withColumn("_slab", slab.cast("int")))
+    edges = [float("-inf"), *cuts, float("inf")]
+
+    def nearest(x, y, count):
+        d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(2), 0)) if len(x) * len(y) * x.shape[1] < 2e7 else \
+            np.stack([np.sqrt(((y - row) ** 2).sum(1)) for row in x])
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        dist = np.take_along_axis(d, order, 1)
+        return [[float(v) for v, c in zip(dr, count[o]) for _ in range(min(int(c), k))][:k] for dr, o in zip(dist, order)]
+
+    own_schema = f"`_id` bigint, `{vec}` array<double>, `_p` double, `_slab` int, `_near` array<double>"
+
+    def own(pdf):
+        x = np.stack(pdf[vec].to_numpy())
+        return pdf[["_id", vec, "_p", "_slab"]].assign(_near=nearest(x, x, pdf["_c"].to_numpy()))
+
+    first = points.groupBy("_slab").applyInPandas(own, own_schema)
+    reach = F.when(F.size("_near") >= k, F.element_at("_near", k)).otherwise(F.lit(float("inf")))
+    bounds = F.array(*[F.struct(F.lit(i).alias("j"), F.lit(edges[i]).alias("lo"), F.lit(edges[i + 1]).alias("hi")) for i in range(slabs)])
+    sent = (first.withColumn("_reach", reach).withColumn("_to", F.explode(bounds))
+            .filter((F.col("_to.j") != F.col("_slab")) & (F.col("_to.lo") <= F.col("_p") + F.col("_reach"))
+                    & (F.col("_to.hi") >= F.col("_p") - F.col("_reach")))
+            .select("_id", vec, F.col("_to.j").alias("_slab")))
+    sent = cut_lineage(sent)
+    # A slab asked by many is copied once per slab_rows questions, so every piece stays small.
+    parts = sent.groupBy("_slab").agg(F.ceil(F.count(F.lit(1)) / slab_rows).cast("int").alias("_nq"))
+    sent = sent.join(parts, "_slab").withColumn("_q", F.pmod(F.xxhash64("_id"), F.col("_nq")).cast("int")).drop("_nq")
+    held = points.join(parts, "_slab").withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))).drop("_nq")
+
+    def other(q, p):
+        if not len(q) or not len(p):
+            return pd.DataFrame({"_id": [], "_near": []})
+        return pd.DataFrame({"_id": q["_id"].to_numpy(), "_near": nearest(np.stack(q[vec].to_numpy()), np.stack(p[vec].to_numpy()), p["_c"].to_numpy())})
+
+    rest = sent.groupBy("_slab", "_q").cogroup(held.groupBy("_slab", "_q")).applyInPandas(other, "`_id` bigint, `_near` array<double>")
+    merged = (first.select("_id", "_near").unionByName(rest).groupBy("_id")
+              .agg(F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, k).alias("_near")))
+    sums = points.select("_id", vec).join(merged, "_id").select(vec, F.aggregate("_near", F.lit(0.0), lambda t, v: t + v).alias("knn"))
+    return states.join(sums, vec).select(frame, "knn")
+
+
+def knn_triage(states: DataFrame, frame: str, vec: str, triage: float, k: int = 6, slab_rows: int = 4096) -> DataFrame:
+    """Frames whose neighbour sum is within the (1 - triage) quantile."""
+    s = cut_lineage(knn_sum(states, frame, vec, k, slab_rows))
+    cut = exact_quantile(s, [], "knn", 1 - triage, "_cut")
+    return s.crossJoin(F.broadcast(cut)).filter(F.col("knn") <= F.col("_cut")).drop("_cut")
+
+
+def fit_pca(vectors: DataFrame, vec: str, k: int):
+    """Spark ML PCA of centred vectors: (model, mean vector column)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+    dims = vectors.select(F.posexplode(vec).alias("d", "v")).groupBy("d").agg(F.avg("v").alias("m"))
+    mean = [r["m"] for r in dims.orderBy("d").collect()]   # one number per dimension
+    centre = F.zip_with(vec, F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b)
+    data = vectors.withColumn("_x", array_to_vector(centre))
+    return PCA(k=k, inputCol="_x", outputCol="_pc").fit(data), data
+
+
+def pca(vectors: DataFrame, frame: str, vec: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(component, explained share) and (frame, pcs) of the first k components."""
+    from pyspark.ml.functions import vector_to_array
+    model, data = fit_pca(vectors, vec, k)
+    share = [(i, float(v)) for i, v in enumerate(model.explainedVariance)]
+    spectrum = vectors.sparkSession.createDataFrame(share, "component int, explained double")
+    scores = model.transform(data).withColumn("pcs", vector_to_array("_pc")).drop("_x", "_pc")
+    return spectrum, scores
+
+
+def pca95(vectors: DataFrame, frame: str, vec: str, n_dims: int, share: float = 0.95) -> DataFrame:
+    """Scores on the components before the cumulative share first passes ``share``."""
+    from pyspark.ml.functions import vector_to_array
+    model, data = fit_pca(vectors, vec, n_dims)
+    keep = int(np.argmax(np.cumsum(model.explainedVariance.toArray()) > share))
+    scored = model.transform(data).withColumn("pcs", F.slice(vector_to_array("_pc"), 1, max(keep, 1)))
+    return scored.drop("_x", "_pc")
+
+
+def projection_decoder(vectors: DataFrame, frame: str, position: str, vec: str, k: int) -> DataFrame:
+    """Position of every state by the nearest median state of a position in PCA space."""
+    scores = cut_lineage(pca(vectors, frame, vec, k)[1].select(frame, position, "pcs"))
+    long = scores.select(position, F.posexplode("pcs").alias("dim", "v"))
+    centre = as_vectors(exact_quantile(long, [position, "dim"], "v", 0.5, "median"), [position], "dim", "median", "_c")
+    return nearest_centroid(scores, "pcs", centre, position, "_c").select(frame, position, F.col("nearest").alias("predicted"))
+
+
+def auc_variance(spectrum: DataFrame, keys: list[str], index: str, share: str) -> DataFrame:
+    """Trapezoid area under the cumulative explained share against i/n; one row per component."""
+    w = W.partitionBy(*keys).orderBy(index) if keys else W.partitionBy(F.lit(1)).orderBy(index)
+    upto = spectrum.withColumn("_c", F.sum(share).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    seg = upto.withColumn("_p", F.lag("_c").over(w))
+    return seg.groupBy(*keys).agg(F.sum((F.col("_c") + F.col("_p")) / 2).alias("_a"), F.count(F.lit(1)).alias("_n")).select(
+        *keys, ratio("_a", "_n").alias("auc"))
+
+
+def eigen_slope(spectrum: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
+    """Slope of the log singular values against their index."""
+    return spectrum.groupBy(*keys).agg(F.regr_slope(F.log(value), F.col(index).cast("double")).alias("slope"))
+
+
+def decoder_error_profile(errors: DataFrame, session: str, error: str, width: float = 1.0) -> DataFrame:
+    """Share of frames per error bin, mean and sd over the sessions."""
+    h = errors.groupBy(session, F.floor(F.col(error) / width).alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
+    tot = h.groupBy(session).agg(F.sum("_c").alias("_t"))
+    n = tot.agg(F.count(F.lit(1)).alias("_n"))
+    p = h.join(tot, session).withColumn("_p", ratio("_c", "_t"))
+    # A session without the bin counts with share 0.
+    agg = p.groupBy("bin").agg(F.sum("_p").alias("_s"), F.sum(F.col("_p") * F.col("_p")).alias("_q")).crossJoin(F.broadcast(n))
+    mean = F.col("_s") / F.col("_n")
+    return agg.select("bin", mean.alias("mean"), F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))).alias("sd"))
+
+
+def place_grid(df: DataFrame, x: str, y: str, res: int = 10) -> DataFrame:
+    """Evaluation grid over the arena: steps of round(range / res) per axis."""
+    ext = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    step = lambda a, b: F.greatest(F.round((F.col(b) - F.col(a)) / res), F.lit(1.0))
+    axis = lambda a, b: F.sequence(F.lit(0), F.floor((F.col(b) + 0.01 - F.col(a)) / step(a, b)).cast("int"))
+    return (ext.withColumn("iy", F.explode(axis("y0", "y1"))).withColumn("ix", F.explode(axis("x0", "x1")))
+               .select(F.col("iy"), F.col("ix"), (F.col("x0") + F.col("ix") * step("x0", "x1")).alias("gx"),
+                       (F.col("y0") + F.col("iy") * step("y0", "y1")).alias("gy")))
+
+
+def poisson_counts(activity: DataFrame, positions: DataFrame, cell: str, frame: str, count: str, x: str, y: str) -> DataFrame:
+    """Sufficient statistics of the Poisson fit: frames and spikes per cell and place, silent frames included."""
+    places = positions.groupBy(x, y).agg(F.count(F.lit(1)).alias("w"))
+    fired = activity.join(positions, frame).groupBy(cell, x, y).agg(F.sum(count).alias("s"))
+    # Every cell sees every place: places are few and fixed by the arena, cells come from the recording.
+    tiles = 8
+    spread = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    cells = activity.select(cell).distinct().withColumn("_t", spread)
+    grid = places.withColumn("_t", F.pmod(F.xxhash64(x, y), F.lit(tiles)).cast("int"))
+    return (cells.join(grid, "_t").join(fired, [cell, x, y], "left")
+            .select(cell, F.col(x).alias("x"), F.col(y).alias("y"), F.col("w").cast("double").alias("w"),
+                    F.coalesce(F.col("s"), F.lit(0)).cast("double").alias("s")))
+
+
+def poisson_tuning(stats: DataFrame, cell: str, rounds: int = 8) -> DataFrame:
+    """Coefficients of log rate = b0 + b1 x + b2 y per cell by Newton steps.
+
+    All cells are fitted together: a round is one aggregation of the 3x3 normal equations per cell
+    and their closed-form solution.
+    """
+    stats = cut_lineage(stats)
+    beta = stats.groupBy(cell).agg(F.log(F.sum("s") / F.sum("w")).alias("b0"), F.lit(0.0).alias("b1"), F.lit(0.0).alias("b2"))
+    x, y = F.col("x"), F.col("y")
+    for _ in range(rounds):
+        m = F.col("w") * F.exp(F.col("b0") + F.col("b1") * x + F.col("b2") * y)
+        d = F.col("s") - m
+        eq = stats.join(beta, cell).groupBy(cell).agg(
+            F.sum(m).alias("a"), F.sum(m * x).alias("b"), F.sum(m * y).alias("c"), F.sum(m * x * x).alias("e"),
+            F.sum(m * x * y).alias("f"), F.sum(m * y * y).alias("i"), F.sum(d).alias("p"), F.sum(d * x).alias("q"), F.sum(d * y).alias("r"),
+            *[F.max(k).alias(k) for k in ("b0", "b1", "b2")])
+        a, b, c, e, f, i, p, q, r = (F.col(k) for k in "a b c e f i p q r".split())
+        det = a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c)
+        d0 = p * (e * i - f * f) - b * (q * i - f * r) + c * (q * f - e * r)
+        d1 = a * (q * i - f * r) - p * (b * i - f * c) + c * (b * r - q * c)
+        d2 = a * (e * r - q * f) - b * (b * r - q * c) + p * (b * f - e * c)
+        step = lambda k, n: (F.col(k) + F.coalesce(F.try_divide(n, det), F.lit(0.0))).alias(k)
+        beta = cut_lineage(eq.select(cell, step("b0", d0), step("b1", d1), step("b2", d2)))
+    return beta
+
+
+def tuning_on_grid(beta: DataFrame, grid: DataFrame, cell: str) -> DataFrame:
+    """Expected count of every cell on every grid point; the grid has a fixed number of points."""
+    g = grid.select(F.array_agg(F.struct("iy", "ix", "gx", "gy")).alias("_g"))
+    return (beta.crossJoin(F.broadcast(g)).select("*", F.inline("_g")).drop("_g")
+            .select(cell, "iy", "ix", "gx", "gy", F.exp(F.col("b0") + F.col("b1") * F.col("gx") + F.col("b2") * F.col("gy")).alias("lam")))
+
+
+def bayes_decode(activity: DataFrame, tuning: DataFrame, cell: str, frame: str, count: str, parts: int | None = None) -> DataFrame:
+    """Most likely grid point of every frame under independent Poisson cells.
+
+    log p = sum over active cells of count * ln(lambda) minus the sum of all lambdas, which does not
+    depend on the frame.  Ties go to the first grid point in row order.
+    """
+    lam = tuning.select(cell, "iy", "ix", F.log(F.greatest("lam", F.lit(1e-12))).alias("_ln"))
+    base = tuning.groupBy("iy", "ix").agg(F.sum("lam").alias("_base"))
+    act = activity.select(cell, frame, count)
+    # The frames are placed first; with a small tuning table the join and the sums then need no further shuffle.
+    act = act.repartition(parts, frame) if parts else act.repartition(frame)
+    ll = act.join(lam, cell).groupBy(frame, "iy", "ix").agg(F.sum(F.col(count) * F.col("_ln")).alias("_ll"))
+    score = F.round(F.col("_ll") - F.col("_base"), 9)
+    return (ll.join(base, ["iy", "ix"]).groupBy(frame)
+              .agg(F.max(F.struct(score.alias("s"), (-F.col("iy")).alias("y"), (-F.col("ix")).alias("x"))).alias("_b"))
+              .select(frame, (-F.col("_b.y")).alias("iy"), (-F.col("_b.x")).alias("ix"), F.col("_b.s").alias("loglik")))

@@ -19,7 +19,7 @@ def frames_of(activity):
 
 
 SHIFT = "CASE WHEN k = 0 THEN 0 ELSE nf // 5 + (cell_id * 7919 + k * 104729) % greatest(3 * (nf // 5), 1) END"
-SHUF = f"""sf AS (SELECT cell_id, k AS shuffle, (frame + {SHIFT}) % nf AS frame, f FROM activity CROSS JOIN (SELECT unnest(range(0, 21)) AS k) CROSS JOIN (SELECT {NF} AS nf))"""
+SHUF = f"""sf AS (SELECT cell_id, k AS shuffle, (frame + {SHIFT}) % nf AS frame, f FROM activity CROSS JOIN (SELECT CAST(unnest(range(0, 21)) AS INTEGER) AS k) CROSS JOIN (SELECT {NF} AS nf))"""
 
 
 def shuffled(spark, d, n=20):
@@ -32,7 +32,7 @@ def circ_shift(spark, d):
 
 
 @query("shuffle_times", with_views("spikes", f"""i AS (SELECT unit_id, event_id, k AS iteration, t_us + {HOUR} + CAST(floor(((unit_id * 7919 + k * 104729) % 10007) * {718 * HOUR} / 10007) AS BIGINT) AS t
-    FROM spikes CROSS JOIN (SELECT unnest(range(1, 5)) AS k))""", f"SELECT unit_id, event_id, iteration, CASE WHEN t > {720 * HOUR} THEN t - {720 * HOUR} ELSE t END AS t_us FROM i"))
+    FROM spikes CROSS JOIN (SELECT CAST(unnest(range(1, 5)) AS INTEGER) AS k))""", f"SELECT unit_id, event_id, iteration, CASE WHEN t > {720 * HOUR} THEN t - {720 * HOUR} ELSE t END AS t_us FROM i"))
 def shuffle_times(spark, d):
     s = S.spikes(spark, d).select("unit_id", "event_id", "t_us")
     return N.shuffle_times(s, "unit_id", "t_us", HOUR, 0, 720 * HOUR, 4).select("unit_id", "event_id", "iteration", "t_us")
@@ -126,7 +126,7 @@ def place_cell_test(spark, d):
 
 
 @query("match_null", with_views("track", PRED, """sz AS (SELECT session, count(*) AS n FROM track GROUP BY 1),
-    sh AS (SELECT session, k, (frame + 100 + 37 * k) % n AS frame, x, y FROM track JOIN sz USING (session) CROSS JOIN (SELECT unnest(range(1, 4)) AS k)),
+    sh AS (SELECT session, k, (frame + 100 + 37 * k) % n AS frame, x, y FROM track JOIN sz USING (session) CROSS JOIN (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS k)),
     far AS (SELECT * FROM pd WHERE sqrt((px - x) * (px - x) + (py - y) * (py - y)) > 10),
     nn AS (SELECT a.session, s.k, a.frame, min(CAST((s.x - a.px) * (s.x - a.px) + (s.y - a.py) * (s.y - a.py) AS BIGINT)) AS m FROM far a JOIN sh s ON s.session = a.session AND s.frame BETWEEN a.frame AND a.frame + 19 GROUP BY 1, 2, 3)""",
     "SELECT session, k AS shuffle, count(*) AS total, count(*) FILTER (WHERE m < 16) AS hits FROM nn GROUP BY 1, 2"))

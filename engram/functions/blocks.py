@@ -23,9 +23,12 @@ def frame_block(frame="frame", size: int = BLOCK_FRAMES) -> Column:
 
 
 def with_halo(df: DataFrame, frame: str, before: int, after: int, size: int = BLOCK_FRAMES) -> DataFrame:
-    """Add ``_b`` (block) and ``_core``; rows within reach of a border appear in both blocks."""
+    """Add ``_b`` (block) and ``_core``; rows within reach of a border appear in both blocks.
+
+    Frames count from 0.
+    """
     f = F.col(frame).cast("long")
-    lo = F.floor((f - after) / F.lit(size)).cast("long")
+    lo = F.greatest(F.floor((f - after) / F.lit(size)).cast("long"), F.lit(0).cast("long"))
     hi = F.floor((f + before) / F.lit(size)).cast("long")
     return (df.withColumn("_b", F.explode(F.sequence(lo, hi)))
               .withColumn("_core", F.col("_b") == frame_block(frame, size)))
@@ -93,29 +96,43 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
     return base.join(summary, kb).select(*df.columns, *outs)
 
 
-def run_bounds(df: DataFrame, keys: list[str], order: list[str], block: Column, state: Column,
-               at: str, gap: Column | None = None) -> DataFrame:
+def run_bounds(df: DataFrame, keys: list[str], order: list[str], block: Column, state: Column, at: str) -> DataFrame:
     """Gaps and islands without grouping by run: every row learns where its run starts and ends.
 
-    Adds ``run_start``/``run_end`` (the value of ``at`` on the first and last row of the run) and
-    ``is_start``/``is_end``.  ``gap`` may add a break, written over ``_prev_at`` and ``at``.
+    Adds ``state``, ``run_start`` and ``run_end`` (the value of ``at`` on the first and last row of
+    the run) and ``is_start``.  Inside a block a window finds the runs; one summary row per block
+    tells the neighbours which run crosses the border.
     """
-    base = df.withColumn("_state", state)
-    near = sequence(base, keys, order, block,
-                    lag={"_prev": "_state", "_prev_at": at}, lead={"_next": "_state", "_next_at": at})
-    start = F.col("_prev_at").isNull() | ~F.col("_state").eqNullSafe(F.col("_prev"))
-    end = F.col("_next_at").isNull() | ~F.col("_state").eqNullSafe(F.col("_next"))
-    if gap is not None:
-        start = start | gap
-    near = near.withColumn("is_start", start)
-    if gap is not None:
-        near = sequence(near, keys, order, block, lead={"_next_start": "is_start"})
-        end = F.coalesce(F.col("_next_start"), F.lit(True))
-    near = near.withColumn("is_end", end)
-    out = sequence(near, keys, order, block,
-                   ffill={"run_start": F.when(F.col("is_start"), F.col(at))},
-                   bfill={"run_end": F.when(F.col("is_end"), F.col(at))})
-    return out.select(*df.columns, F.col("_state").alias("state"), "is_start", "is_end", "run_start", "run_end")
+    keys = list(keys)
+    kb = [*keys, "_b"]
+    rows = W.partitionBy(*kb).orderBy(*order)
+    upto, onward = rows.rowsBetween(W.unboundedPreceding, 0), rows.rowsBetween(0, W.unboundedFollowing)
+    along = W.partitionBy(*keys).orderBy("_b") if keys else W.partitionBy(F.lit(1)).orderBy("_b")
+    earlier, later = along.rowsBetween(W.unboundedPreceding, -1), along.rowsBetween(1, W.unboundedFollowing)
+
+    box = F.struct(F.col("state").alias("s"))
+    near = (df.withColumn("state", state).withColumn("_b", block)
+            .withColumn("_prev", F.lag(box).over(rows)).withColumn("_next", F.lead(box).over(rows)))
+    near = (near.withColumn("_start", F.when(F.col("_prev").isNotNull() & ~F.col("_prev.s").eqNullSafe(F.col("state")), F.col(at)))
+                .withColumn("_end", F.when(F.col("_next").isNotNull() & ~F.col("_next.s").eqNullSafe(F.col("state")), F.col(at))))
+    pos = F.struct(*[F.col(c) for c in order])
+    one = near.groupBy(*kb).agg(
+        F.min_by(F.struct("state", F.col(at).alias("at")), pos).alias("_first"), F.max_by(F.struct("state", F.col(at).alias("at")), pos).alias("_last"),
+        F.max_by("_start", F.when(F.col("_start").isNotNull(), pos)).alias("_ls"), F.min_by("_end", F.when(F.col("_end").isNotNull(), pos)).alias("_fe"))
+    before, after = F.lag("_last").over(along), F.lead("_first").over(along)
+    opens = before.isNull() | ~before["state"].eqNullSafe(F.col("_first.state"))
+    closes = after.isNull() | ~after["state"].eqNullSafe(F.col("_last.state"))
+    one = (one.withColumn("_opens", opens).withColumn("_closes", closes)
+              .withColumn("_s", F.coalesce("_ls", F.when(F.col("_opens"), F.col("_first.at"))))
+              .withColumn("_e", F.coalesce("_fe", F.when(F.col("_closes"), F.col("_last.at")))))
+    one = one.select(*kb, "_opens",
+                     F.when(F.col("_opens"), F.col("_first.at")).otherwise(F.last("_s", True).over(earlier)).alias("_in"),
+                     F.when(F.col("_closes"), F.col("_last.at")).otherwise(F.first("_e", True).over(later)).alias("_out"))
+    got = near.join(one, kb)
+    return got.select(*df.columns, "state",
+                      (F.col("_start").isNotNull() | (F.col("_prev").isNull() & F.col("_opens"))).alias("is_start"),
+                      F.coalesce(F.last("_start", True).over(upto), F.col("_in")).alias("run_start"),
+                      F.coalesce(F.first("_end", True).over(onward), F.col("_out")).alias("run_end"))
 
 
 def densify(df: DataFrame, keys: list[str], frame: str, values: dict[str, Column | str],

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F, types as T
 
 def _inc_beta(a, b, x, terms: int = 300):
     """Regularised incomplete beta by its continued fraction, element-wise."""
-    lg = np.vectorize(math.lgamma, otypes=[float])
+    def lg(v):
+        # Few different sample sizes occur in a batch.
+        u, at = np.unique(v, return_inverse=True)
+        return np.array([math.lgamma(k) for k in u])[at]
+
     shift = lg(a + b) - lg(a) - lg(b) + a * np.log(x) + b * np.log1p(-x)
     tiny = 1e-300
     c = np.ones_like(x)

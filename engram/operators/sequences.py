@@ -209,13 +209,16 @@ def find_sequences(df: DataFrame, keys: list[str], frame: str, jump: Column) ->
 
 
 def fill_gaps(df: DataFrame, keys: list[str], frame: str, state: str, n: int, out: str = "filled") -> DataFrame:
-    """Fill between ones at most ``n`` apart, then between zeros at most ``n`` apart."""
-    b = frame_block(frame)
+    """Fill between ones at most ``n`` apart, then between zeros at most ``n`` apart.
 
+    A filled frame has both ends of its gap within ``n`` frames, so a halo of ``n`` is enough.
+    """
     def fill(d, c, v, name):
-        d = sequence(d, keys, [frame], b, ffill={"_a": F.when(F.col(c) == v, F.col(frame))},
-                     bfill={"_z": F.when(F.col(c) == v, F.col(frame))})
-        return d.withColumn(name, F.when(F.col("_z") - F.col("_a") <= n, v).otherwise(F.col(c))).drop("_a", "_z")
+        w = block_window(keys, frame)
+        mark = F.when(F.col(c) == v, F.col(frame))
+        halo = (with_halo(d, frame, n, n).withColumn("_a", F.max(mark).over(w.rangeBetween(-n, 0)))
+                .withColumn("_z", F.min(mark).over(w.rangeBetween(0, n))))
+        return core(halo).withColumn(name, F.when(F.col("_z") - F.col("_a") <= n, v).otherwise(F.col(c))).drop("_a", "_z")
 
     return fill(fill(df, state, 1, "_one"), "_one", 0, out).drop("_one")
 

@@ -111,15 +111,23 @@ def autocorrelogram(spark, d):
     return acorr(spark, d).withColumn("r", r("r", 5))
 
 
+FINE = (11, 50)
+
+
+def fine_acorr(spark, d):
+    """Autocorrelogram of finer maps (one column per unit of x), smooth enough to have a centre field."""
+    m = O.tuning_map(S.tracking(spark, d), UNIT, (F.col("x") - 1).cast("int"), iy(), "signal").select("unit", "iy", "ix", "rate")
+    sm = G.gauss_smooth(m, UNIT, "rate", 4.0, FINE).select("unit", "iy", "ix", "smooth")
+    return D.autocorrelogram(sm, UNIT, "smooth", FINE)
+
+
 @query("grid_score")
 def grid_score(spark, d):
-    sm = smooth_map(spark, d).select("unit", "iy", "ix", "smooth")
-    return D.grid_score(D.autocorrelogram(sm, UNIT, "smooth", SHAPE), UNIT).withColumn("score", r("score", 4))
+    return D.grid_score(fine_acorr(spark, d), UNIT).withColumn("score", r("score", 4))
 
 
 def _grid_peaks(spark, d):
-    sm = smooth_map(spark, d).select("unit", "iy", "ix", "smooth")
-    ac = D.autocorrelogram(sm, UNIT, "smooth", SHAPE)
+    ac = fine_acorr(spark, d)
     return D.grid_peaks(ac, D.grid_score(ac, UNIT), UNIT, 0)
 
 

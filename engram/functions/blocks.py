@@ -42,6 +42,18 @@ def core(df: DataFrame) -> DataFrame:
     return df.filter("_core").drop("_b", "_core")
 
 
+def _backwards(keys: list, order: list[str], last: int):
+    """Everything from the far end down to a row: a running frame, while one that ends at
+    "unbounded following" would be summed afresh for every row."""
+    return (W.partitionBy(*(keys or [F.lit(1)])).orderBy(*[F.col(c).desc() for c in order])
+            .rowsBetween(W.unboundedPreceding, last))
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Shuffle to the configured number of partitions; small groups of heavy work are not merged into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def sequence(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
              number: str | None = None, lag: dict | None = None, lead: dict | None = None,
              cumsum: dict | None = None, ffill: dict | None = None, bfill: dict | None = None,
@@ -57,10 +69,9 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
     kb = [*keys, "_b"]
     pos = F.struct(*[F.col(c) for c in order])
     rows = W.partitionBy(*kb).orderBy(*order)
-    upto, onward = rows.rowsBetween(W.unboundedPreceding, 0), rows.rowsBetween(0, W.unboundedFollowing)
-    along = W.partitionBy(*keys).orderBy("_b") if keys else W.partitionBy(F.lit(1)).orderBy("_b")
-    earlier = along.rowsBetween(W.unboundedPreceding, -1)
-    later = along.rowsBetween(1, W.unboundedFollowing)
+    upto, onward = rows.rowsBetween(W.unboundedPreceding, 0), _backwards(kb, order, 0)
+    along = W.partitionBy(*(keys or [F.lit(1)])).orderBy("_b")
+    earlier, later = along.rowsBetween(W.unboundedPreceding, -1), _backwards(keys, ["_b"], -1)
 
     aggs, carries, outs = [], [], []
     if number:
@@ -89,8 +100,8 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
     for i, (out, e) in enumerate(bfill.items()):
         e = col(e)
         aggs.append(F.min_by(e, F.when(e.isNotNull(), pos)).alias(f"_g{i}"))
-        carries.append(F.first(f"_g{i}", True).over(later).alias(f"_cg{i}"))
-        outs.append(F.coalesce(F.first(e, True).over(onward), F.col(f"_cg{i}")).alias(out))
+        carries.append(F.last(f"_g{i}", True).over(later).alias(f"_cg{i}"))
+        outs.append(F.coalesce(F.last(e, True).over(onward), F.col(f"_cg{i}")).alias(out))
 
     summary = base.groupBy(*kb).agg(*aggs).select(*kb, *carries)
     return base.join(summary, kb).select(*df.columns, *outs)
@@ -100,15 +111,15 @@ def run_bounds(df: DataFrame, keys: list[str], order: list[str], block: Column,
     """Gaps and islands without grouping by run: every row learns where its run starts and ends.
 
     Adds ``state``, ``run_start`` and ``run_end`` (the value of ``at`` on the first and last row of
-    the run) and ``is_start``.  Inside a block a window finds the runs; one summary row per block
+    the run), ``is_start``, and ``key_start``/``key_end``, the ends of the whole key.  Inside a block a window finds the runs; one summary row per block
     tells the neighbours which run crosses the border.
     """
     keys = list(keys)
     kb = [*keys, "_b"]
     rows = W.partitionBy(*kb).orderBy(*order)
-    upto, onward = rows.rowsBetween(W.unboundedPreceding, 0), rows.rowsBetween(0, W.unboundedFollowing)
-    along = W.partitionBy(*keys).orderBy("_b") if keys else W.partitionBy(F.lit(1)).orderBy("_b")
-    earlier, later = along.rowsBetween(W.unboundedPreceding, -1), along.rowsBetween(1, W.unboundedFollowing)
+    upto, onward = rows.rowsBetween(W.unboundedPreceding, 0), _backwards(kb, order, 0)
+    along = W.partitionBy(*(keys or [F.lit(1)])).orderBy("_b")
+    earlier, later = along.rowsBetween(W.unboundedPreceding, -1), _backwards(keys, ["_b"], -1)
 
     box = F.struct(F.col("state").alias("s"))
     near = (df.withColumn("state", state).withColumn("_b", block)
@@ -125,14 +136,15 @@ def run_bounds(df: DataFrame, keys: list[str], order: list[str], block: Column,
     one = (one.withColumn("_opens", opens).withColumn("_closes", closes)
               .withColumn("_s", F.coalesce("_ls", F.when(F.col("_opens"), F.col("_first.at"))))
               .withColumn("_e", F.coalesce("_fe", F.when(F.col("_closes"), F.col("_last.at")))))
-    one = one.select(*kb, "_opens",
+    whole = W.partitionBy(*(keys or [F.lit(1)]))
+    one = one.select(*kb, "_opens", F.min("_first.at").over(whole).alias("key_start"), F.max("_last.at").over(whole).alias("key_end"),
                      F.when(F.col("_opens"), F.col("_first.at")).otherwise(F.last("_s", True).over(earlier)).alias("_in"),
-                     F.when(F.col("_closes"), F.col("_last.at")).otherwise(F.first("_e", True).over(later)).alias("_out"))
+                     F.when(F.col("_closes"), F.col("_last.at")).otherwise(F.last("_e", True).over(later)).alias("_out"))
     got = near.join(one, kb)
-    return got.select(*df.columns, "state",
+    return got.select(*df.columns, "state", "key_start", "key_end",
                       (F.col("_start").isNotNull() | (F.col("_prev").isNull() & F.col("_opens"))).alias("is_start"),
                       F.coalesce(F.last("_start", True).over(upto), F.col("_in")).alias("run_start"),
-                      F.coalesce(F.first("_end", True).over(onward), F.col("_out")).alias("run_end"))
+                      F.coalesce(F.last("_end", True).over(onward), F.col("_out")).alias("run_end"))
 
 
 def densify(df: DataFrame, keys: list[str], frame: str, values: dict[str, Column | str],

@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from engram.functions.blocks import spread
+
 TILE = 256
 
 
@@ -20,8 +22,8 @@ def _tile(item: Column, tiles: int) -> Column:
 
 def pair_products(left: DataFrame, right: DataFrame | None, keys: list[str], item: str, coord: str,
                   value: str, *, coord_block: int = 2048, tiles: int | None = None,
-                  bounds: int = TILE) -> DataFrame:
-    """``keys, a, b, n, sxy`` summed over shared coordinates, for a < b (or a != b when two sides are given).
+                  bounds: int = TILE, ordered: bool = False) -> DataFrame:
+    """``keys, a, b, n, sxy`` summed over shared coordinates, for a < b (or a != b when two sides are given, unless ``ordered``).
 
     ``(keys, item, coord)`` must be unique on each side and ``coord`` a long.  Pairs without a shared
     coordinate give no row.
@@ -75,7 +77,8 @@ def pair_products(left: DataFrame, right: DataFrame | None, keys: list[str], ite
         nb, mb, hb = (na, ma, ha) if not both else dense(b)
         shared, sums = ha @ hb.T, ma @ mb.T
         if both:
-            keep = (shared > 0) & (np.asarray(na)[:, None] != np.asarray(nb)[None, :])
+            la, lb = np.asarray(na)[:, None], np.asarray(nb)[None, :]
+            keep = (shared > 0) & (la < lb if ordered else la != lb)
         else:
             t = pdf.drop_duplicates("item").set_index("item")["_t"].reindex(na).to_numpy()
             ti, tj = int(pdf._ti.iloc[0]), int(pdf._tj.iloc[0])
@@ -88,5 +91,5 @@ def pair_products(left: DataFrame, right: DataFrame | None, keys: list[str], ite
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    part = pieces.groupBy(*keys, "_cb", "_ti", "_tj").applyInPandas(multiply, schema)
+    part = spread(pieces, *keys, "_cb", "_ti", "_tj").groupBy(*keys, "_cb", "_ti", "_tj").applyInPandas(multiply, schema)
     return part.groupBy(*keys, "a", "b").agg(F.sum("n").alias("n"), F.sum("sxy").alias("sxy"))

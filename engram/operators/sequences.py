@@ -140,11 +140,10 @@ def binarize_runs(df: DataFrame, keys: list[str], frame: str, above: Column, min
     With ``compat`` a run s..e is written to s-1..e-1 and runs that touch an end of the recording vanish.
     """
     runs = run_bounds(df, keys, [frame], frame_block(frame), above, frame)
-    ends = df.groupBy(*keys).agg(F.min(frame).alias("_f0"), F.max(frame).alias("_f1"))
     wide = F.col("state") & (F.col("run_end") - F.col("run_start") + 1 >= min_width)
     if compat:
-        inner = (F.col("run_start") > F.col("_f0")) & (F.col("run_end") < F.col("_f1"))
-        mark = runs.join(ends, keys).withColumn("_m", F.when(wide & inner, 1).otherwise(0))
+        inner = (F.col("run_start") > F.col("key_start")) & (F.col("run_end") < F.col("key_end"))
+        mark = runs.withColumn("_m", F.when(wide & inner, 1).otherwise(0))
         w = block_window(keys, frame)
         got = core(with_halo(mark, frame, 0, 1).withColumn(out, F.coalesce(F.lead("_m").over(w), F.lit(0))))
     else:
@@ -183,13 +182,12 @@ def scale_events(df: DataFrame, keys: list[str], frame: str, on: Column, scale:
     runs = run_bounds(df, keys, [frame], frame_block(frame), on, frame)
     cum = sequence(runs, keys, [frame], frame_block(frame), cumsum={"_c": scale})
     # The running sum at the end of the reach is looked up by frame; a run at the end of the trace stops there.
-    last = df.groupBy(*keys).agg(F.max(frame).alias("_f1"), F.min(frame).alias("_f0"))
-    starts = cum.filter(F.col("state") & F.col("is_start")).join(last, keys)
-    starts = starts.filter((F.col("run_start") > F.col("_f0")) & (F.col("run_end") < F.col("_f1")))
+    starts = cum.filter(F.col("state") & F.col("is_start"))
+    starts = starts.filter((F.col("run_start") > F.col("key_start")) & (F.col("run_end") < F.col("key_end")))
     at = cum.select(*keys, F.col(frame).alias("_at"), F.col("_c").alias("_to"))
     before = cum.select(*keys, (F.col(frame) + 2).alias("_bf"), F.col("_c").alias("_from"))
     ev = (starts.select(*keys, "run_start", "run_end",
-                        F.least(F.col("run_end") + buffer - 1, F.col("_f1")).alias("_at"), F.col("run_start").alias("_bf"))
+                        F.least(F.col("run_end") + buffer - 1, F.col("key_end")).alias("_at"), F.col("run_start").alias("_bf"))
           .join(at, [*keys, "_at"]).join(before, [*keys, "_bf"], "left")
           .select(*keys, "run_start", "run_end", (F.col("_to") - F.coalesce("_from", F.lit(0.0))).alias("amplitude")))
     return ev.select(*keys, F.col("run_start").alias("start"), F.col("run_end").alias("end"),

@@ -111,23 +111,23 @@ def autocorrelogram(spark, d):
     return acorr(spark, d).withColumn("r", r("r", 5))
 
 
-FINE = (11, 50)
+COARSE = (11, 10)
 
 
-def fine_acorr(spark, d):
-    """Autocorrelogram of finer maps (one column per unit of x), smooth enough to have a centre field."""
-    m = O.tuning_map(S.tracking(spark, d), UNIT, (F.col("x") - 1).cast("int"), iy(), "signal").select("unit", "iy", "ix", "rate")
-    sm = G.gauss_smooth(m, UNIT, "rate", 4.0, FINE).select("unit", "iy", "ix", "smooth")
-    return D.autocorrelogram(sm, UNIT, "smooth", FINE)
+def coarse_acorr(spark, d):
+    """Autocorrelogram of coarse maps that have hardly any unvisited bin, smooth enough to have a centre field."""
+    m = O.tuning_map(S.tracking(spark, d), UNIT, F.floor((F.col("x") - 1) / 5).cast("int"), iy(), "signal").select("unit", "iy", "ix", "rate")
+    sm = G.gauss_smooth(m, UNIT, "rate", 3.0, COARSE).select("unit", "iy", "ix", "smooth")
+    return D.autocorrelogram(sm, UNIT, "smooth", COARSE)
 
 
 @query("grid_score")
 def grid_score(spark, d):
-    return D.grid_score(fine_acorr(spark, d), UNIT).withColumn("score", r("score", 4))
+    return D.grid_score(coarse_acorr(spark, d), UNIT).withColumn("score", r("score", 4))
 
 
 def _grid_peaks(spark, d):
-    ac = fine_acorr(spark, d)
+    ac = coarse_acorr(spark, d)
     return D.grid_peaks(ac, D.grid_score(ac, UNIT), UNIT, 0)
 
 

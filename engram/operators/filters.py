@@ -83,21 +83,26 @@ def speed_bandpass(df: DataFrame, keys: list[str], speed: str, mode: str = "none
 def nonvisited_drop(test: DataFrame, train: DataFrame, x: str, y: str, radius: float = 3.0) -> DataFrame:
     """Drop test rows whose nearest training location is further than ``radius``.
 
-    Locations are made distinct and hashed to squares of side ``radius``: a location can only be
-    near one in the nine squares around it.
+    Locations are made distinct.  Two locations in one square of side radius / 1.5 are always near,
+    which settles crowded places by a semi join; only what is left is measured against the training
+    locations of the nine squares of side ``radius`` around it.
     """
-    def square(df):
-        return df.withColumn("_gx", F.floor(F.col(x) / radius)).withColumn("_gy", F.floor(F.col(y) / radius))
+    def squares(df, side, a, b):
+        return df.withColumn(a, F.floor(F.col(x) / side)).withColumn(b, F.floor(F.col(y) / side))
 
     around = F.sequence(F.lit(-1), F.lit(1))
-    seen = (square(train.select(x, y).distinct())
+    known = train.select(x, y).distinct()
+    fine = squares(known, radius / 1.5, "_fx", "_fy").select("_fx", "_fy").distinct()
+    places = squares(squares(test.select(x, y).distinct(), radius / 1.5, "_fx", "_fy"), radius, "_gx", "_gy")
+    sure = places.join(fine, ["_fx", "_fy"], "left_semi").select(x, y)
+    open_ = places.join(fine, ["_fx", "_fy"], "left_anti")
+    seen = (squares(known, radius, "_gx", "_gy")
             .withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
             .select(F.col(x).alias("_tx"), F.col(y).alias("_ty"),
                     (F.col("_gx") + F.col("_dx")).alias("_gx"), (F.col("_gy") + F.col("_dy")).alias("_gy")))
-    places = square(test.select(x, y).distinct())
     dx, dy = F.col(x) - F.col("_tx"), F.col(y) - F.col("_ty")
-    near = places.join(seen, ["_gx", "_gy"]).filter(F.sqrt(dx * dx + dy * dy) <= radius).select(x, y).distinct()
-    return test.join(near, [x, y], "left_semi")
+    near = open_.join(seen, ["_gx", "_gy"]).filter(F.sqrt(dx * dx + dy * dy) <= radius).select(x, y).distinct()
+    return test.join(sure.unionByName(near), [x, y], "left_semi")
 
 
 def corr_threshold(pairs: DataFrame, z_min: float | None = None, p_max: float | None = None,

@@ -104,36 +104,33 @@ def map_peak(maps: DataFrame, keys: list[str], value: str = "rate") -> DataFrame
 
 
 def rate_map_stats(maps: DataFrame, keys: list[str], rate: str = "rate", seconds: str = "seconds") -> DataFrame:
-    """Mean and peak rate, sparsity, selectivity, spatial information rate and content."""
-    p = F.col(seconds)
-    first = maps.groupBy(*keys).agg(
-        F.sum(p).alias("_t"), F.sum(p * F.col(rate)).alias("_tr"), F.sum(p * F.col(rate) * F.col(rate)).alias("_trr"),
-        F.avg(rate).alias("mean_rate"), F.max(rate).alias("peak_rate"))
-    first = first.withColumn("_m", ratio("_tr", "_t"))
-    bits = F.log2(F.greatest(ratio(rate, "_m"), F.lit(1.0)))
-    info = (maps.join(first.select(*keys, "_t", "_m"), keys)
-                .groupBy(*keys).agg(F.sum(ratio(p, "_t") * F.col(rate) * bits).alias("info_rate")))
-    return (first.join(info, keys)
-            .select(*keys, "mean_rate", "peak_rate",
-                    ratio(F.col("_m") * F.col("_m"), ratio("_trr", "_t")).alias("sparsity"),
-                    ratio("peak_rate", "_m").alias("selectivity"), "info_rate",
-                    ratio("info_rate", "_m").alias("info_content")))
+    """Mean and peak rate, sparsity, selectivity, spatial information rate and content.
+
+    A map has a bounded number of bins, so its totals come from a window over the map: the samples
+    are read once and nothing is joined back.
+    """
+    w = W.partitionBy(*keys)
+    p, v = F.col(seconds), F.col(rate)
+    m = maps.withColumn("_t", F.sum(p).over(w)).withColumn("_m", ratio(F.sum(p * v).over(w), "_t"))
+    bits = F.log2(F.greatest(ratio(v, "_m"), F.lit(1.0)))
+    out = m.groupBy(*keys).agg(F.avg(v).alias("mean_rate"), F.max(v).alias("peak_rate"), F.max("_m").alias("_m"),
+                               F.sum(ratio(p * v * v, "_t")).alias("_mm"), F.sum(ratio(p, "_t") * v * bits).alias("info_rate"))
+    return out.select(*keys, "mean_rate", "peak_rate", ratio(F.col("_m") * F.col("_m"), "_mm").alias("sparsity"),
+                      ratio("peak_rate", "_m").alias("selectivity"), "info_rate", ratio("info_rate", "_m").alias("info_content"))
 
 
 def place_cellness(maps: DataFrame, keys: list[str], rate: str = "rate", seconds: str = "seconds") -> DataFrame:
-    total = maps.groupBy(*keys).agg(F.sum(seconds).alias("_t"))
-    o, v = ratio(seconds, "_t"), F.col(rate)
-    return (maps.join(total, keys).groupBy(*keys)
-            .agg(ratio(F.sum(v * o * v * o), F.sum(v * v * o)).alias("cellness"))
+    m = maps.withColumn("_o", ratio(seconds, F.sum(seconds).over(W.partitionBy(*keys))))
+    o, v = F.col("_o"), F.col(rate)
+    return (m.groupBy(*keys).agg(ratio(F.sum(v * o * v * o), F.sum(v * v * o)).alias("cellness"))
             .withColumn("is_place_cell", F.col("cellness") > 0.3))
 
 
 def partition_firing(df: DataFrame, keys: list[str], square: Column, value: str) -> DataFrame:
     """Activity per square, and over the share of time spent there."""
     per = df.groupBy(*keys, square.alias("square")).agg(F.sum(value).alias("firing"), F.count(F.lit(1)).alias("_c"))
-    total = per.groupBy(*keys).agg(F.sum("_c").alias("_t"))
-    return (per.join(total, keys).withColumn("rate", ratio("firing", ratio("_c", "_t")))
-               .select(*keys, "square", "firing", "rate"))
+    share = ratio("_c", F.sum("_c").over(W.partitionBy(*keys)))
+    return per.withColumn("rate", ratio("firing", share)).select(*keys, "square", "firing", "rate")
 
 
 def angular_occupancy(df: DataFrame, keys: list[str], angle: Column, dt: float | Column, bin_deg: float = 15.0) -> DataFrame:

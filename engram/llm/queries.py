@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import hilbert, spiece
-from engram.llm.common import fold, read
+from engram.llm import hilbert, langid, quality, spiece, toxicity
+from engram.llm.common import broadcast_below, fold, labelled_sample, read
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +39,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = {"lang": hilbert.label_cell(F.col("lang"), 6), "source": hilbert.label_cell(F.col("source"), 6), "size": hilbert.log_cell(F.col("size"), 6)}
     out = hilbert.shards(docs, cells, ["doc_id", "text_crc32", "size"], "size", 16, law="rows", bits=6)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold("doc_id", 4) == 2
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(labelled_sample(docs, read(spark, sf_dir, "labels"), "quality", held, quality.SAMPLE))
+    out = quality.score(docs, "doc_id", "text", model)
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold("doc_id", 3) == 1
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(labelled_sample(docs, read(spark, sf_dir, "labels"), "toxic", held, toxicity.SAMPLE))
+    out = toxicity.score(docs, "doc_id", "text", model)
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_features")
+
+
+@query("op10_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    docs = read(spark, sf_dir, "documents")
+    profiles = langid.learn(langid.sampled(docs.filter(~held), "doc_id", "text", "lang"), "text", "lang")
+    out = langid.predict(docs, "doc_id", "text", profiles)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -41,16 +41,17 @@ def graph_density(edges: DataFrame) -> DataFrame:
     return nodes.crossJoin(n_edges).withColumn("density", ratio(2 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)))
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node id as label.
 
     Each round takes the smallest label around a node and then the label of that label, so long
     chains shrink by more than half a round.  Every round is written to the checkpoint folder.
+    Labels only fall, so the loop ends.
     """
     arcs = cut_lineage(both_ways(edges).distinct())
     labels = cut_lineage(arcs.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("_m"))
                          .select("node", F.least("node", "_m").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         around = (arcs.join(labels.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst")
                       .groupBy(F.col("src").alias("node")).agg(F.min("_c").alias("_m")))
         near = labels.join(around, "node").select("node", F.col("component").alias("_old"), F.least("component", "_m").alias("_new"))
@@ -61,7 +62,6 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = step.select("node", "component")
         if moved == 0:
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def dedup_hub(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import hilbert, langid, quality, spiece, toxicity
+from engram.llm import hilbert, hyperminhash, langid, quality, spiece, toxicity
 from engram.llm.common import broadcast_below, fold, labelled_sample, read
 
 QUERIES = {}
@@ -66,3 +66,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = langid.learn(langid.sampled(docs.filter(~held), "doc_id", "text", "lang"), "text", "lang")
     out = langid.predict(docs, "doc_id", "text", profiles)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_near_duplicates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", width=2, percent=80)

@@ -10,8 +10,8 @@ No bucket is expanded into all its pairs:
 2. In each bucket every member is compared with one hub, the member that shares most buckets with others. This joins almost all of a
    group of near copies with one row per member and bucket.
 3. Only buckets whose members are not yet in one component go on. They are cut into tiles, and a pair of tiles is compared inside
-   one task on the registers; pairs inside a component, pairs that already met a hub, pairs that agree in an earlier band and pairs
-   whose set sizes or estimate rule out the threshold never become rows. What remains is confirmed and closes the components.
+   one task on the registers; pairs inside a component, pairs that agree in an earlier band and pairs whose set sizes or estimate rule
+   out the threshold are dropped there. The others stay lists of partners, whose full sets meet in the same groups.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -110,9 +109,32 @@ def estimate(agree: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray)
     return (share - chance) / (1 - chance)
 
 
-def possible(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Matrix: may the sets of these registers and sizes reach `percent`? Sizes rule out exactly, estimates with SLACK."""
+def floor_of(n: np.ndarray, m: np.ndarray, used: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest estimate that a pair of sets of sizes n and m at the threshold may show.
+
+    The `used` registers of a union of u shingles are a random choice of `used` of the u, so the agreeing ones are hypergeometric; the
+    slack is SLACK standard errors and one and a half registers. Small sets fill a register per shingle and have hardly any slack."""
     j = percent / 100
+    u = np.maximum((n + m) / (1 + j), 2.0)
+    k = np.maximum(used, 1)
+    return j - SLACK * np.sqrt(j * (1 - j) / k * np.clip((u - k) / (u - 1), 0, 1)) - 1.5 / k
+
+
+def alike(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """For rows of registers and set sizes side by side: may the two sets reach `percent`? Sizes rule out exactly."""
+    out = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+    at = np.flatnonzero(out)
+    for i in range(0, len(at), 50_000):
+        k = at[i:i + 50_000]
+        same, blank = a[k] == b[k], (a[k] == EMPTY) & (b[k] == EMPTY)
+        used = REGISTERS - blank.sum(axis=1)
+        n, m = na[k].astype(float), nb[k].astype(float)
+        out[k] = estimate(same.sum(axis=1) - (REGISTERS - used), used, n, m) >= floor_of(n, m, used, percent)
+    return out
+
+
+def possible(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """`alike` as a matrix, rows of a against rows of b."""
     out = 100 * np.minimum.outer(na, nb) >= percent * np.maximum.outer(na, nb)
     agree = np.zeros(out.shape, np.int32)
     blank = np.zeros(out.shape, np.int32)
@@ -120,10 +142,11 @@ def possible(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, perce
         x, y = a[:, k], b[:, k]
         same = x[:, None] == y[None, :]
         agree += same
-        blank += same & (x == EMPTY)[:, None]
+        if (x == EMPTY).any():
+            blank += same & (x == EMPTY)[:, None]
     used = REGISTERS - blank
-    got = estimate(agree - blank, used, na[:, None].astype(float), nb[None, :].astype(float))
-    return out & (got >= j - SLACK * np.sqrt(j * (1 - j) / np.maximum(used, 1)))
+    n, m = na[:, None].astype(float), nb[None, :].astype(float)
+    return out & (estimate(agree - blank, used, n, m) >= floor_of(n, m, used, percent))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -167,57 +190,153 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.select("src", "dst", "a", "b").mapInArrow(keep, "src long, dst long")
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """(src, dst): each member of a bucket with the bucket's hub. members: (key, doc)."""
-    crowd = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+def hub_pairs(members: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): each member of a bucket with the bucket's hub, where sizes and registers allow the threshold. members: (key, doc)."""
+    crowd = members.groupBy("key").agg(F.count("*").alias("n"))
     inside = members.join(crowd, "key")
     weight = inside.groupBy("doc").agg(F.sum("n").alias("w"))
     weighed = inside.join(weight, "doc")
     hubs = weighed.groupBy("key").agg(F.max_by("doc", F.struct("w", -F.col("doc"))).alias("hub"))
-    near = weighed.join(hubs, "key").filter("doc <> hub")
-    return near.select(F.least("doc", "hub").alias("src"), F.greatest("doc", "hub").alias("dst")).distinct()
-
+    near = members.join(hubs, "key").filter("doc <> hub")
+    pairs = near.select(F.least("doc", "hub").alias("src"), F.greatest("doc", "hub").alias("dst")).distinct()
 
-def open_pairs(members: DataFrame, labels: DataFrame, sketch: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """(src, dst): candidates of different components in buckets that hold more than one component.
-
-    A bucket's members are dealt to tiles by a hash of the id; each unordered pair of tiles is one group of at most about 2 * TILE
-    rows. A pair is made only by the first band in which it agrees."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (3, 5)]
+            size = [batch.column(c).to_numpy() for c in (2, 4)]
+            got = batch.filter(pa.array(alike(regs[0], size[0], regs[1], size[1], percent)))
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["src", "dst"])
+    one = sketch.select(F.col("doc").alias("src"), F.col("n_shingles").alias("na"), F.col("reg").alias("ra"))
+    two = sketch.select(F.col("doc").alias("dst"), F.col("n_shingles").alias("nb"), F.col("reg").alias("rb"))
+    return pairs.join(one, "src").join(two, "dst").select("src", "dst", "na", "ra", "nb", "rb").mapInArrow(run, "src long, dst long")
+
+
+def tile_pairs(key: int, crossed: bool, doc: np.ndarray, comp: np.ndarray, side: np.ndarray, size: np.ndarray, reg: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, j) of the pairs that one pair of tiles makes; `side` tells the tile when two different ones are crossed."""
+    if len(doc) <= 48:
+        i, j = np.triu_indices(len(doc), 1)
+        ok = (comp[i] != comp[j]) & (side[i] != side[j] if crossed else True)
+        i, j = i[ok], j[ok]
+        ok = alike(reg[i], size[i], reg[j], size[j], percent)
+        i, j = i[ok], j[ok]
+    else:
+        one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if crossed else [np.arange(len(doc))] * 2
+        found = []
+        for k in range(0, len(one), TILE):
+            part = one[k:k + TILE]
+            ok = comp[part][:, None] != comp[two][None, :]
+            if not crossed:
+                ok &= part[:, None] < two[None, :]
+            if ok.any():
+                x, y = np.nonzero(ok & possible(reg[part], size[part], reg[two], size[two], percent))
+                found.append((part[x], two[y]))
+        i, j = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, int) for c in (0, 1))
+    if len(i):                        # only the first band in which a pair agrees makes it
+        a, b = reg[i].reshape(-1, BANDS, ROWS), reg[j].reshape(-1, BANDS, ROWS)
+        first = ((a == b).all(axis=2) & (a != EMPTY).any(axis=2)).argmax(axis=1)
+        bands = np.ascontiguousarray(a[np.arange(len(i)), first]).view(np.uint64).ravel()
+        mine = finish(bands + (first.astype(np.uint64) + np.uint64(1)) * MIX).view(np.int64) == key
+        i, j = i[mine], j[mine]
+    return i, j
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, starts, ends) of whole groups of the first three columns, from batches sorted by them; a group may span batches."""
+    rest = None
+    for batch in _ending(batches):
+        parts = [t for t in (rest, None if batch is None else pa.Table.from_batches([batch])) if t is not None and len(t)]
+        if not parts:
+            continue
+        table = pa.concat_tables(parts).combine_chunks()
+        a, b, c = (table.column(k).to_numpy() for k in range(3))
+        starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+        ends = np.r_[starts[1:], len(a)]
+        if batch is not None:
+            rest = table.slice(starts[-1])
+            starts, ends = starts[:-1], ends[:-1]
+        if len(starts):
+            yield table.slice(0, ends[-1]), starts, ends
+
+
+def _ending(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
+def open_lists(members: DataFrame, labels: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """(key, ta, tb, doc, dsts): candidates of different components in buckets that hold more than one component, as a row per group
+    and document with its list of partners.
+
+    A bucket's members are dealt to tiles by a hash of the id; each unordered pair of tiles is one group of about 2 * TILE rows."""
     comp = members.join(labels, members.doc == labels.node, "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     live = comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     dealt = comp.join(live.select("key", tiles.alias("tiles")), "key").withColumn("tile", F.pmod(F.xxhash64("doc", "key"), F.col("tiles")).cast("int"))
-    # tile t meets every tile once: groups (lo, hi) with lo <= hi
+    # a member of tile t goes to the groups (t, o) of all tiles o, so two tiles meet in exactly one group
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     spread = (dealt.withColumn("o", other).select("key", "doc", "component", "tile", F.least("tile", "o").alias("ta"), F.greatest("tile", "o").alias("tb"))
-              .join(sketch.select("doc", "n_shingles", "reg"), "doc"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ta, tb = int(pdf["ta"].iloc[0]), int(pdf["tb"].iloc[0])
-        sides = [pdf] * 2 if ta == tb else [pdf[pdf["tile"] == ta], pdf[pdf["tile"] == tb]]
-        regs = [np.frombuffer(b"".join(s["reg"]), np.uint16).reshape(-1, REGISTERS) for s in sides]
-        doc, comps, size = ([s[c].to_numpy() for s in sides] for c in ("doc", "component", "n_shingles"))
-        src, dst = [], []
-        for i in range(0, len(doc[0]), TILE):
-            part = slice(i, i + TILE)
-            ok = comps[0][part, None] != comps[1][None, :]
-            if ta == tb:
-                ok &= doc[0][part, None] < doc[1][None, :]
-            if not ok.any():
-                continue
-            ok &= possible(regs[0][part], size[0][part], regs[1], size[1], percent)
-            x, y = np.nonzero(ok)
-            a, b = regs[0][part][x].reshape(-1, BANDS, ROWS), regs[1][y].reshape(-1, BANDS, ROWS)
-            first = ((a == b).all(axis=2) & (a != EMPTY).any(axis=2)).argmax(axis=1) if len(x) else np.zeros(0, int)
-            bands = a[np.arange(len(x)), first].view(np.uint64).ravel() if len(x) else np.zeros(0, np.uint64)
-            mine = finish(bands + (first.astype(np.uint64) + np.uint64(1)) * MIX).view(np.int64) == pdf["key"].iloc[0]
-            p, q = doc[0][part][x[mine]], doc[1][y[mine]]
-            src.append(np.minimum(p, q))
-            dst.append(np.maximum(p, q))
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"src": np.concatenate(src or [none]), "dst": np.concatenate(dst or [none])})
-
-    return spread.groupBy("key", "ta", "tb").applyInPandas(run, "src long, dst long").join(tried, ["src", "dst"], "left_anti")
+              .join(sketch.select("doc", "n_shingles", "reg"), "doc").select("key", "ta", "tb", "tile", "doc", "component", "n_shingles", "reg"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, ends in whole_groups(batches):
+            key, ta, tb, tile, doc, comp, size = (table.column(c).to_numpy() for c in range(7))
+            reg = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            at, lists = [], []
+            for s, e in zip(starts, ends):
+                i, j = tile_pairs(key[s], ta[s] != tb[s], doc[s:e], comp[s:e], (tile[s:e] != ta[s]).astype(int), size[s:e], reg[s:e], percent)
+                if len(i):
+                    order = np.argsort(i, kind="stable")
+                    own, first = np.unique(i[order], return_index=True)
+                    at += (s + own).tolist()
+                    lists += np.split(doc[s:e][j[order]], first[1:])
+            got = np.array(at, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[got]) for x in (key, ta, tb, doc)] + [pa.array(lists, pa.list_(pa.int64()))], names=["key", "ta", "tb", "doc", "dsts"])
+
+    return grouped(spread).mapInArrow(run, "key long, ta int, tb int, doc long, dsts array<long>")
+
+
+def grouped(df: DataFrame) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
+
+
+def open_links(lists: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(src, dst): the pairs of `open_lists` that full sets confirm. A set goes once to each group in which its document has a pair."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], names=["doc", "s"])
+
+    involved = (lists.select("key", "ta", "tb", F.explode(F.array_union(F.array("doc"), F.col("dsts"))).alias("doc")).distinct()
+                .join(lists, ["key", "ta", "tb", "doc"], "left"))
+    sets = texts.join(involved.select("doc").distinct(), "doc", "left_semi").mapInArrow(make, "doc long, s binary")
+    rows = involved.join(sets, "doc").select("key", "ta", "tb", "doc", "s", "dsts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, ends in whole_groups(batches):
+            docs, src, dst = table.column(3).to_numpy(), [], []
+            for s, e in zip(starts, ends):
+                sets = [np.frombuffer(x, np.uint64) for x in table.column(4).slice(s, e - s).to_pylist()]
+                place = {d: k for k, d in enumerate(docs[s:e].tolist())}
+                size = np.array([len(x) for x in sets])
+                words, code = np.unique(np.concatenate(sets), return_inverse=True)
+                begin = np.r_[0, np.cumsum(size)]
+                mark = np.zeros(len(words), np.int32)
+                for k, partners in enumerate(table.column(5).slice(s, e - s).to_pylist()):
+                    if partners:
+                        mark[code[begin[k]:begin[k + 1]]] = 1
+                        to = np.array([place[d] for d in partners])
+                        if 8 * len(to) > len(sets):
+                            both = np.add.reduceat(mark[code], begin[:-1])[to]
+                        else:
+                            both = np.array([mark[code[begin[t]:begin[t + 1]]].sum() for t in to])
+                        mark[code[begin[k]:begin[k + 1]]] = 0
+                        ok = 100 * both >= percent * (size[k] + size[to] - both)
+                        src += [docs[s + k]] * int(ok.sum())
+                        dst += docs[s + to[ok]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return grouped(rows).mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80) -> DataFrame:
@@ -242,10 +361,10 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5,
     crowded = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = cut_lineage(bands.join(crowded, "key", "left_semi"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(reps.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
-    first = cut_lineage(hub_pairs(members))
+    first = cut_lineage(hub_pairs(members, reps, percent))
     linked = cut_lineage(confirmed(first, texts, width, percent))
     labels = components(linked)
-    rest = cut_lineage(confirmed(cut_lineage(open_pairs(members, labels, reps, first, percent)), texts, width, percent))
+    rest = cut_lineage(open_links(cut_lineage(open_lists(members, labels, reps, percent)), texts, width, percent))
     if rest.limit(1).count():
         labels = components(linked.unionByName(rest))
     by_class = (reps.join(labels, reps.doc == labels.node, "left")

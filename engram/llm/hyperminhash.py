@@ -266,7 +266,7 @@ def _ending(batches):
 
 def open_lists(members: DataFrame, labels: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """(key, ta, tb, doc, dsts): candidates of different components in buckets that hold more than one component, as a row per group
-    and document with its list of partners.
+    and document with its list of partners; a document that only is a partner has an empty list.
 
     A bucket's members are dealt to tiles by a hash of the id; each unordered pair of tiles is one group of about 2 * TILE rows."""
     comp = members.join(labels, members.doc == labels.node, "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
@@ -288,8 +288,9 @@ def open_lists(members: DataFrame, labels: DataFrame, sketch: DataFrame, percent
                 if len(i):
                     order = np.argsort(i, kind="stable")
                     own, first = np.unique(i[order], return_index=True)
-                    at += (s + own).tolist()
-                    lists += np.split(doc[s:e][j[order]], first[1:])
+                    partner_only = np.setdiff1d(j, own)
+                    at += (s + np.r_[own, partner_only]).tolist()
+                    lists += np.split(doc[s:e][j[order]], first[1:]) + [doc[:0]] * len(partner_only)
             got = np.array(at, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x[got]) for x in (key, ta, tb, doc)] + [pa.array(lists, pa.list_(pa.int64()))], names=["key", "ta", "tb", "doc", "dsts"])
 
@@ -307,10 +308,8 @@ def open_links(lists: DataFrame, texts: DataFrame, width: int, percent: int) ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], names=["doc", "s"])
 
-    involved = (lists.select("key", "ta", "tb", F.explode(F.array_union(F.array("doc"), F.col("dsts"))).alias("doc")).distinct()
-                .join(lists, ["key", "ta", "tb", "doc"], "left"))
-    sets = texts.join(involved.select("doc").distinct(), "doc", "left_semi").mapInArrow(make, "doc long, s binary")
-    rows = involved.join(sets, "doc").select("key", "ta", "tb", "doc", "s", "dsts")
+    sets = texts.join(lists.select("doc").distinct(), "doc", "left_semi").mapInArrow(make, "doc long, s binary")
+    rows = lists.join(sets, "doc").select("key", "ta", "tb", "doc", "s", "dsts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, ends in whole_groups(batches):

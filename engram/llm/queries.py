@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import hilbert, hyperminhash, langid, mtree, quality, spiece, toxicity
+from engram.llm import hilbert, hyperminhash, langid, line_dedup, mtree, quality, spiece, toxicity
 from engram.llm.common import broadcast_below, fold, labelled_sample, read
 
 QUERIES = {}
@@ -82,3 +82,22 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda i: i % 50 == 0, k=5)
+
+
+@query("op6_line_dedup", """
+WITH l AS (SELECT doc_id, CAST(hash(text) AS UBIGINT) AS th, CAST(i - 1 AS BIGINT) AS no, string_split(text, chr(10))[i] AS line, len(string_split(text, chr(10))) AS n
+           FROM documents, range(1, 100000) r(i) WHERE text IS NOT NULL AND i <= len(string_split(text, chr(10)))),
+t AS (SELECT * FROM l WHERE length(trim(line, ' ')) >= 12),
+c AS (SELECT line, min((doc_id, no)) AS f, length(line) AS n FROM t GROUP BY line),
+k AS (SELECT line, f, n AS m, left(line, n // 2) AS h, 0 AS side FROM c UNION ALL SELECT line, f, n - 1, left(line, (n - 1) // 2), 0 FROM c
+      UNION ALL SELECT line, f, n, right(line, n - n // 2), 1 FROM c UNION ALL SELECT line, f, n - 1, right(line, n - 1 - (n - 1) // 2), 1 FROM c),
+x AS (SELECT DISTINCT a.line FROM k a JOIN k b ON a.m = b.m AND a.side = b.side AND a.h = b.h AND b.f < a.f AND levenshtein(a.line, b.line) <= 1),
+g AS (SELECT t.doc_id, t.no FROM t JOIN c ON t.line = c.line WHERE (t.doc_id, t.no) <> c.f OR t.line IN (SELECT line FROM x)),
+o AS (SELECT l.doc_id, max(l.n) AS n_lines, count(g.no) AS n_dropped,
+             sha256(coalesce(string_agg(CASE WHEN g.no IS NULL THEN l.line END, chr(10) ORDER BY l.no), '')) AS text_sha256
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.no = g.no GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, text_sha256
+FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

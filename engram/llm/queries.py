@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontam, hilbert, hyperminhash, langid, line_dedup, mtree, quality, spiece, toxicity
+from engram.llm import decontam, hilbert, hyperminhash, langid, line_dedup, mtree, pii, quality, spiece, toxicity
 from engram.llm.common import broadcast_below, fold, labelled_sample, read
 
 QUERIES = {}
@@ -119,3 +119,9 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN i ON d.doc_id = i.doc_id""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.scan(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.as_text(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))

@@ -155,3 +155,16 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[np.ndarray,
             out = [f(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=[id_col, "score"])
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
+
+
+def kept(docs: DataFrame, text_col: str, model: tuple[np.ndarray, float], least: float) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose text scores `least` or more. Rows are judged one by one where they stand, so
+    nulls, repeated ids and clashing names need no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = scorer(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([f(t.as_py() or "") >= least for t in batch.column(at)], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

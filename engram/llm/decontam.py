@@ -84,12 +84,12 @@ def begins(index: DataFrame, chosen: DataFrame, slop: int = 0) -> DataFrame:
         met = met.join(broadcast_below(least, SMALL), "item").filter(F.size("have") >= F.col("least"))
         spans = need.groupBy("item").agg(F.collect_list(F.struct("start", "len", "need")).alias("spans"))
         got = met.join(broadcast_below(spans, SMALL // 100), "item").select("doc", "item", "begin", "have", F.explode("spans").alias("s"))
-        return (got.filter(F.size(F.array_except("s.need", "have")) == 0)
+        return (got.filter((F.size(F.array_except("s.need", "have")) == 0) & (F.col("begin") + F.col("s.start") >= 0))   # not before the text
                 .select("doc", "item", "s.start", "s.len", "begin", F.lit(False).alias("near")))
     # each list entry also stands for the begins within the slop around it
     spread = lists.select("doc", "item", "at", "begin", F.explode(F.sequence(F.col("begin") - slop, F.col("begin") + slop)).alias("b"))
     met = spread.groupBy("doc", "item", "b").agg(F.collect_set("at").alias("have"), F.collect_set(F.when(F.col("begin") == F.col("b"), F.col("at"))).alias("exact"))
-    got = met.join(broadcast_below(need, SMALL), "item").filter((F.size(F.array_except("need", "have")) == 0) & F.array_contains("exact", F.col("lead")))
+    got = met.join(broadcast_below(need, SMALL), "item").filter((F.size(F.array_except("need", "have")) == 0) & F.array_contains("exact", F.col("lead")) & (F.col("b") + F.col("start") >= 0))
     return got.select("doc", "item", "start", "len", F.col("b").alias("begin"), (F.size(F.array_except("need", "exact")) > 0).alias("near"))
 
 

@@ -234,14 +234,16 @@ def poisson_counts(activity: DataFrame, positions: DataFrame, cell: str, frame:
                     F.coalesce(F.col("s"), F.lit(0)).cast("double").alias("s")))
 
 
-def poisson_tuning(stats: DataFrame, cell: str, rounds: int = 8) -> DataFrame:
+def poisson_tuning(stats: DataFrame, cell: str, tolerance: float = 1e-8, rounds: int = 100) -> DataFrame:
     """Coefficients of log rate = b0 + b1 x + b2 y per cell by Newton steps.
 
     All cells are fitted together: a round is one aggregation of the 3x3 normal equations per cell
-    and their closed-form solution.
+    and their closed-form solution.  Rounds go on until no coefficient moves by more than ``tolerance``.
+    ``converged`` is false for a cell whose equations are singular or that still moves after ``rounds``
+    rounds; such a cell has no finite answer (its spikes lie on one side of a line).
     """
     stats = cut_lineage(stats)
-    beta = stats.groupBy(cell).agg(F.log(F.sum("s") / F.sum("w")).alias("b0"), F.lit(0.0).alias("b1"), F.lit(0.0).alias("b2"))
+    beta = stats.groupBy(cell).agg(F.log(F.sum("s") / F.sum("w")).alias("b0"), F.lit(0.0).alias("b1"), F.lit(0.0).alias("b2"), F.lit(False).alias("converged"))
     x, y = F.col("x"), F.col("y")
     for _ in range(rounds):
         m = F.col("w") * F.exp(F.col("b0") + F.col("b1") * x + F.col("b2") * y)
@@ -256,7 +258,13 @@ def poisson_tuning(stats: DataFrame, cell: str, rounds: int = 8) -> DataFrame:
         d1 = a * (q * i - f * r) - p * (b * i - f * c) + c * (b * r - q * c)
         d2 = a * (e * r - q * f) - b * (b * r - q * c) + p * (b * f - e * c)
         step = lambda k, n: (F.col(k) + F.coalesce(F.try_divide(n, det), F.lit(0.0))).alias(k)
-        beta = cut_lineage(eq.select(cell, step("b0", d0), step("b1", d1), step("b2", d2)))
+        still = F.greatest(*[F.abs(F.try_divide(n, det)) for n in (d0, d1, d2)])
+        beta = cut_lineage(eq.select(cell, step("b0", d0), step("b1", d1), step("b2", d2), F.coalesce(still <= tolerance, F.lit(False)).alias("converged"),
+                                     F.coalesce(det == 0, F.lit(True)).alias("_stuck")))
+        moving = beta.filter("NOT converged AND NOT _stuck").limit(1).count()
+        beta = beta.drop("_stuck")
+        if not moving:
+            break
     return beta
 
 
@@ -267,9 +275,12 @@ def tuning_on_grid(beta: DataFrame, grid: DataFrame, cell: str) -> DataFrame:
             .select(cell, "iy", "ix", "gx", "gy", F.exp(F.col("b0") + F.col("b1") * F.col("gx") + F.col("b2") * F.col("gy")).alias("lam")))
 
 
-def bayes_decode(activity: DataFrame, tuning: DataFrame, cell: str, frame: str, count: str, parts: int | None = None) -> DataFrame:
+def bayes_decode(activity: DataFrame, tuning: DataFrame, cell: str, frame: str, count: str, parts: int | None = None, frames: DataFrame | None = None) -> DataFrame:
     """Most likely grid point of every frame under independent Poisson cells.
 
+    ``frames`` names the frames to decode; those without a spike get the point where silence is most likely.  Without it only frames with
+    spikes are decoded.
+
     log p = sum over active cells of count * ln(lambda) minus the sum of all lambdas, which does not
     depend on the frame.  Ties go to the first grid point in row order.
     """
@@ -280,6 +291,11 @@ def bayes_decode(activity: DataFrame, tuning: DataFrame, cell: str, frame: str,
     act = act.repartition(parts, frame) if parts else act.repartition(frame)
     ll = act.join(lam, cell).groupBy(frame, "iy", "ix").agg(F.sum(F.col(count) * F.col("_ln")).alias("_ll"))
     score = F.round(F.col("_ll") - F.col("_base"), 9)
-    return (ll.join(base, ["iy", "ix"]).groupBy(frame)
-              .agg(F.max(F.struct(score.alias("s"), (-F.col("iy")).alias("y"), (-F.col("ix")).alias("x"))).alias("_b"))
-              .select(frame, (-F.col("_b.y")).alias("iy"), (-F.col("_b.x")).alias("ix"), F.col("_b.s").alias("loglik")))
+    best = lambda s: F.max(F.struct(s.alias("s"), (-F.col("iy")).alias("y"), (-F.col("ix")).alias("x"))).alias("_b")
+    found = ll.join(base, ["iy", "ix"]).groupBy(frame).agg(best(score))
+    if frames is not None:
+        silent = base.agg(best(F.round(-F.col("_base"), 9)))
+        wanted = frames.select(frame).distinct()
+        rest = wanted.join(found.select(frame), frame, "left_anti")
+        found = found.join(wanted, frame, "left_semi").unionByName(rest.crossJoin(F.broadcast(silent)))   # silent: one row
+    return (found.select(frame, (-F.col("_b.y")).alias("iy"), (-F.col("_b.x")).alias("ix"), F.col("_b.s").alias("loglik")))

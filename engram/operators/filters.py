@@ -68,7 +68,12 @@ def speed_upper_bound(df: DataFrame, keys: list[str], speed: str, bandwidth: flo
 
 
 def speed_bandpass(df: DataFrame, keys: list[str], speed: str, mode: str = "none", lower: float = 2.0,
-                   upper: float = 15.0, bandwidth: float = 2.0, frames_needed: float = 10.0) -> DataFrame:
+                   upper: float = 15.0, bandwidth: float = 2.0, frames_needed: float = 10.0,
+                   missing: str = "error") -> DataFrame:
+    """Frames inside a speed band: none, fixed, or from ``lower`` to the adaptive bound, which comes along as ``upper_speed``.
+
+    A unit without a band that holds enough frames has no bound: ``missing`` raises an error, or keeps all its frames with a NULL bound.
+    """
     v = F.col(speed)
     if mode == "none":
         return df
@@ -76,7 +81,9 @@ def speed_bandpass(df: DataFrame, keys: list[str], speed: str, mode: str = "none
         return df.filter((v >= lower) & (v <= upper))
     if mode == "adaptive":
         bound = speed_upper_bound(df, keys, speed, bandwidth, frames_needed)
-        return df.join(bound, keys).filter((v >= lower) & (v <= F.col("upper_speed")))
+        found = F.col("upper_speed").isNotNull()
+        stop = F.raise_error(F.lit("no speed band holds enough frames")).cast("boolean") if missing == "error" else F.lit(True)
+        return df.join(bound, keys, "left").filter(F.when(found, (v >= lower) & (v <= F.col("upper_speed"))).otherwise(stop))
     raise ValueError(f"unknown band pass {mode!r}")
 
 

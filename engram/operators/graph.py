@@ -64,17 +64,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def dedup_hub(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def dedup_hub(edges: DataFrame) -> DataFrame:
     """Nodes removed when the node of highest degree (tie: largest id) goes first until no edge is left.
 
     A node that outranks all its neighbours goes before any of them whatever happens elsewhere, so
-    all such nodes go in the same round; the outcome is that of one removal at a time.
+    all such nodes go in the same round; the outcome is that of one removal at a time.  The node that
+    outranks all others goes in every round, so the loop ends.
     """
     arcs = cut_lineage(both_ways(edges.filter("src <> dst")).distinct())
     removed = None
-    for _ in range(max_rounds):
-        if arcs.limit(1).count() == 0:
-            break
+    while arcs.limit(1).count():
         deg = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("_d"))
         rank = deg.select(F.col("src").alias("dst"), F.struct("_d", F.col("src").alias("_i")).alias("_rank"))
         best = arcs.join(rank, "dst").groupBy("src").agg(F.max("_rank").alias("_best"))
@@ -83,8 +82,6 @@ def dedup_hub(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         removed = go if removed is None else removed.unionByName(go)
         arcs = cut_lineage(arcs.join(go.select(F.col("node").alias("src")), "src", "left_anti")
                                .join(go.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    else:
-        raise RuntimeError("removal did not settle; raise max_rounds")
     if removed is None:
         return edges.select(F.col("src").alias("node"), F.lit(0).cast("bigint").alias("degree")).filter("false")
     return removed

@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from engram.functions import kernels as K
 from engram.functions.exprs import ratio
@@ -65,14 +66,67 @@ def _fourier(df: DataFrame, keys, t: Column, value: Column, freqs: list[float])
     return df.groupBy(*keys).agg(*aggs).select(*keys, F.inline(rows))
 
 
-def power_spectrum(df: DataFrame, keys, frame, value, freqs: list[float], rate: float) -> DataFrame:
-    """|DFT|^2 at the given frequencies."""
-    got = _fourier(df, keys, F.col(frame) / F.lit(float(rate)), F.col(value), freqs)
-    return got.select(*keys, "freq", (F.col("c") * F.col("c") + F.col("s") * F.col("s")).alias("power"))
+CHUNK = 1 << 16        # frames that a task of the spectrum holds, if the length of the recording has suitable divisors
 
 
-def welch(df: DataFrame, keys, frame, value, segment: int, rate: float, n_freq: int) -> DataFrame:
-    """Amplitude density: Hann windows of ``segment`` frames with half overlap, means removed."""
+def _factor(n: int) -> int:
+    """The smallest divisor a of n with n / a within CHUNK; the one nearest the square root of n if that is beyond CHUNK."""
+    divisors = sorted({d for k in range(1, math.isqrt(n) + 1) if n % k == 0 for d in (k, n // k)})
+    a = next(d for d in divisors if n // d <= CHUNK)
+    return a if a <= CHUNK else max(d for d in divisors if d * d <= n)
+
+
+def power_spectrum(df: DataFrame, keys, frame, value, rate: float) -> DataFrame:
+    """|DFT|^2 of a whole recording at all its frequencies, 0 up to half the rate.
+
+    A recording of n = a * b frames is transformed in two steps: b frames at a time (equal frame modulo a), then their a results for each
+    of b frequencies, some frequencies at a time. A task holds about CHUNK frames, whatever the length, unless the length has no divisors.
+    Missing frames are 0.
+    """
+    keys = list(keys)
+    ext = df.groupBy(*keys).agg((F.max(frame) + 1).cast("int").alias("_n"))
+    size = ext.select("_n").distinct().collect()          # one row per length of recording
+    parts = [(r["_n"], _factor(r["_n"])) for r in size]
+    a_of = F.lit(1)
+    for n, a in parts:
+        a_of = F.when(F.col("_n") == n, a).otherwise(a_of)
+    rows = df.join(ext, keys).withColumn("_a", a_of.cast("int")).select(*keys, "_n", "_a", F.col(frame).cast("int").alias("_t"), F.col(value).cast("double").alias("_v"))
+    rows = rows.withColumn("_r", F.col("_t") % F.col("_a"))
+    head = [df.schema[k] for k in keys] + [T.StructField("_n", T.IntegerType()), T.StructField("_a", T.IntegerType())]
+    first = T.StructType(head + [T.StructField("_r", T.IntegerType()), T.StructField("_k", T.IntegerType()), T.StructField("_re", T.DoubleType()), T.StructField("_im", T.DoubleType())])
+    last = T.StructType([df.schema[k] for k in keys] + [T.StructField("freq", T.DoubleType()), T.StructField("power", T.DoubleType())])
+
+    def with_keys(out: pd.DataFrame, pdf: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
+        for c in schema.names:
+            if c not in out:
+                out[c] = pdf[c].iloc[0]
+        return out[schema.names]
+
+    def inner(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, a, r = int(pdf["_n"].iloc[0]), int(pdf["_a"].iloc[0]), int(pdf["_r"].iloc[0])
+        x = np.zeros(n // a)
+        np.add.at(x, pdf["_t"].to_numpy() // a, pdf["_v"].fillna(0.0).to_numpy())
+        k = np.arange(n // a)
+        y = np.fft.fft(x) * np.exp(-2j * np.pi * r * k / n)
+        return with_keys(pd.DataFrame({"_k": k.astype(np.int32), "_re": y.real, "_im": y.imag}), pdf, first)
+
+    def outer(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, a = int(pdf["_n"].iloc[0]), int(pdf["_a"].iloc[0])
+        k, at = np.unique(pdf["_k"].to_numpy(), return_inverse=True)
+        x = np.zeros((len(k), a), complex)
+        x[at, pdf["_r"].to_numpy()] = pdf["_re"].to_numpy() + 1j * pdf["_im"].to_numpy()
+        y = np.fft.fft(x, axis=1)
+        freq = k[:, None] + (n // a) * np.arange(a)[None, :]
+        keep = freq <= n // 2
+        return with_keys(pd.DataFrame({"freq": freq[keep] * rate / n, "power": np.abs(y[keep]) ** 2}), pdf, last)
+
+    halves = rows.groupBy(*keys, "_n", "_a", "_r").applyInPandas(inner, first)
+    some = F.floor(F.col("_k") / F.ceil(F.lit(CHUNK) / F.col("_a"))).alias("_some")
+    return halves.groupBy(*keys, "_n", "_a", some).applyInPandas(outer, last)
+
+
+def welch(df: DataFrame, keys, frame, value, segment: int, rate: float) -> DataFrame:
+    """Amplitude density: Hann windows of ``segment`` frames with half overlap, means removed; all segment // 2 + 1 one-sided bins."""
     half = segment // 2
     ext = df.groupBy(*keys).agg((F.max(frame) + 1).alias("_n"))
     q = F.floor(F.col(frame) / half)
@@ -84,9 +138,9 @@ def welch(df: DataFrame, keys, frame, value, segment: int, rate: float, n_freq:
     x = (F.col(value) - F.col("_m")) * win
     hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(segment) / segment)
     scale = 2.0 / (rate * float((hann ** 2).sum()))
-    freqs = [i * rate / segment for i in range(n_freq)]
+    freqs = [i * rate / segment for i in range(half + 1)]
     parts = _fourier(seg.join(mean, [*keys, "_seg"]), [*keys, "_seg"], k / F.lit(float(rate)), x, freqs)
-    p = (F.col("c") * F.col("c") + F.col("s") * F.col("s")) * F.lit(scale) * F.when(F.col("k") == 0, 0.5).otherwise(1.0)
+    p = (F.col("c") * F.col("c") + F.col("s") * F.col("s")) * F.lit(scale) * F.when(F.col("k").isin(*([0, half] if segment % 2 == 0 else [0])), 0.5).otherwise(1.0)
     return parts.groupBy(*keys, "freq").agg(F.sqrt(F.avg(p)).alias("density"))
 
 

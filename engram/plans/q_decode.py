@@ -242,7 +242,7 @@ def place_counts(spark, d):
     return E.poisson_counts(S.activity(spark, d), pos, "cell_id", "frame", "n", "x", "y"), pos
 
 
-def _newton_sql(rounds=8):
+def _newton_sql(rounds=14):
     out = ["""pl AS (SELECT CAST(ix AS DOUBLE) AS x, CAST(iy AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS w FROM pos GROUP BY 1, 2),
         fi AS (SELECT cell_id, CAST(ix AS DOUBLE) AS x, CAST(iy AS DOUBLE) AS y, sum(n) AS s FROM activity JOIN pos USING (frame) GROUP BY 1, 2, 3),
         ss AS (SELECT c.cell_id, pl.x, pl.y, pl.w, CAST(coalesce(fi.s, 0) AS DOUBLE) AS s FROM (SELECT DISTINCT cell_id FROM activity) c CROSS JOIN pl LEFT JOIN fi ON fi.cell_id = c.cell_id AND fi.x = pl.x AND fi.y = pl.y),
@@ -255,10 +255,10 @@ def _newton_sql(rounds=8):
     return ",\n".join(out)
 
 
-@query("poisson_tuning", with_views("activity", POS, _newton_sql(), "SELECT cell_id, round(b0, 5) + 0.0 AS b0, round(b1, 5) + 0.0 AS b1, round(b2, 5) + 0.0 AS b2 FROM be8"))
+@query("poisson_tuning", with_views("activity", POS, _newton_sql(), "SELECT cell_id, round(b0, 5) + 0.0 AS b0, round(b1, 5) + 0.0 AS b1, round(b2, 5) + 0.0 AS b2, true AS converged FROM be14"))
 def poisson_tuning(spark, d):
     beta = E.poisson_tuning(place_counts(spark, d)[0], "cell_id")
-    return beta.select("cell_id", *[r(c, 5).alias(c) for c in ("b0", "b1", "b2")])
+    return beta.select("cell_id", *[r(c, 5).alias(c) for c in ("b0", "b1", "b2")], "converged")
 
 
 LAM = """lm AS (SELECT c.cell_id, o.iy, o.ix, (coalesce(m.n, 0) + 0.5) / o.seconds AS lam FROM (SELECT DISTINCT cell_id FROM activity) c CROSS JOIN (SELECT iy, ix, count(*) AS seconds FROM pos GROUP BY 1, 2) o
@@ -274,9 +274,12 @@ def empirical_tuning(spark, d):
 @query("bayes_decode", with_views("activity", POS, LAM, """bs AS (SELECT iy, ix, sum(lam) AS base FROM lm GROUP BY 1, 2),
     ll AS (SELECT frame, iy, ix, sum(n * ln(greatest(lam, 1e-12))) AS ll FROM activity JOIN lm USING (cell_id) GROUP BY 1, 2, 3),
     rk AS (SELECT frame, iy, ix, ll - base AS s, row_number() OVER (PARTITION BY frame ORDER BY round(ll - base, 9) DESC, iy, ix) AS rk FROM ll JOIN bs USING (iy, ix))""",
-    "SELECT frame, iy, ix, round(s, 5) + 0.0 AS loglik FROM rk WHERE rk = 1"))
+    """SELECT frame, iy, ix, round(s, 5) + 0.0 AS loglik FROM rk WHERE rk = 1 UNION ALL
+    SELECT frame, iy, ix, round(-base, 5) + 0.0 FROM (SELECT DISTINCT frame FROM pos) CROSS JOIN (SELECT * FROM bs ORDER BY round(-base, 9) DESC, iy, ix LIMIT 1)
+    WHERE frame NOT IN (SELECT frame FROM rk)"""))
 def bayes_decode(spark, d):
-    return E.bayes_decode(S.activity(spark, d), empirical_tuning(spark, d), "cell_id", "frame", "n").withColumn("loglik", r("loglik", 5))
+    frames = positions(spark, d).select("frame").unionByName(S.activity(spark, d).select("frame"))
+    return E.bayes_decode(S.activity(spark, d), empirical_tuning(spark, d), "cell_id", "frame", "n", frames=frames).withColumn("loglik", r("loglik", 5))
 
 
 @query("bayes_run")
@@ -290,7 +293,7 @@ def bayes_run(spark, d):
     act = active_cells(S.activity(spark, d), ["cell_id"], ["frame"], "n", 25).select("cell_id", "frame", "n")
     beta = E.poisson_tuning(E.poisson_counts(act.join(train.select("frame"), "frame", "left_semi"), train, "cell_id", "frame", "n", "x", "y"), "cell_id")
     tuning = E.tuning_on_grid(beta, E.place_grid(train, "x", "y", 10), "cell_id")
-    got = E.bayes_decode(act.join(test.select("frame"), "frame", "left_semi"), tuning, "cell_id", "frame", "n")
+    got = E.bayes_decode(act.join(test.select("frame"), "frame", "left_semi"), tuning, "cell_id", "frame", "n", frames=test)
     spots = E.place_grid(train, "x", "y", 10)
     err = F.sqrt((F.col("gx") - F.col("x")) ** 2 + (F.col("gy") - F.col("y")) ** 2)
     return got.join(spots, ["iy", "ix"]).join(test, "frame").select("frame", r("gx", 4).alias("px"), r("gy", 4).alias("py"), r(err, 4).alias("error"))

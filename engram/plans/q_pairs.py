@@ -1,5 +1,7 @@
 """Joins, pairs and graphs."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from engram.functions.blocks import frame_block
@@ -322,10 +324,12 @@ def subsample_nodes(spark, d):
     return H.subsample_nodes(H.degrees(H_graph(spark, d)).select("node"), "node", 20, 1)
 
 
-@query("set_union_sessions", with_views("spikes", "SELECT kind AS session, event_id AS frame, value FROM spikes WHERE kind = 'click' UNION ALL SELECT kind, event_id, value FROM spikes WHERE kind = 'view'"))
+@query("set_union_sessions", with_views("spikes", "SELECT kind AS session, event_id AS frame, value FROM spikes"))
 def set_union_sessions(spark, d):
     s = S.spikes(spark, d).select(F.col("kind").alias("session"), F.col("event_id").alias("frame"), "value")
-    return s.filter("session = 'click'").unionByName(s.filter("session = 'view'"))
+    kinds = [row["session"] for row in s.select("session").distinct().collect()]   # one row per session
+    parts = [s.filter(F.col("session") == k) for k in kinds]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("set_intersect_frames", with_views("activity", "SELECT frame FROM activity WHERE cell_id % 2 = 0 AND n >= 2 INTERSECT SELECT frame FROM activity WHERE cell_id % 2 = 1 AND n >= 2"))

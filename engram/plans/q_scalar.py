@@ -173,9 +173,9 @@ def split_data_range(spark, d):
     g AS (SELECT unit, lo, ne, unnest(range(0, ne - 11)) AS j FROM e WHERE ne > 11),
     b AS (SELECT g.unit, g.lo, g.j, sum(c) AS c FROM g JOIN h ON h.unit = g.unit AND h.i BETWEEN g.j AND g.j + 9 GROUP BY 1, 2, 3 HAVING sum(c) >= 10),
     u AS (SELECT unit, max(j) AS j, any_value(lo) AS lo FROM b GROUP BY 1)""",
-    f"SELECT {IDS}, x FROM tracking JOIN u USING (unit) WHERE x >= 2 AND x <= lo + (j - 4) * 0.2"))
+    f"SELECT {IDS}, x, round(lo + (j - 4) * 0.2, 6) + 0.0 AS upper_speed FROM tracking LEFT JOIN u USING (unit) WHERE j IS NULL OR (x >= 2 AND x <= lo + (j - 4) * 0.2)"))
 def speed_bandpass(spark, d):
-    return filters.speed_bandpass(S.tracking(spark, d), ["unit"], "x", "adaptive", frames_needed=10).select(*ID, "x")
+    return filters.speed_bandpass(S.tracking(spark, d), ["unit"], "x", "adaptive", frames_needed=10, missing="keep").select(*ID, "x", r("upper_speed").alias("upper_speed"))
 
 
 @query("nonvisited_drop", with_views("tracking", """p AS (SELECT *, x + (pk % 7) * 10 AS px FROM tracking),

@@ -391,18 +391,20 @@ def notch(spark, d):
     return G.notch(S.traces(spark, d), CELL, "frame", "f", 5.0, 30.0, 120).select("cell_id", "frame", r("clean").alias("clean"))
 
 
-@query("power_spectrum", with_views("traces", "fq AS (SELECT unnest(range(0, 25)) * 6e-1 AS freq)",
-    """SELECT cell_id, freq, round(ln(1 + sum(f * cos(frame / 30 * (2 * pi() * freq))) ^ 2 + sum(f * sin(frame / 30 * (2 * pi() * freq))) ^ 2), 5) + 0.0 AS log_power FROM traces CROSS JOIN fq GROUP BY 1, 2"""))
+@query("power_spectrum", with_views("traces", """nn AS (SELECT cell_id, max(frame) + 1 AS n FROM traces GROUP BY 1),
+    kk AS (SELECT cell_id, n, unnest(range(0, n // 2 + 1)) AS k FROM nn)""",
+    """SELECT cell_id, round(k * 30 / n, 6) + 0.0 AS freq, round(ln(1 + sum(f * cos(2 * pi() * ((k * frame) % n) / n)) ^ 2 + sum(f * sin(2 * pi() * ((k * frame) % n) / n)) ^ 2), 5) + 0.0 AS log_power
+    FROM kk JOIN traces USING (cell_id) GROUP BY cell_id, k, n"""))
 def power_spectrum(spark, d):
-    out = G.power_spectrum(S.traces(spark, d), CELL, "frame", "f", [k * 0.6 for k in range(25)], 30.0)
-    return out.select("cell_id", "freq", r(F.log(1 + F.col("power")), 5).alias("log_power"))
+    out = G.power_spectrum(S.traces(spark, d), CELL, "frame", "f", 30.0)
+    return out.select("cell_id", r("freq").alias("freq"), r(F.log(1 + F.col("power")), 5).alias("log_power"))
 
 
 @query("welch", with_views("traces", """sg AS (SELECT cell_id, frame, f, frame // 32 - o AS seg FROM traces CROSS JOIN (VALUES (0), (1)) v(o)),
     s2 AS (SELECT * FROM sg WHERE seg >= 0 AND seg * 32 + 64 <= (SELECT max(frame) + 1 FROM traces)),
     mm AS (SELECT cell_id, seg, avg(f) AS m FROM s2 GROUP BY 1, 2),
     xx AS (SELECT cell_id, seg, frame - seg * 32 AS k, (f - m) * (0.5 - 0.5 * cos((frame - seg * 32) * (2 * pi() / 64))) AS x FROM s2 JOIN mm USING (cell_id, seg)),
-    pw AS (SELECT cell_id, seg, j, sum(x * cos(k * (2 * pi() * j / 64))) ^ 2 + sum(x * sin(k * (2 * pi() * j / 64))) ^ 2 AS p FROM xx CROSS JOIN (SELECT unnest(range(0, 17)) AS j) GROUP BY 1, 2, 3)""",
-    "SELECT cell_id, j * 30 / 64 AS freq, round(sqrt(avg(p * 2 / (30 * 24) * CASE WHEN j = 0 THEN 0.5 ELSE 1 END)), 6) + 0.0 AS density FROM pw GROUP BY 1, 2"))
+    pw AS (SELECT cell_id, seg, j, sum(x * cos(k * (2 * pi() * j / 64))) ^ 2 + sum(x * sin(k * (2 * pi() * j / 64))) ^ 2 AS p FROM xx CROSS JOIN (SELECT unnest(range(0, 33)) AS j) GROUP BY 1, 2, 3)""",
+    "SELECT cell_id, j * 30 / 64 AS freq, round(sqrt(avg(p * 2 / (30 * 24) * CASE WHEN j IN (0, 32) THEN 0.5 ELSE 1 END)), 6) + 0.0 AS density FROM pw GROUP BY 1, 2"))
 def welch(spark, d):
-    return G.welch(S.traces(spark, d), CELL, "frame", "f", 64, 30.0, 17).select("cell_id", "freq", r("density").alias("density"))
+    return G.welch(S.traces(spark, d), CELL, "frame", "f", 64, 30.0).select("cell_id", "freq", r("density").alias("density"))

@@ -375,3 +375,33 @@ def test_plans_have_no_nested_loops(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     plan = QUERIES["bin_floor"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in plan
+
+
+def test_spectrum_in_two_steps_equals_one_transform(spark, monkeypatch):
+    import numpy as np
+    from engram.operators import signal as G
+    rng = np.random.default_rng(3)
+    x = {1: rng.normal(size=720), 2: rng.normal(size=97), 3: rng.normal(size=1001)}
+    df = spark.createDataFrame([(c, t, float(v)) for c, xs in x.items() for t, v in enumerate(xs)], "cell int, t int, v double")
+    for chunk in (1 << 16, 40):
+        monkeypatch.setattr(G, "CHUNK", chunk)
+        got = G.power_spectrum(df, ["cell"], "t", "v", 30.0).collect()
+        for c, xs in x.items():
+            mine = sorted((r["freq"], r["power"]) for r in got if r["cell"] == c)
+            want = np.abs(np.fft.rfft(xs)) ** 2
+            assert len(mine) == len(want) and np.allclose([p for _, p in mine], want) and np.allclose([f for f, _ in mine], np.fft.rfftfreq(len(xs), 1 / 30))
+
+
+def test_hub_removal_of_a_long_chain(spark):
+    n = 40
+    got = {r["node"] for r in H.dedup_hub(spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")).collect()}
+    assert got == greedy_hub([(i, i + 1) for i in range(n)])
+
+
+def test_speed_band_shows_units_without_a_band(spark):
+    from engram.operators import filters
+    df = spark.createDataFrame([("a", float(v)) for v in range(3)], "unit string, v double")
+    kept = filters.speed_bandpass(df, ["unit"], "v", "adaptive", missing="keep").collect()
+    assert len(kept) == 3 and all(r["upper_speed"] is None for r in kept)
+    with pytest.raises(Exception, match="no speed band"):
+        filters.speed_bandpass(df, ["unit"], "v", "adaptive").collect()

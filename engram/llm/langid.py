@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from engram.llm.common import broadcast_below
+
 PROFILE = 400              # n-grams of a language profile
 OWN = 300                  # n-grams of a document
 GRAMS = (1, 2, 3)
@@ -46,7 +48,8 @@ def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bound: i
     known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
     sizes = known.groupBy(lang_col).agg(F.count("*").alias("__n"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(1 << 30))
-    return known.join(sizes, lang_col).filter(draw < F.lit(float(1 << 30)) * bound / F.col("__n")).select(id_col, text_col, lang_col)
+    # a row per language; beyond 10,000 languages the join would shuffle
+    return known.join(broadcast_below(sizes, 10_000), lang_col).filter(draw < F.lit(float(1 << 30)) * bound / F.col("__n")).select(id_col, text_col, lang_col)
 
 
 def learn(docs: DataFrame, text_col: str, lang_col: str) -> list[tuple[str, list[str]]]:

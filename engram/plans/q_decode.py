@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from engram.functions.exprs import rounded as r
 from engram.operators import decode as E, fields as D, joins as J, maps as M, nulls as N, pairs as P, signal as G
 from engram.plans.q_pairs import DAYS, predicted, PRED
+from engram.operators.filters import mobile_split
 from engram.plans.registry import query
 from engram.sources import tables as S
 from engram.sources.tables import with_views
@@ -282,18 +283,37 @@ def bayes_decode(spark, d):
     return E.bayes_decode(S.activity(spark, d), empirical_tuning(spark, d), "cell_id", "frame", "n", frames=frames).withColumn("loglik", r("loglik", 5))
 
 
-@query("bayes_run")
-def bayes_run(spark, d):
-    """Mobile frames -> 80/20 split -> active cells -> Poisson fit -> decoding of the test frames -> error."""
+def _decoded(spark, d, pos, fit_on):
+    """(frame, px, py, error) of the test frames: 80/20 split -> active cells -> Poisson fit on the frames of ``fit_on`` -> decoding."""
     from engram.functions.blocks import frame_block
     from engram.operators.filters import active_cells, train_test_split
-    pos = positions(spark, d).select("frame", F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"))
     parts = train_test_split(pos, [], ["frame"], frame_block(), 0.8)
-    train, test = parts.filter("part = 'train'").drop("part"), parts.filter("part = 'test'").drop("part")
+    train, test = fit_on(parts.filter("part = 'train'").drop("part")), parts.filter("part = 'test'").drop("part")
     act = active_cells(S.activity(spark, d), ["cell_id"], ["frame"], "n", 25).select("cell_id", "frame", "n")
-    beta = E.poisson_tuning(E.poisson_counts(act.join(train.select("frame"), "frame", "left_semi"), train, "cell_id", "frame", "n", "x", "y"), "cell_id")
-    tuning = E.tuning_on_grid(beta, E.place_grid(train, "x", "y", 10), "cell_id")
+    places = train.select("frame", "x", "y")
+    beta = E.poisson_tuning(E.poisson_counts(act.join(places.select("frame"), "frame", "left_semi"), places, "cell_id", "frame", "n", "x", "y"), "cell_id")
+    tuning = E.tuning_on_grid(beta, E.place_grid(places, "x", "y", 10), "cell_id")
     got = E.bayes_decode(act.join(test.select("frame"), "frame", "left_semi"), tuning, "cell_id", "frame", "n", frames=test)
-    spots = E.place_grid(train, "x", "y", 10)
     err = F.sqrt((F.col("gx") - F.col("x")) ** 2 + (F.col("gy") - F.col("y")) ** 2)
-    return got.join(spots, ["iy", "ix"]).join(test, "frame").select("frame", r("gx", 4).alias("px"), r("gy", 4).alias("py"), r(err, 4).alias("error"))
+    return (got.join(E.place_grid(places, "x", "y", 10), ["iy", "ix"]).join(test, "frame")
+            .select("frame", r("gx", 4).alias("px"), r("gy", 4).alias("py"), r(err, 4).alias("error"), *[c for c in test.columns if c == "mobile"]))
+
+
+def _places(spark, d):
+    return positions(spark, d).select("frame", F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"))
+
+
+@query("bayes_run")
+def bayes_run(spark, d):
+    """Decoding of the test frames by a fit on all training frames."""
+    return _decoded(spark, d, _places(spark, d), lambda train: train)
+
+
+@query("bayes_pipeline")
+def bayes_pipeline(spark, d):
+    """Speed -> mobile split -> fit on the mobile training frames -> decoding and error of all test frames, mobile or not."""
+    pos = _places(spark, d)
+    before = pos.select((F.col("frame") + 1).alias("frame"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    step = F.sqrt((F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2)
+    moving = mobile_split(pos.join(before, "frame", "left").withColumn("speed", F.coalesce(step, F.lit(0.0))), "speed", 1.5)
+    return _decoded(spark, d, moving.select("frame", "x", "y", "mobile"), lambda train: train.filter("mobile"))

@@ -15,11 +15,14 @@ from engram.sources.tables import with_views
 HOUR = S.HOUR_US
 
 
-@query("join_frame_position", with_views("activity track", """SELECT cell_id, frame, round(f, 4) + 0.0 AS f, x, y FROM activity
-    JOIN (SELECT frame, x, y FROM track WHERE session = 0) USING (frame)"""))
+@query("join_frame_position", with_views("activity track", """SELECT cell_id, session, frame, round(f, 4) + 0.0 AS f, x, y
+    FROM (SELECT *, cell_id % (SELECT max(session) + 1 FROM track) AS session FROM activity) JOIN track USING (session, frame)"""))
 def join_frame_position(spark, d):
-    pos = S.track(spark, d).filter("session = 0").select("frame", "x", "y")
-    return J.join_frame_position(S.activity(spark, d), pos, ["frame"]).select("cell_id", "frame", r("f", 4).alias("f"), "x", "y")
+    """Every cell is recorded in one of all sessions of the track."""
+    sessions = S.tracking(spark, d).agg((F.max("unit") + 1).alias("_n"))   # one row
+    act = S.activity(spark, d).crossJoin(F.broadcast(sessions)).withColumn("session", F.col("cell_id") % F.col("_n")).drop("_n")
+    pos = S.track(spark, d).select("session", "frame", "x", "y")
+    return J.join_frame_position(act, pos, ["session", "frame"]).select("cell_id", "session", "frame", r("f", 4).alias("f"), "x", "y")
 
 
 @query("join_spike_position", with_views("spikes", """fr AS (SELECT DISTINCT t_us AS frame_t, value AS x FROM spikes WHERE kind = 'click')""",

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from engram.functions.blocks import sequence
+from engram.functions.ranks import numbered
 from engram.functions.exprs import col, histogram_bin, ratio
 
 
@@ -204,5 +205,6 @@ def activity_map_1d(df: DataFrame, keys: list[str], pos: Column, value: str, mov
 def order_by_peak(maps: DataFrame, keys: list[str], cell: str, pos: str = "bin", value: str = "rate") -> DataFrame:
     """Rank cells by the position of their peak; the ranking sees one row per cell."""
     peak = maps.groupBy(*keys, cell).agg(F.max_by(pos, F.struct(F.col(value), -F.col(pos))).alias("peak_bin"))
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    return peak.withColumn("rank", F.row_number().over(w.orderBy("peak_bin", cell)))
+    if not keys:
+        return numbered(peak, ["peak_bin", cell], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
+    return peak.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("peak_bin", cell)))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from engram.functions import kernels as K
 from engram.functions.blocks import (block_window, core, frame_block, run_bounds,
                                      sequence, with_halo)
+from engram.functions.ranks import numbered
 from engram.functions.exprs import col, ratio
 from engram.functions.quantiles import exact_quantile
 
@@ -321,8 +322,8 @@ def trace_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, label: str, out: str = "dense_id") -> DataFrame:
-    """Relabel 0..n-1; only the distinct labels are ranked."""
-    ids = df.select(label).distinct().withColumn(out, (F.dense_rank().over(W.partitionBy(F.lit(1)).orderBy(label)) - 1))
+    """Relabel 0..n-1; only the distinct labels are ranked, by ranges."""
+    ids = numbered(df.select(label).distinct(), [label], out).withColumn(out, F.col(out).cast("int"))
     return df.join(ids, label)
 
 

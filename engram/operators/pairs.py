@@ -101,6 +101,16 @@ def pv_corr(left: DataFrame, right: DataFrame, cell: str, value: str) -> tuple[D
             j.groupBy("iy", "ix").agg(pearson_agg("_a", "_b").alias("r"), F.count(F.lit(1)).alias("n")))
 
 
+def pv_matrix(left: DataFrame, right: DataFrame, cell: str, value: str) -> DataFrame:
+    """Correlation over cells of every bin of one map stack with every bin of the other: (iy, ix, iy2, ix2, r, n).
+
+    The number of bins is fixed by the arena; a cell gives bins squared rows, which are added up before they are shuffled.
+    """
+    a = left.select(cell, "iy", "ix", F.col(value).alias("_a"))
+    b = right.select(cell, F.col("iy").alias("iy2"), F.col("ix").alias("ix2"), F.col(value).alias("_b"))
+    return a.join(b, cell).groupBy("iy", "ix", "iy2", "ix2").agg(pearson_agg("_a", "_b").alias("r"), F.count(F.lit(1)).alias("n"))
+
+
 def field_overlap(fields: DataFrame, keys: list[str], variant: str, first, second) -> DataFrame:
     """Shared bins over the larger of two binary field maps."""
     per = fields.filter(F.col(variant).isin(first, second)).groupBy(*keys, "iy", "ix").agg(

@@ -203,7 +203,7 @@ def knn_triage(spark, d):
 
 @query("pca")
 def pca(spark, d):
-    return E.pca(S.state_vectors(spark, d), "frame", "vec", 10)[0].select("component", r("explained").alias("explained"))
+    return E.pca(S.state_vectors(spark, d), "frame", "vec", 64)[0].select("component", r("explained").alias("explained"))
 
 
 @query("pca95")
@@ -227,17 +227,32 @@ def spectrum(spark, d):
     return v.select(F.row_number().over(one.orderBy(F.desc("v"), "dim")).alias("i"), (F.col("v") / F.sum("v").over(one)).alias("share"))
 
 
-@query("auc_variance", with_views("states", SPEC, "c AS (SELECT i, sum(share) OVER (ORDER BY i) AS c FROM sp), s AS (SELECT c, lag(c) OVER (ORDER BY i) AS p FROM c)",
+@query("dim_variance_auc", with_views("states", SPEC, "c AS (SELECT i, sum(share) OVER (ORDER BY i) AS c FROM sp), s AS (SELECT c, lag(c) OVER (ORDER BY i) AS p FROM c)",
     "SELECT round(sum((c + p) / 2) / count(*), 6) + 0.0 AS auc FROM s"))
-def auc_variance(spark, d):
+def dim_variance_auc(spark, d):
     return E.auc_variance(spectrum(spark, d), [], "i", "share").select(r("auc").alias("auc"))
 
 
-@query("eigen_slope", with_views("states", SPEC, "SELECT round(regr_slope(ln(sqrt(share)), i), 6) + 0.0 AS slope FROM sp"))
-def eigen_slope(spark, d):
+@query("dim_variance_slope", with_views("states", SPEC, "SELECT round(regr_slope(ln(sqrt(share)), i), 6) + 0.0 AS slope FROM sp"))
+def dim_variance_slope(spark, d):
     return E.eigen_slope(spectrum(spark, d).withColumn("s", F.sqrt("share")), [], "i", "s").select(r("slope").alias("slope"))
 
 
+def eigen_shares(spark, d):
+    """Explained shares of all principal components: one short row per dimension."""
+    return E.pca(S.state_vectors(spark, d), "frame", "vec", 64)[0].select((F.col("component") + 1).alias("i"), F.col("explained").alias("share"))
+
+
+@query("auc_variance")
+def auc_variance(spark, d):
+    return E.auc_variance(eigen_shares(spark, d), [], "i", "share").select(r("auc").alias("auc"))
+
+
+@query("eigen_slope")
+def eigen_slope(spark, d):
+    return E.eigen_slope(eigen_shares(spark, d).withColumn("s", F.sqrt("share")), [], "i", "s").select(r("slope").alias("slope"))
+
+
 def place_counts(spark, d):
     pos = positions(spark, d).select("frame", F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"))
     return E.poisson_counts(S.activity(spark, d), pos, "cell_id", "frame", "n", "x", "y"), pos

@@ -74,6 +74,17 @@ def pv_corr_rows(spark, d):
     return P.pv_corr(*halves(spark, d), "unit", "rate")[0].withColumn("r", r("r"))
 
 
+CHALF = f"""hc AS (SELECT unit, ok % 2 AS half, CAST(floor((y - 0) / 3) AS INTEGER) AS iy, CAST(floor((x - 1) / 10) AS INTEGER) AS ix, avg(signal) AS rate FROM tracking GROUP BY 1, 2, 3, 4)"""
+
+
+@query("pv_corr_matrix", with_views("tracking", CHALF, """SELECT a.iy, a.ix, b.iy AS iy2, b.ix AS ix2, CASE WHEN stddev_pop(a.rate) > 1e-9 AND stddev_pop(b.rate) > 1e-9 THEN round(corr(a.rate, b.rate), 6) + 0.0 END AS r, count(*) AS n
+    FROM hc a JOIN hc b ON a.unit = b.unit AND a.half = 0 AND b.half = 1 GROUP BY 1, 2, 3, 4"""))
+def pv_corr_matrix(spark, d):
+    t, cx, cy = S.tracking(spark, d), F.floor((F.col("x") - 1) / 10).cast("int"), F.floor(F.col("y") / 3).cast("int")
+    first, second = (O.tuning_map(t.filter(F.col("ok") % 2 == h), UNIT, cx, cy, "signal").select("unit", "iy", "ix", "rate") for h in (0, 1))
+    return P.pv_matrix(first, second, "unit", "rate").withColumn("r", r("r"))
+
+
 @query("pairwise_session_corr", with_views("tracking", """b AS (SELECT unit, ok % 2 AS half, CAST(floor(x) AS BIGINT) AS bin, avg(signal) AS rate FROM tracking GROUP BY 1, 2, 3),
     j AS (SELECT a.unit, corr(a.rate, c.rate) AS r, count(*) AS n FROM b a JOIN b c ON a.unit = c.unit AND a.bin = c.bin AND a.half = 0 AND c.half = 1 GROUP BY 1),
     pk AS (SELECT unit, half, bin, row_number() OVER (PARTITION BY unit, half ORDER BY rate DESC, bin) AS rk FROM b)""",

@@ -405,3 +405,31 @@ def test_speed_band_shows_units_without_a_band(spark):
     assert len(kept) == 3 and all(r["upper_speed"] is None for r in kept)
     with pytest.raises(Exception, match="no speed band"):
         filters.speed_bandpass(df, ["unit"], "v", "adaptive").collect()
+
+
+def test_eigenspectrum_is_that_of_the_covariance(spark):
+    import numpy as np
+    from engram.operators import decode as E
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 6)) + 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "frame long, vec array<double>")
+    share = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    share = share / share.sum()
+    got = E.pca(df, "frame", "vec", 6)[0]
+    assert np.allclose([r["explained"] for r in got.orderBy("component").collect()], share)
+    c = np.cumsum(share)
+    assert abs(E.auc_variance(got, [], "component", "explained").first()[0] - ((c[1:] + c[:-1]) / 2).sum() / 6) < 1e-9
+
+
+def test_slow_low_pass_equals_the_recursion():
+    import math
+    import numpy as np
+    from engram.functions import kernels as K
+    h = K.low_pass_ir(0.0005, 30.0)
+    w = math.tan(math.pi * 0.0005 / 30.0)
+    b, a = w / (1 + w), (w - 1) / (1 + w)
+    y, last = [], 0.0
+    for n in range(len(h)):
+        last = (b if n < 2 else 0.0) - a * last
+        y.append(last)
+    assert np.allclose(h, y, atol=1e-15) and abs(h.sum() - 1) < 1e-6 and abs(h[-1]) < 1e-8 * h.max()

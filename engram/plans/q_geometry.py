@@ -152,7 +152,8 @@ def grid_stats(spark, d):
     return M.grid_stats(_grid_peaks(spark, d), UNIT).select("unit", *[r(c).alias(c) for c in ("spacing", "orientation", "orientation_sd")])
 
 
-@query("local_maxima")
+@query("local_maxima", with_views("tracking", TMAP, SMOOTH, """SELECT unit, iy, ix, round(smooth, 6) + 0.0 AS smooth FROM sm a WHERE smooth > 0
+    AND NOT EXISTS (SELECT 1 FROM sm b WHERE b.unit = a.unit AND abs(b.iy - a.iy) <= 1 AND abs(b.ix - a.ix) <= 1 AND b.smooth > a.smooth)"""))
 def local_maxima(spark, d):
     return D.local_maxima(smooth_map(spark, d).select("unit", "iy", "ix", "smooth"), UNIT, "smooth", SHAPE, 0).withColumn("smooth", r("smooth"))
 

@@ -113,8 +113,3 @@ def histogram_bin(v, lo: float, width: float, count: int) -> Column:
 
 def circular_shift(frame, shift, n) -> Column:
     return F.pmod(col(frame) + col(shift), col(n))
-
-
-def modular_shift(cell, k, n, a: int = 7919, b: int = 104729) -> Column:
-    """Deterministic pseudo-random roll in [0, n), the same on every engine and every retry."""
-    return F.pmod(col(cell) * F.lit(a) + col(k) * F.lit(b), col(n))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from engram.functions.exprs import rounded as r
 from engram.operators import cohort as C
 from engram.plans import q_sequences as QS
+from engram.plans.q_pairs import DAYS, PAIRS, corr
 from engram.plans.registry import query
 from engram.sources import files as R, tables as S
 from engram.sources.tables import with_views
@@ -144,11 +145,11 @@ def sink_activity(spark, d):
     return spark.read.parquet(path).select("cell_id", "frame", "n", F.col("session").cast("int").alias("session"))
 
 
-@query("sink_corr", with_views("activity", "SELECT cell_id, frame, n FROM activity"))
+@query("sink_corr", with_views("activity", DAYS, PAIRS, "SELECT a, b, round(r, 6) + 0.0 AS r FROM co"))
 def sink_corr(spark, d):
-    """The second write finds half of the keys in place and adds the others only."""
+    """The second write finds the correlations of half of the cells in place and adds the others only."""
     path = shared_folder(spark, "corr")
-    a = S.activity(spark, d).select("cell_id", "frame", "n")
-    R.write_missing(a.filter("cell_id % 2 = 0"), path, ["cell_id", "frame"])
-    R.write_missing(a, path, ["cell_id", "frame"])
+    c = corr(spark, d).select("a", "b", r("r").alias("r"))
+    R.write_missing(c.filter("a % 2 = 0"), path, ["a", "b"])
+    R.write_missing(c, path, ["a", "b"])
     return spark.read.parquet(path)

@@ -71,10 +71,20 @@ def neighbours(v: DataFrame) -> DataFrame:
     return met.withColumn("prior", other).filter("prior < first").groupBy("a", "b", "first").agg(F.min("prior").alias("prior"))
 
 
-def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(at struct<id, th, no>, line): lines of the documents that have an id; th tells rows of one id and different texts apart."""
-    at = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
+def inked(text: Column) -> Column:
+    """Whether a text holds more than white space of any kind."""
+    return text.rlike(r"(?U)\S")
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, no, line) of the documents that have an id; th tells rows of one id and different texts apart."""
+    return docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("no", "line"))
+
+
+def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(at struct<id, th, no>, line): the lines of MIN_CHARS characters or more."""
+    at = lines_of(docs, id_col, text_col)
     return at.filter(F.char_length(F.trim("line")) >= MIN_CHARS).select(F.struct("id", "th", "no").alias("at"), "line")
 
 
@@ -103,19 +113,58 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return gone.select("at.id", "at.th", "at.no").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with earlier-seen lines taken out of `text_col`, plus __lines and __dropped (counts).
+def gone_by_document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, __gone): the numbers of the lines that go, by document."""
+    return dropped_lines(docs, id_col, text_col).groupBy("id", "th").agg(F.collect_set("no").alias("__gone"))
 
-    Texts are split at line feeds. Lines of fewer than MIN_CHARS characters (without outer spaces) stay wherever they stand. A null text
-    stays null, an empty one empty; a row without id keeps its text and is compared with nothing. Equal rows (same id and text) are one
-    document and stay equal. A text whose lines all go becomes empty; the row stays. Other columns are kept; an empty table stays empty.
-    """
-    gone = dropped_lines(docs, id_col, text_col).groupBy("id", "th").agg(F.collect_set("no").alias("__gone"))
-    marked = docs.withColumn("__th", F.xxhash64(text_col)).join(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th2"), "__gone"),
+
+def cut(docs: DataFrame, id_col: str, text_col: str, marks: DataFrame) -> DataFrame:
+    """docs without the lines in __gone of marks (id, th, __gone, ...), plus __lines, __dropped and the other columns of marks."""
+    more = [c for c in marks.columns if c not in ("id", "th", "__gone")]
+    marked = docs.withColumn("__th", F.xxhash64(text_col)).join(marks.withColumnsRenamed({"id": "__id", "th": "__th2"}),
                                                                  (F.col(id_col) == F.col("__id")) & (F.col("__th") == F.col("__th2")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     stay = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: ~F.array_contains("__gone", i))
     kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n"))
     return (marked.withColumn("__lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long"))
             .withColumn("__dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-            .withColumn(text_col, kept).select(*docs.columns, "__lines", "__dropped"))
+            .withColumn(text_col, kept).select(*docs.columns, "__lines", "__dropped", *more))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with earlier-seen lines taken out of `text_col`, plus __lines and __dropped (counts).
+
+    Texts are split at line feeds. Lines of fewer than MIN_CHARS characters (without outer spaces) stay wherever they stand. A null text
+    stays null, an empty one empty; a row without id keeps its text and is compared with nothing. Equal rows (same id and text) are one
+    document and stay equal. A text whose lines all go becomes empty; the row stays. Other columns are kept; an empty table stays empty.
+    """
+    return cut(docs, id_col, text_col, gone_by_document(docs, id_col, text_col))
+
+
+def copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th) of the documents whose whole text, if it is more than white space, is the text of an earlier document."""
+    at = docs.filter(F.col(id_col).isNotNull() & inked(F.col(text_col))).select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.xxhash64(F.reverse(text_col), F.crc32(F.col(text_col).cast("binary"))).alias("b"))
+    first = at.groupBy("th", "b").agg(F.min("id").alias("id"))
+    return at.join(first, ["id", "th", "b"], "left_anti").select("id", "th").distinct()
+
+
+def new_short_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th) of the documents that hold the first of the equal lines under MIN_CHARS; blank lines do not count."""
+    short = lines_of(docs, id_col, text_col).filter((F.char_length(F.trim("line")) < MIN_CHARS) & inked(F.col("line")))
+    return short.groupBy("line").agg(F.min(F.struct("id", "th")).alias("at")).select("at.id", "at.th").distinct()
+
+
+def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """dedup_lines without the documents that hold nothing new: exact copies of an earlier text, and documents that lose lines and are
+    left with white space only, or with short lines only that all stand earlier too.
+
+    A document with a short line that stands nowhere earlier stays with all its short lines. A document without any text before stays.
+    """
+    flag = lambda df, name: df.withColumn(name, F.lit(True))
+    marks = (gone_by_document(docs, id_col, text_col).join(flag(copies(docs, id_col, text_col), "__copy"), ["id", "th"], "full")
+             .join(flag(new_short_lines(docs, id_col, text_col), "__new"), ["id", "th"], "full"))
+    out = cut(docs, id_col, text_col, marks)
+    long_left = F.exists(F.split(F.col(text_col), "\n", -1), lambda line: F.char_length(F.trim(line)) >= MIN_CHARS)
+    new = (F.col("__dropped") == 0) | (inked(F.col(text_col)) & (long_left | F.col("__new").isNotNull()))
+    return out.filter(F.col("__copy").isNull() & new).drop("__copy", "__new")

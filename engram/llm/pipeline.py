@@ -19,11 +19,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier in the corpus. A document of which no text is left goes; others keep their row, also
-    those that had no text before. n_chars is counted anew where lines went."""
-    out = line_dedup.dedup_lines(docs, "doc_id", "text")
-    changed = F.col("__dropped") > 0
-    return (out.filter(~changed | (F.trim("text") != "")).withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    """Documents without lines that stand earlier in the corpus. A document that holds nothing new goes, short and blank lines included
+    (see line_dedup.dedup_documents); others keep their row, also those that had no text before. n_chars is counted anew where lines went."""
+    out = line_dedup.dedup_documents(docs, "doc_id", "text")
+    return (out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
             .drop("__lines", "__dropped"))
 
 

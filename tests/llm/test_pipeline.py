@@ -5,6 +5,7 @@ import corpus_pipeline
 import public_tokenizers
 import sentencepiece
 
+from engram.llm import pipeline
 from tests.llm.test_decontamination import brute as hits
 from tests.llm.test_layout_and_search import brute_lines
 from tests.llm.test_near_duplicates import brute as near
@@ -45,3 +46,37 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_no_stub_of_a_copy_is_left(spark):
+    a, b = "the first long line of a text", "another line which is long enough"
+    texts = {1: f"{a}\nshort\n{b}", 2: f"{a}\n\n{b}", 3: f"{a}\n\u3000\t\n{b}\n", 4: "tiny\ntext", 5: "", 6: None, 7: f"{a}\nunseen\n{b}"}
+    copies = {i + 10 * k: t for k in range(3) for i, t in texts.items() if i != 7 or k}   # 7 itself comes later, with a short line of its own
+    copies |= {40: f"{b}\nshort", 41: f"{a}\nshort\nlast one", 42: "tiny"}
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in copies.items()], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.line_stage(spark, docs, SF).collect()}
+    same = [1, 4, 5, 15, 25, 42]
+    assert got == {i: (copies[i], len(copies[i])) for i in same} | {i: (None, 0) for i in (6, 16, 26)} | {17: ("unseen", 6), 41: ("short\nlast one", 14)}
+
+
+def test_fixture_copies_end_with_the_first(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = {}
+    for i, t in sorted((r["doc_id"], r["text"]) for r in docs.filter("trim(text) <> ''").collect()):
+        first.setdefault(t, []).append(i)
+    got = {r["doc_id"] for r in pipeline.line_stage(spark, docs, SF).collect()}
+    assert not got & {i for ids in first.values() for i in ids[1:]}
+
+
+def test_later_stages_follow_the_plain_versions_without_copies(spark):
+    docs = pipeline.line_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).cache()
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+    docs = pipeline.near_stage(spark, docs, SF).cache()
+    kept = {i: kept[i] for i, (_, c) in near(list(kept.items()), 5, 80).items() if i == c}
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == kept
+    docs = pipeline.decontamination_stage(spark, docs, SF).cache()
+    kept = {i: kept[i] for i, h in hits(list(kept.items()), bench, 10).items() if not h[1]}
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == kept
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert {r["doc_id"]: r["ids"] for r in pipeline.token_stage(spark, docs, SF).collect()} == {i: sp.encode(t) for i, t in kept.items()}

@@ -23,6 +23,9 @@ SHIFT = "CASE WHEN k = 0 THEN 0 ELSE nf // 5 + (cell_id * 7919 + k * 104729) % g
 SHUF = f"""sf AS (SELECT cell_id, k AS shuffle, (frame + {SHIFT}) % nf AS frame, f FROM activity CROSS JOIN (SELECT CAST(unnest(range(0, 21)) AS INTEGER) AS k) CROSS JOIN (SELECT {NF} AS nf))"""
 
 
+SHUFFLES = 1000   # of the reference; queries with an SQL twin run the count that stands in the SQL, the others this one
+
+
 def shuffled(spark, d, n=20):
     return N.circ_shift(frames_of(S.activity(spark, d)), "cell_id", "frame", F.col("nf"), n)
 
@@ -47,13 +50,23 @@ def shuffle_rasters(spark, d):
 ROLLS = [3, 5, 8, 11, 14, 17, 19, 22, 25, 27]
 
 
+def corr_z(spark, d, rolls):
+    days = S.activity(spark, d).groupBy("cell_id", F.floor(F.col("frame") / 24).alias("bin")).agg(F.sum("f").alias("v"))
+    return N.corr_zscore(days, [], "cell_id", "bin", "v", 30, rolls).select("a", "b", r("z", 5).alias("z"))
+
+
 @query("corr_zscore", with_views("activity", DAYS, f"""rl(k, s) AS (VALUES (0, 0), {", ".join(f"({i + 1}, {s})" for i, s in enumerate(ROLLS))}),
     gr AS (SELECT c.cell_id, b.bin, coalesce(dy.v, 0.0) AS v FROM cells c CROSS JOIN bins b LEFT JOIN dy ON dy.cell_id = c.cell_id AND dy.bin = b.bin),
     rr AS (SELECT p.cell_id AS a, q.cell_id AS b, k, corr(p.v, q.v) AS r FROM rl CROSS JOIN gr p JOIN gr q ON q.cell_id > p.cell_id AND (q.bin + s) % 30 = p.bin GROUP BY 1, 2, 3)""",
     "SELECT a, b, round((max(r) FILTER (WHERE k = 0) - avg(r)) / stddev_pop(r), 5) + 0.0 AS z FROM rr GROUP BY 1, 2"))
 def corr_zscore(spark, d):
-    days = S.activity(spark, d).groupBy("cell_id", F.floor(F.col("frame") / 24).alias("bin")).agg(F.sum("f").alias("v"))
-    return N.corr_zscore(days, [], "cell_id", "bin", "v", 30, ROLLS).select("a", "b", r("z", 5).alias("z"))
+    return corr_z(spark, d, ROLLS)
+
+
+@query("corr_zscore_full")
+def corr_zscore_full(spark, d):
+    """corr_zscore within every roll of the recording."""
+    return corr_z(spark, d, list(range(1, 30)))
 
 
 # Position of the animal per frame, taken from the whole population of events in that hour.
@@ -71,9 +84,9 @@ def positions(spark, d):
             .agg((F.count(F.lit(1)) % 5).cast("int").alias("iy"), F.least(F.floor(F.avg("value") / 10), F.lit(9)).cast("int").alias("ix")))
 
 
-def si_z(spark, d):
+def si_z(spark, d, n=20):
     pos = positions(spark, d)
-    si = N.si_by_shuffle(shuffled(spark, d), pos, N.occupancy_of(pos, BINS), ["cell_id", "shuffle"], "frame", "f", BINS)
+    si = N.si_by_shuffle(shuffled(spark, d, n), pos, N.occupancy_of(pos, BINS), ["cell_id", "shuffle"], "frame", "f", BINS)
     return N.zscore_of_true(si, ["cell_id"], "shuffle", 0, "si")
 
 
@@ -82,12 +95,25 @@ def si_zscore(spark, d):
     return si_z(spark, d).select("cell_id", r("si").alias("si"), r("z", 5).alias("z"))
 
 
+@query("si_zscore_full")
+def si_zscore_full(spark, d):
+    """si_zscore within SHUFFLES shuffles."""
+    return si_z(spark, d, SHUFFLES).select("cell_id", r("si").alias("si"), r("z", 5).alias("z"))
+
+
 @query("place_cells", with_views("activity", POS, SHUF, SI, "SELECT cell_id, round(z, 5) + 0.0 AS z FROM zz WHERE z > 1.5"))
 def place_cells(spark, d):
     from engram.operators.filters import place_cells as keep
     return keep(si_z(spark, d), "z", 1.5).select("cell_id", r("z", 5).alias("z"))
 
 
+@query("place_cells_full")
+def place_cells_full(spark, d):
+    """place_cells by the z of SHUFFLES shuffles."""
+    from engram.operators.filters import place_cells as keep
+    return keep(si_z(spark, d, SHUFFLES), "z", 1.5).select("cell_id", r("z", 5).alias("z"))
+
+
 @query("split_half", with_views("activity", f"SELECT cell_id, CASE WHEN frame >= nf // 2 THEN 1 ELSE 0 END AS half, round(sum(f), 4) + 0.0 AS f FROM activity CROSS JOIN (SELECT {NF} AS nf) GROUP BY 1, 2"))
 def split_half(spark, d):
     h = N.split_half(frames_of(S.activity(spark, d)), "frame", F.col("nf"))
@@ -106,7 +132,7 @@ def place_cell_test(spark, d):
     pos = positions(spark, d)
     occ = N.occupancy_of(pos, BINS)
     act = frames_of(S.activity(spark, d))
-    every = N.circ_shift(act, "cell_id", "frame", F.col("nf"), 20).select("cell_id", F.col("shuffle").alias("variant"), "frame", "f")
+    every = N.circ_shift(act, "cell_id", "frame", F.col("nf"), SHUFFLES).select("cell_id", F.col("shuffle").alias("variant"), "frame", "f")
     half = N.split_half(act, "frame", F.col("nf")).select("cell_id", (-1 - F.col("half")).alias("variant"), "frame", "f")
     si = N.si_by_shuffle(every.unionByName(half), pos, occ, ["cell_id", "variant"], "frame", "f", BINS)
     z = N.zscore_of_true(si, ["cell_id"], "variant", 0, "si")

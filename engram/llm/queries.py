@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,7 +155,55 @@ def damaged(conversations: DataFrame) -> DataFrame:
                                         F.explode(F.array_repeat(F.lit(0), F.when(F.col("k") == 3, 2).otherwise(1))).alias("copy"))
 
 
-@query("op11_conversations")
+def repair_sql() -> str:
+    """The contract of op11 as a forward recursion over rows: for each state of the end the least (cost, audit, repaired lines)."""
+    far = 1_000_000_000
+
+    def via(labels: str, cost: str, letter: str, line: str | None) -> str:
+        lines = "x.t" if line is None else f"x.t || chr(10) || {line}"
+        return f"list_transform([{labels}], lambda x: {{'c': x.c + {cost}, 'a': x.a || '{letter}', 't': {lines}}})"
+
+    def least(*lists: str) -> str:
+        return f"list_min({functools.reduce(lambda a, b: f'list_concat({a}, {b})', lists)})"
+
+    only = lambda r: f"(e + CASE WHEN r = '{r}' THEN 0 ELSE {far} END)"
+    own, user, assistant = "role || ':' || text", "'user:'", "'assistant:'"
+    kept = lambda labels, r: via(labels, only(r), "K", own)
+    again = lambda labels, role: via(labels, "(e + 3)", "R", f"{role} || text")
+    step = {0: least(via("l0", "4", "D", None)), 1: least(via("l1", "4", "D", None), kept("l0", "s")),
+            2: least(via("l2", "4", "D", None), kept("l0, l1, l3", "u"), again("l0, l1, l3", user)),
+            3: least(via("l3", "4", "D", None), kept("l2", "a"), again("l2", assistant))}
+    first = f"{{'c': {far}::BIGINT, 'a': '', 't': ''}}"
+    return rf"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+              xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT)),
+                                          lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 20 AS k FROM conversations, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM d0, range(2) c(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM dam),
+w AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM o),
+f AS (SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p,
+             CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE '-' END AS f FROM w),
+g AS (SELECT *, CASE f WHEN '-' THEN 0 WHEN 't' THEN 3 ELSE {far} END AS e FROM f),
+s(conv_id, i, l0, l1, l2, l3) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'a': '', 't': ''}}, {first}, {{'c': 3::BIGINT, 'a': 'I', 't': chr(10) || 'user:'}}, {{'c': 6::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}
+  FROM (SELECT DISTINCT conv_id FROM g)
+  UNION ALL
+  SELECT conv_id, i, l0, l1, l2, {least("[l3]", via("l2", "3", "I", assistant))} FROM (
+    SELECT conv_id, i, l0, l1, {least("[l2]", via("l0, l1, l3", "3", "I", user))} AS l2, l3 FROM (
+      SELECT conv_id, g.i, {", ".join(f"{v} AS l{k}" for k, v in step.items())} FROM s JOIN g USING (conv_id) WHERE g.i = s.i + 1) x) y),
+z AS (SELECT conv_id, least(arg_max(l0, i), arg_max(l3, i)) AS b FROM s GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+             count(*) FILTER (p IS NOT NULL AND p || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT q.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN c ON c.conv_id = q.conv_id LEFT JOIN z ON z.conv_id = q.conv_id"""
+
+
+@query("op11_conversations", repair_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = read(spark, sf_dir, "conversations")
     summary, rows = dialogue.repair(damaged(conversations))

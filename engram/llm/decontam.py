@@ -42,9 +42,9 @@ def term(word: Column) -> Column:
 def test_terms(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """(item, at, word, term, n): the words of the test items by position; n is the number of words of the item.
 
-    Rows that repeat an item id with another text are items of their own inside (`item` numbers distinct texts); the ids come back in
-    `item_names`. Test texts without words have no row."""
-    texts = items.filter(F.col(item_col).isNotNull()).select(F.xxhash64(text_col).alias("item"), words(F.col(text_col)).alias("w")).dropDuplicates(["item"])
+    `item` is the hash of a text, so rows that repeat an item id with another text are items of their own, and texts without an id are
+    searched too. Test texts without words have no row."""
+    texts = items.select(F.xxhash64(text_col).alias("item"), words(F.col(text_col)).alias("w")).dropDuplicates(["item"])
     return texts.select("item", F.posexplode("w").alias("at", "word"), F.size("w").alias("n")).select("item", "at", lowered(F.col("word")).alias("word"), term(F.col("word")).alias("term"), "n")
 
 
@@ -54,19 +54,36 @@ def windows(terms: DataFrame, width: int) -> DataFrame:
     return ends.select("item", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - width, F.lit(0)))).alias("start"), F.least("n", F.lit(width)).alias("len"))
 
 
+def document(id_col: str, text_col: str) -> Column:
+    """Key of a document: its id, which may be null or repeated, and a hash of its text."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("doc")
+
+
+def tallied(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(doc, term, n) in one scan: how often each wanted term stands in the corpus (doc null), and how many words each document has (term null).
+
+    A null word behind the last one carries the length of its document."""
+    at = docs.select(document(id_col, text_col), F.posexplode(F.concat(words(F.col(text_col)), F.array(F.lit(None).cast("string")))).alias("pos", "word"))
+    at = at.select("doc", "pos", F.when(F.col("word").isNotNull(), term(F.col("word"))).alias("term"))
+    wanted = broadcast_below(wanted.select(F.col("term").alias("want")).unionByName(wanted.sparkSession.range(1).select(F.lit(None).cast("long").alias("want"))), SMALL)
+    return (at.join(wanted, F.col("term").eqNullSafe(F.col("want")), "left_semi")
+            .groupBy(F.when(F.col("term").isNull(), F.col("doc")).alias("doc"), "term").agg(F.count("*").alias("df"), F.max("pos").cast("long").alias("n"))
+            .select("doc", "term", F.when(F.col("term").isNull(), F.col("n")).otherwise(F.col("df")).alias("n")))
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """(term, doc, pos) of the wanted terms, at most SMALL of which are broadcast."""
-    at = docs.select(F.col(id_col).alias("doc"), F.posexplode(words(F.col(text_col))).alias("pos", "word")).select("doc", "pos", term(F.col("word")).alias("term"))
+    at = docs.select(document(id_col, text_col), F.posexplode(words(F.col(text_col))).alias("pos", "word")).select("doc", "pos", term(F.col("word")).alias("term"))
     return at.join(broadcast_below(wanted, SMALL), "term", "left_semi")
 
 
 def anchors(terms: DataFrame, counts: DataFrame, spans: DataFrame) -> DataFrame:
     """(item, start, len, at, term, rank): the rarest terms of each window whose terms all occur in the corpus."""
-    inside = (spans.join(terms.select("item", "at", "term"), "item").filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("len")))
-              .join(counts, "term", "left"))
+    places = spans.withColumn("at", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)))
+    inside = places.join(terms.select("item", "at", "term").join(counts, "term"), ["item", "at"])
     own = W.partitionBy("item", "start")
     rank = F.row_number().over(own.orderBy("df", "at"))
-    return (inside.withColumn("all", F.count("df").over(own)).filter("all = len").withColumn("rank", rank)
+    return (inside.withColumn("all", F.count("*").over(own)).filter("all = len").withColumn("rank", rank)
             .filter(F.col("rank") <= ANCHORS).select("item", "start", "len", "at", "term", "rank"))
 
 
@@ -93,44 +110,61 @@ def begins(index: DataFrame, chosen: DataFrame, slop: int = 0) -> DataFrame:
     return got.select("doc", "item", "start", "len", F.col("b").alias("begin"), (F.size(F.array_except("need", "exact")) > 0).alias("near"))
 
 
-def matches(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, width: int = 10, slop: int = 0) -> DataFrame:
-    """(doc, item, start, len, begin, near): exact phrase matches (near = false), and with slop > 0 proximity matches (near = true).
-
-    A phrase match is a window of `width` words that stands in the document at position begin + start. A proximity match is a window
-    whose anchors stand within `slop` positions of their places; it is not compared word by word."""
+def search(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, width: int, slop: int) -> tuple[DataFrame, DataFrame]:
+    """(matches, (doc, n_words)); matches: (doc, item, start, len, begin, near)."""
     terms = cut_lineage(test_terms(items, item_col, item_text))
-    vocabulary = terms.select("term").distinct()
-    counts = cut_lineage(postings(docs, id_col, text_col, vocabulary).groupBy("term").agg(F.count("*").alias("df")))
-    spans = windows(terms, width)
-    chosen = cut_lineage(anchors(terms, counts, spans))
+    tally = cut_lineage(tallied(docs, id_col, text_col, terms.select("term").distinct()))
+    counts = tally.filter("term IS NOT NULL").select("term", F.col("n").alias("df"))
+    chosen = cut_lineage(anchors(terms, counts, windows(terms, width)))
     index = cut_lineage(postings(docs, id_col, text_col, chosen.select("term").distinct()))
     found = cut_lineage(begins(index, chosen, slop))
-    # confirm word by word, in the documents that have candidates
+    # confirm word by word; only documents with candidates are cut into words
     phrases = terms.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w")).select("item", F.transform("w", lambda x: x["word"]).alias("test"))
-    exact = found.filter(~F.col("near"))
-    per_doc = exact.groupBy("doc").agg(F.collect_set(F.struct("item", "start", "len", "begin")).alias("c"))
-    have = docs.select(F.col(id_col).alias("doc"), F.transform(words(F.col(text_col)), lowered).alias("w")).join(per_doc, "doc")
-    placed = have.select("doc", F.explode("c").alias("c"), "w").select("doc", "c.item", "c.start", "c.len", "c.begin", F.slice("w", F.col("c.begin") + F.col("c.start") + 1, F.col("c.len")).alias("there"))
-    sure = (placed.join(broadcast_below(phrases, SMALL // 100), "item").filter(F.col("there") == F.slice("test", F.col("start") + 1, F.col("len")))
-            .select("doc", "item", "start", "len", "begin", F.lit(False).alias("near")).distinct())
-    return sure if slop == 0 else sure.unionByName(found.filter("near").select(*sure.columns).distinct())
+    few = broadcast_below(found.select("doc").distinct(), SMALL)
+    texts = docs.select(document(id_col, text_col), F.col(text_col).alias("text")).join(few, "doc", "left_semi").dropDuplicates(["doc"])
+    per_doc = found.groupBy("doc").agg(F.collect_set(F.struct("item", "start", "len", "begin", "near")).alias("c"))
+    have = texts.select("doc", F.transform(words(F.col("text")), lowered).alias("w")).join(per_doc, "doc")
+    first = F.greatest(F.col("c.begin") + F.col("c.start") - F.when(F.col("c.near"), slop).otherwise(0), F.lit(0))
+    reach = F.col("c.begin") + F.col("c.start") + F.col("c.len") + F.when(F.col("c.near"), slop).otherwise(0) - first
+    placed = have.select("doc", F.explode("c").alias("c"), "w").select("doc", "c.*", first.cast("int").alias("first"), F.slice("w", first.cast("int") + 1, reach.cast("int")).alias("there"))
+    placed = placed.join(broadcast_below(phrases, SMALL // 100), "item").withColumn("test", F.slice("test", F.col("start") + 1, F.col("len")))
+    # word k of the window has to stand at most `slop` places from where it would stand in an exact match
+    low = lambda k: F.greatest(F.col("begin") + F.col("start") + k - slop, F.lit(0))
+    beside = lambda k: F.slice("there", (low(k) - F.col("first") + 1).cast("int"), (F.col("begin") + F.col("start") + k + slop + 1 - low(k)).cast("int"))
+    close = F.forall(F.sequence(F.lit(0), F.col("len") - 1), lambda k: F.array_contains(beside(k), F.element_at("test", k + 1)))
+    sure = placed.filter(F.when(F.col("near"), close).otherwise(F.col("there") == F.col("test")) if slop else F.col("there") == F.col("test"))
+    return sure.select("doc", "item", "start", "len", "begin", "near").distinct(), tally.filter("term IS NULL").select("doc", F.col("n").alias("n_words"))
+
+
+def matches(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, width: int = 10, slop: int = 0) -> DataFrame:
+    """(doc, th, item, start, len, begin, near): exact phrase matches (near = false), and with slop > 0 proximity matches (near = true).
+
+    doc is the id and th the xxhash64 of the text, so rows that share an id or have none are told apart; item is the xxhash64 of the item's
+    text. A phrase match is a window of `width` words that stands in the document at position begin + start. In a proximity match every
+    word of the window stands at most `slop` positions from its place, the rarest one exactly there."""
+    sure, _ = search(docs, id_col, text_col, items, item_col, item_text, width, slop)
+    return sure.select("doc.id", "doc.th", "item", "start", "len", "begin", "near").withColumnRenamed("id", "doc")
 
 
 def contamination(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, width: int = 10) -> DataFrame:
-    """(id, n_words, n_hit, items, contaminated) per document: words inside occurrences of windows, and the ids of their items.
+    """(id, n_words, n_hit, items, n_items, contaminated) per document: words inside occurrences of windows, and the ids of their items.
 
     Null and empty texts have no words and no hits, on either side; test items of fewer than `width` words are one window. Repeated
-    item texts are found once and named by all their ids. Rows that repeat a document id must repeat its text. Null ids keep their row
-    without hits. Other columns are not read; empty tables give no hits.
+    item texts are found once and named by all their ids. An item without id is searched like the others: it has no name in `items`
+    and counts as one in n_items. Rows that repeat a document id are judged by their own texts, rows with a null id too. Other columns
+    are not read; empty tables give no hits.
     """
-    hits = cut_lineage(matches(docs, id_col, text_col, items, item_col, item_text, width))
-    names = items.filter(F.col(item_col).isNotNull()).select(F.xxhash64(item_text).alias("item"), F.col(item_col).cast("string").alias("name")).distinct()
+    hits, n_words = search(docs, id_col, text_col, items, item_col, item_text, width, 0)
+    hits = cut_lineage(hits)
+    names = items.select(F.xxhash64(item_text).alias("item"), F.col(item_col).cast("string").alias("name")).distinct()
     begin, end = F.col("begin") + F.col("start"), F.col("begin") + F.col("start") + F.col("len") - 1
     covered = F.array_distinct(F.flatten(F.collect_set(F.sequence(begin, end))))
     spans = hits.groupBy("doc").agg(F.size(covered).cast("long").alias("n_hit"))
     # one row per document and item before names are added
-    named = hits.select("doc", "item").distinct().join(broadcast_below(names, SMALL), "item").groupBy("doc").agg(F.array_sort(F.collect_set("name")).alias("items"))
-    base = docs.select(id_col, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    out = base.join(spans.join(named, "doc"), base[id_col] == F.col("doc"), "left")
-    return out.select(id_col, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-                      (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    named = (hits.select("doc", "item").distinct().join(broadcast_below(names, SMALL), "item").groupBy("doc")
+             .agg(F.array_sort(F.collect_set("name")).alias("items"), F.max(F.col("name").isNull().cast("long")).alias("unnamed")))
+    known = n_words.join(spans.join(named, "doc"), "doc", "left").withColumnRenamed("doc", "__doc")
+    out = docs.select(id_col, document(id_col, text_col).alias("__at")).join(known, F.col("__at") == F.col("__doc"), "left")
+    names = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(id_col, F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), names.alias("items"),
+                      (F.size(names) + F.coalesce("unnamed", F.lit(0))).cast("long").alias("n_items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

@@ -34,8 +34,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of ten words of a benchmark item."""
-    hits = decontam.matches(docs, "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text", width=10).select("doc").distinct()
-    return docs.join(hits, F.col("doc_id") == F.col("doc"), "left_anti")
+    hits = decontam.matches(docs, "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text", width=10)
+    hits = hits.select(F.col("doc").alias("__id"), F.col("th").alias("__th")).distinct()
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["__id"]) & (F.xxhash64(docs["text"]) == hits["__th"]), "left_anti")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

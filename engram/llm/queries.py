@@ -98,7 +98,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_line_dedup", """
 WITH l AS (SELECT doc_id, CAST(hash(text) AS UBIGINT) AS th, CAST(i - 1 AS BIGINT) AS no, string_split(text, chr(10))[i] AS line, len(string_split(text, chr(10))) AS n
-           FROM documents, range(1, 100000) r(i) WHERE text IS NOT NULL AND i <= len(string_split(text, chr(10)))),
+           FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
 t AS (SELECT * FROM l WHERE length(trim(line, ' ')) >= 12),
 c AS (SELECT line, min((doc_id, no)) AS f, length(line) AS n FROM t GROUP BY line),
 k AS (SELECT line, f, n AS m, left(line, n // 2) AS h, 0 AS side FROM c UNION ALL SELECT line, f, n - 1, left(line, (n - 1) // 2), 0 FROM c
@@ -130,7 +130,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN i ON d.doc_id = i.doc_id""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 @query("op9_pii")

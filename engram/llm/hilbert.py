@@ -88,14 +88,15 @@ def shards(df: DataFrame, cells: dict[str, Column], tie: list[str], size: str, n
     law "rows": counts differ by one at most. law "bytes": cuts at equal shares of the summed `size`.
     Rows of one cell are ordered by `tie`; fully equal rows are interchangeable. Null metadata are cell 0, an empty table stays empty.
     A hot category is spread by `tie`, so no partition of the sort depends on one value. Helper columns start with two underscores;
-    other columns of the input are kept as they are.
+    other columns of the input are kept, those named curve, shard or slot as curve_in, shard_in and slot_in.
     """
     if law not in ("rows", "bytes"):
         raise ValueError("law is rows or bytes")
     df = df.withColumns({f"__c_{k}": v for k, v in cells.items()})
     names = [f"__c_{k}" for k in cells]
-    df = curve_index(df, names, bits, "curve").drop(*names)
-    rows, totals = ranked(df, ["curve", *tie], size)
+    own = {c: f"{c}_in" for c in df.columns if c in ("curve", "shard", "slot")}
+    df = curve_index(df.withColumnsRenamed(own), names, bits, "curve").drop(*names)
+    rows, totals = ranked(df, ["curve", *[own.get(c, c) for c in tie]], own.get(size, size))
     share = F.expr(f"(__rank * {n_shards}) div __n_all" if law == "rows" else f"(__before * {n_shards}) div __w_all")
     rows = rows.crossJoin(F.broadcast(totals)).withColumn("shard", share.cast("int"))   # totals: one row
     first = rows.groupBy("shard").agg(F.min("__rank").alias("__first"))                  # at most n_shards rows

@@ -8,6 +8,7 @@ the smallest sum wins.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +25,9 @@ OWN = 300                  # n-grams of a document
 GRAMS = (1, 2, 3)
 SAMPLE = 4000              # documents per language, about, that the profiles are learned from
 REMEMBERED = 200_000       # words kept per Python worker
-WORD = re.compile(r"[^\W\d_]+")
+# letters: word characters that are no digits and none of the other numbers (fractions, superscripts, circled and Roman numerals)
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
 
 
 def grams_of(word: str) -> list[str]:

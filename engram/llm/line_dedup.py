@@ -162,8 +162,9 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document with a short line that stands nowhere earlier stays with all its short lines. A document without any text before stays.
     """
     flag = lambda df, name: df.withColumn(name, F.lit(True))
-    marks = (gone_by_document(docs, id_col, text_col).join(flag(copies(docs, id_col, text_col), "__copy"), ["id", "th"], "full")
-             .join(flag(new_short_lines(docs, id_col, text_col), "__new"), ["id", "th"], "full"))
+    # each part is written before they meet: one plan of all of them keeps the driver's memory full of plans and generated code
+    gone, again, new = (cut_lineage(part(docs, id_col, text_col)) for part in (gone_by_document, copies, new_short_lines))
+    marks = cut_lineage(gone.join(flag(again, "__copy"), ["id", "th"], "full").join(flag(new, "__new"), ["id", "th"], "full"))
     out = cut(docs, id_col, text_col, marks)
     long_left = F.exists(F.split(F.col(text_col), "\n", -1), lambda line: F.char_length(F.trim(line)) >= MIN_CHARS)
     new = (F.col("__dropped") == 0) | (inked(F.col(text_col)) & (long_left | F.col("__new").isNotNull()))

@@ -139,14 +139,14 @@ def top_k(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, scale:
     """(query_id, rank, vec_id, score): for each row that satisfies `is_query`, its k rows of greatest integer inner product, its own row
     excepted; ties go to the smaller id, fewer rows give fewer ranks.
 
-    Queries with equal vectors are searched once, for k + 1 rows. Vectors of another length than the first row's take no part in the
-    search, like broken ones. Rows with equal ids are each a candidate but for a query of that id. An empty table gives an empty one.
+    Queries with equal vectors are searched once, for k + 1 rows. A shorter vector counts as filled up with zeros to the longest one, which
+    is the product over the components that both have. Rows with equal ids are each a candidate but for a query of that id. An empty table gives an empty one.
     """
     spark = df.sparkSession
     rows = cut_lineage(quantised(df, id_col, vec_col, scale))
-    shape = rows.select(F.size("v").alias("d")).limit(1).collect()
-    dim = shape[0]["d"] if shape else 1
-    rows = rows.filter(F.size("v") == dim)
+    dim = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    fill = F.array_repeat(F.lit(0).cast(dict(rows.dtypes)["v"][6:-1]), F.lit(dim) - F.size("v"))
+    rows = rows.withColumn("v", F.when(F.size("v") < dim, F.concat("v", fill)).otherwise(F.col("v")))
     norm = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
     routes = routes_of(rows, dim)
     tree = pages(rows, routes, norm)

@@ -100,16 +100,21 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, r
 
 
 def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
-    """Model of a bounded sample (doc_id, text, y). Features are made on the executors; the driver gets at most 2 * SAMPLE rows."""
+    """Model of a bounded sample (doc_id, text, y). Features are made where the texts are; one task, whose input SAMPLE bounds, trains on
+    them, and the driver gets the finished logits of BUCKETS buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32())), batch.column(2)], names=["doc_id", "idx", "val", "y"])
-    rows = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, idx array<int>, val array<float>, y int").toArrow().sort_by([("doc_id", "ascending")])
-    idx, val = rows["idx"].combine_chunks(), rows["val"].combine_chunks()
-    flat_i, flat_v, at = idx.flatten().to_numpy(), val.flatten().to_numpy(), np.concatenate([[0], np.cumsum(idx.value_lengths().to_numpy())]).astype(int)
-    y = rows["y"].to_numpy()
-    return train([(flat_i[at[i]:at[i + 1]], flat_v[at[i]:at[i + 1]].astype(float), int(y[i])) for i in range(len(y))])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = [(i.values.to_numpy(), v.values.to_numpy().astype(float), y) for batch in batches for i, v, y in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist())]
+        logits, bias = train(examples)
+        yield pa.RecordBatch.from_arrays([pa.array([logits], pa.list_(pa.float64())), pa.array([bias], pa.float64())], names=["logits", "bias"])
+
+    made = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, idx array<int>, val array<float>, y int")
+    model = made.repartition(1).sortWithinPartitions("doc_id", "y").mapInArrow(learn, "logits array<double>, bias double").toArrow()
+    return (model["logits"].combine_chunks().flatten().to_numpy(), model["bias"][0].as_py()) if model.num_rows else train([])
 
 
 _known: dict[float, tuple[list[float], dict[str, tuple[float, int]]]] = {}

@@ -88,16 +88,20 @@ def train(examples: list[tuple[np.ndarray, int]], epochs: int = 5, alpha: float
 
 
 def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Model of a bounded sample (doc_id, text, y); features are made on the executors, at most 2 * SAMPLE rows reach the driver."""
+    """Model of a bounded sample (doc_id, text, y). Features are made where the texts are; one task, whose input SAMPLE bounds, trains on
+    them, and the driver gets the weights that are not zero, at most 2^BITS."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [np.unique(buckets(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "idx", "y"])
-    rows = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, idx array<int>, y int").toArrow().sort_by([("doc_id", "ascending")])
-    idx = rows["idx"].combine_chunks()
-    flat, at = idx.flatten().to_numpy(), np.concatenate([[0], np.cumsum(idx.value_lengths().to_numpy())]).astype(int)
-    y = rows["y"].to_numpy()
-    return train([(flat[at[i]:at[i + 1]], int(y[i])) for i in range(len(y))])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, w, bias = train([(i.values.to_numpy(), y) for batch in batches for i, y in zip(batch.column(1), batch.column(2).to_pylist())])
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.list_(pa.int32())), pa.array([w], pa.list_(pa.float64())), pa.array([bias], pa.float64())], names=["at", "w", "bias"])
+
+    made = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, idx array<int>, y int")
+    model = made.repartition(1).sortWithinPartitions("doc_id", "y").mapInArrow(learn, "at array<int>, w array<double>, bias double").toArrow()
+    return (model["at"].combine_chunks().flatten().to_numpy(), model["w"].combine_chunks().flatten().to_numpy(), model["bias"][0].as_py()) if model.num_rows else train([])
 
 
 def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Quality, toxicity and language: held-out accuracy, defined results for odd inputs."""
 
 import os
+import unicodedata
 from zlib import crc32
 
 import pytest
@@ -81,6 +82,13 @@ def test_language_odd_inputs(spark):
     assert langid.predict(docs.withColumnRenamed("lang", "doc_id"), "doc_id", "text", []).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_numbers_are_no_letters(spark):
+    texts = ["½ ²", "① 3", "Ⅳ ⅓", "٣", "_", "ª", "漢 ½", "é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, "doc_id", "text", [("a", ["e", "n"]), ("b", ["u"])]).collect()}
+    assert [rows[i] == "und" for i in range(len(texts))] == [not any(unicodedata.category(c).startswith("L") for c in t) for t in texts]
+
+
 def test_language_ranks_do_not_depend_on_what_came_before():
     profiles = [("a", ["e", "n", "en", "_e"]), ("b", ["u", "s", "us"])]
     fresh, used = langid.Ranker(profiles), langid.Ranker(profiles)

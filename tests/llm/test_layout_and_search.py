@@ -50,6 +50,13 @@ def test_shards_of_nothing_and_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 4
 
 
+def test_shards_keep_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(i, 10 + i % 7, f"s{i}", f"t{i}", i) for i in range(60)], "id long, slot long, shard string, curve string, __x long")
+    out = hilbert.shards(df, {"size": hilbert.log_cell(F.col("slot"), 4)}, ["id", "curve"], "slot", 4, bits=4)
+    assert out.columns.count("shard") == 1 and {r["id"]: (r["slot_in"], r["shard_in"], r["curve_in"], r["__x"]) for r in out.collect()} == {i: (10 + i % 7, f"s{i}", f"t{i}", i) for i in range(60)}
+    assert {r["shard"]: r["count"] for r in out.groupBy("shard").count().collect()} == dict.fromkeys(range(4), 15)
+
+
 # -- M-tree ---------------------------------------------------------------------------------------------------------------------
 def direct(rows, k, every):
     good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
@@ -88,6 +95,16 @@ def test_products_beyond_doubles():
     assert mtree.products(a, a).tolist() == [[2 ** 60 + 9]]
 
 
+def test_vectors_of_several_lengths_and_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (50, [1.0, 1.0]), (51, [2.0, 1.0]), (52, [0.5, 4.0]), (53, []), (50, [0.0, 3.0]), (54, [1.0, 1.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["vec_id"], r["score"]) for r in mtree.top_k(df.filter("vec_id <> 50 OR embedding[0] = 1"), "vec_id", "embedding", lambda i: i % 50 == 0).collect()}
+    good = [r for r in rows if r != (50, [0.0, 3.0]) and r[1]]
+    want = {(q, i, int(sum(256 * x * 256 * y for x, y in zip(a, b)))) for q, a in good if q % 50 == 0 for i, b in good if i != q}
+    assert got - {x for x in got if x[1] == 53} == want
+    assert mtree.top_k(df, "vec_id", "embedding", lambda i: i % 50 == 0).count() > 0
+
+
 # -- line dedup -----------------------------------------------------------------------------------------------------------------
 def edits(a, b):
     if abs(len(a) - len(b)) > 1:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, functions as F
@@ -113,3 +114,11 @@ def histogram_bin(v, lo: float, width: float, count: int) -> Column:
 
 def circular_shift(frame, shift, n) -> Column:
     return F.pmod(col(frame) + col(shift), col(n))
+
+
+def with_key_aggregates(df, keys: list[str], *aggregates: Column):
+    """The rows of ``df`` with aggregates of their key; a null key is a key like any other."""
+    own = [f"__key{i}" for i in range(len(keys))]
+    per = df.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own)]).agg(*aggregates)
+    on = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)], F.lit(True))
+    return df.join(per if keys else F.broadcast(per), on).drop(*own)

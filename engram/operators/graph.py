@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from engram.functions.exprs import ratio
+from engram.operators.pairs import pearson_above
 from engram.session import cut_lineage
 
 
@@ -24,21 +25,29 @@ def degree_dist(edges: DataFrame, width: int = 2, keys: list[str] | None = None)
             .agg(F.count(F.lit(1)).alias("nodes")))
 
 
-def isolates_ratio(corr: DataFrame, n_cells: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Share of cells without a partner at each of a few thresholds."""
+def degree_median(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, nodes, median_degree, mean_degree) over the nodes that have an edge."""
+    return (degrees(edges, keys).groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("nodes"), F.percentile("degree", F.lit(0.5)).alias("median_degree"), F.avg("degree").alias("mean_degree")))
+
+
+def isolates_ratio(corr: DataFrame, n_cells: DataFrame, thresholds: list[float], keys: list[str] | None = None) -> DataFrame:
+    """Share of cells without a partner at each of a few thresholds; ``corr`` needs the pairs from the lowest one on, n_cells is per key."""
+    keys = keys or []
     grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    ends = corr.select(F.explode(F.array("a", "b")).alias("node"), "r").groupBy("node").agg(F.max("r").alias("_r"))
+    ends = corr.select(*keys, F.explode(F.array("a", "b")).alias("node"), "r").groupBy(*keys, "node").agg(F.max("r").alias("_r"))
     # A cell is connected at t as soon as its best partner reaches t.
-    linked = (ends.withColumn("threshold", grid).groupBy("threshold")
+    linked = (ends.withColumn("threshold", grid).groupBy(*keys, "threshold")
                   .agg(F.count(F.when(F.col("_r") >= F.col("threshold"), 1)).alias("_linked")))
-    return (linked.crossJoin(F.broadcast(n_cells))
-            .select("threshold", (1 - ratio("_linked", "n_cells")).alias("isolates")))
+    every = n_cells.withColumn("threshold", grid).join(linked, [*keys, "threshold"], "left")
+    return every.select(*keys, "threshold", (1 - ratio(F.coalesce("_linked", F.lit(0)), "n_cells")).alias("isolates"))
 
 
-def graph_density(edges: DataFrame) -> DataFrame:
-    nodes = degrees(edges).agg(F.count(F.lit(1)).alias("nodes"))
-    n_edges = edges.agg(F.count(F.lit(1)).alias("edges"))
-    return nodes.crossJoin(n_edges).withColumn("density", ratio(2 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)))
+def graph_density(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    keys = keys or []
+    # every edge has two ends, so one aggregation over degrees gives nodes and edges
+    per = degrees(edges, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("nodes"), F.expr("cast(sum(degree) div 2 as bigint)").alias("edges"))
+    return per.withColumn("density", ratio(2 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -87,28 +96,34 @@ def dedup_hub(edges: DataFrame) -> DataFrame:
     return removed
 
 
-def _dedup_ranked(comps: DataFrame, corr: DataFrame, rank, r_max: float) -> DataFrame:
-    """Remove cells of a component in a fixed order until no pair above ``r_max`` is left.
+def _dedup_ranked(comps: DataFrame, corr: DataFrame, rank, keys: list[str]) -> DataFrame:
+    """Remove cells of a component in a fixed order until no pair of ``corr`` is left.
 
     A pair is gone once its first cell in the order is; so everything up to the latest such first
     cell is removed, which one aggregate finds.
     """
     ranked = comps.withColumn("_rank", rank)
-    side = lambda s: ranked.select(F.col("node").alias(s), F.col("component").alias(f"_c{s}"), F.col("_rank").alias(f"_r{s}"))
-    bad = corr.filter(F.col("r") > r_max).join(side("a"), "a").join(side("b"), "b").filter("_ca = _cb")
-    limit = bad.groupBy(F.col("_ca").alias("component")).agg(F.max(F.least("_ra", "_rb")).alias("_limit"))
-    return ranked.join(limit, "component").filter(F.col("_rank") <= F.col("_limit")).select("node", "component")
+    side = lambda s: ranked.select("component", F.col("node").alias(s), F.col("_rank").alias(f"_r{s}"))
+    bad = corr.select(*keys, "component", "a", "b").join(side("a"), ["component", "a"]).join(side("b"), ["component", "b"])
+    limit = bad.groupBy(*keys, "component").agg(F.max(F.least("_ra", "_rb")).alias("_limit"))
+    return ranked.join(limit, "component").filter(F.col("_rank") <= F.col("_limit")).select(*keys, "node", "component")
+
+
+def within_components(comps: DataFrame, activity: DataFrame, keys: list[str], item: str, coord: str, value: str, n, r_max: float) -> DataFrame:
+    """(keys, component, a, b) of the cells of one component that correlate above ``r_max``; cells of different components never meet."""
+    own = activity.join(comps.select(F.col("node").alias(item), "component"), item)
+    return pearson_above(own, [*keys, "component"], item, coord, value, n, r_max).filter(F.col("r") > r_max).select(*keys, "component", "a", "b")
 
 
-def dedup_snr(comps: DataFrame, corr: DataFrame, snr: DataFrame, r_max: float) -> DataFrame:
-    """Lowest signal to noise goes first (tie: smallest id)."""
-    return _dedup_ranked(comps.join(snr, "node"), corr, F.struct("snr", "node"), r_max)
+def dedup_snr(comps: DataFrame, corr: DataFrame, snr: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Lowest signal to noise goes first (tie: smallest id). ``corr`` comes from ``within_components``."""
+    return _dedup_ranked(comps.join(snr, "node"), corr, F.struct("snr", "node"), keys or [])
 
 
-def dedup_hub_snr(comps: DataFrame, corr: DataFrame, snr: DataFrame, edges: DataFrame, r_max: float) -> DataFrame:
+def dedup_hub_snr(comps: DataFrame, corr: DataFrame, snr: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Highest degree goes first, then lowest signal to noise."""
     d = comps.join(snr, "node").join(degrees(edges), "node")
-    return _dedup_ranked(d, corr, F.struct((-F.col("degree")).alias("d"), "snr", "node"), r_max)
+    return _dedup_ranked(d, corr, F.struct((-F.col("degree")).alias("d"), "snr", "node"), keys or [])
 
 
 def state_graph(transitions: DataFrame, src: str, dst: str, n: str, least: int = 1) -> DataFrame:
@@ -117,6 +132,9 @@ def state_graph(transitions: DataFrame, src: str, dst: str, n: str, least: int =
             .select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(n).alias("w")))
 
 
-def subsample_nodes(nodes: DataFrame, node: str, n: int, seed: int = 0) -> DataFrame:
-    """n nodes in a fixed pseudo-random order."""
-    return nodes.orderBy(F.pmod(F.col(node) * 7919 + F.lit(seed * 104729), F.lit(1000003)), node).limit(n)
+def subsample_nodes(nodes: DataFrame, node: str, n: int, seed: int = 0, keys: list[str] | None = None) -> DataFrame:
+    """n nodes of each key in a fixed pseudo-random order."""
+    order = (F.pmod(F.col(node) * 7919 + F.lit(seed * 104729), F.lit(1000003)), F.col(node))
+    if not keys:
+        return nodes.orderBy(*order).limit(n)
+    return nodes.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_at") <= n).drop("_at")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from engram.functions.blocks import spread
 from engram.functions.exprs import pearson_agg, pearson_from_sums, ratio
 from engram.functions.pairs import TILE, pair_products
 from engram.functions.pvalue import pearson_pvalue
@@ -20,14 +23,14 @@ def all_pairs(cells: DataFrame, keys: list[str], item: str, tiles: int) -> DataF
 
 def cell_moments(activity: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
     v = F.col(value)
-    return activity.groupBy(*keys, item).agg(F.sum(v).alias("s"), F.sum(v * v).alias("ss"),
-                                             F.count(F.when(v != 0, 1)).alias("bursts"))
+    return activity.groupBy(*keys, item).agg(F.sum(v).alias("_s"), F.sum(v * v).alias("_ss"),
+                                             F.count(F.when(v != 0, 1)).alias("_bursts"))
 
 
 def _with_moments(pairs: DataFrame, moments: DataFrame, keys: list[str], item: str) -> DataFrame:
     for side in ("a", "b"):
-        m = moments.select(*keys, F.col(item).alias(side), F.col("s").alias(f"s_{side}"), F.col("ss").alias(f"ss_{side}"),
-                           F.col("bursts").alias(f"bursts_{side}"))
+        m = moments.select(*keys, F.col(item).alias(side), F.col("_s").alias(f"s_{side}"), F.col("_ss").alias(f"ss_{side}"),
+                           F.col("_bursts").alias(f"bursts_{side}"))
         pairs = pairs.join(m, [*keys, side])
     return pairs
 
@@ -53,6 +56,95 @@ def pearson_pairs(activity: DataFrame, keys: list[str], item: str, coord: str, v
     return out.withColumn("p", pearson_pvalue("r", F.col("n").cast("double"))) if with_p else out
 
 
+HELD = 1 << 23    # numbers of one tile of cells that a task may hold
+GROUPS = 16       # parts of the recording whose norms bound a correlation
+VECTOR = 4096     # bins of a cell that travel as one array
+
+
+def pearson_above(activity: DataFrame, keys: list[str], item: str, coord: str, value: str, n, r_min: float, min_bursts: int = 0) -> DataFrame:
+    """(keys, a, b, n, r, p) of the cell pairs a < b with r >= ``r_min``; no other pair leaves its task.
+
+    ``n`` is the number of bins, an int or a column that is constant for a recording; bins without a row are zero. Cells that are constant or
+    have too few active bins have no r. A task holds two tiles of cells over the whole recording. The norms of GROUPS parts of the
+    recording bound r from above (a product of parts is at most the product of their norms), and cells that no bound reaches are not multiplied.
+    """
+    act = (activity.select(*keys, item, F.col(coord).cast("long").alias("_c"), F.col(value).cast("double").alias("_v"), (F.lit(n) if isinstance(n, int) else n).cast("long").alias("_n"))
+           .filter((F.col("_v") != 0) & (F.col("_c") >= 0) & (F.col("_c") < F.col("_n"))))
+    cells = act.groupBy(*keys, item).agg(F.max("_n").alias("_n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("cells"), F.max("_n").alias("bins"))
+    most = cells.agg(F.max("cells"), F.max("bins")).first()      # one row sizes the tiles
+    tiles = max(1, -(-(most[0] or 1) // max(1, min(TILE, HELD // (most[1] or 1)))))
+    sent = act.withColumn("_t", F.pmod(F.xxhash64(item), F.lit(tiles)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    sent = sent.withColumn("_ti", F.least("_t", "_o")).withColumn("_tj", F.greatest("_t", "_o")).drop("_o")
+    kind = activity.schema[item].dataType
+    schema = T.StructType([*[activity.schema[k] for k in keys], T.StructField("a", kind), T.StructField("b", kind), T.StructField("n", T.LongType()), T.StructField("r", T.DoubleType())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        names = rows[item].combine_chunks().dictionary_encode()
+        ids, code = names.dictionary.to_pylist(), names.indices.to_numpy()
+        order = sorted(range(len(ids)), key=lambda i: ids[i])
+        place = np.empty(len(ids), int)
+        place[order] = np.arange(len(ids))
+        ids, code = [ids[i] for i in order], place[code]
+        bins = rows["_n"][0].as_py()
+        x = np.zeros((len(ids), bins))
+        np.add.at(x, (code, rows["_c"].to_numpy()), rows["_v"].to_numpy())
+        tile = np.zeros(len(ids), int)
+        tile[code] = rows["_t"].to_numpy()
+        bursts = (x != 0).sum(axis=1)
+        x -= x.mean(axis=1, keepdims=True)
+        norm = np.sqrt((x * x).sum(axis=1))
+        live = (norm > 1e-9 * np.abs(x).max(axis=1, initial=0) * np.sqrt(bins)) & (norm > 0) & (bursts >= min_bursts)
+        x /= np.where(live, norm, 1.0)[:, None]
+        edges = np.linspace(0, bins, min(GROUPS, bins) + 1).astype(int)[:-1]
+        parts = np.sqrt(np.add.reduceat(x * x, edges, axis=1))
+        ti, tj = rows["_ti"][0].as_py(), rows["_tj"][0].as_py()
+        left, right = np.flatnonzero(live & (tile == ti)), np.flatnonzero(live & (tile == tj))
+        reach = parts[left] @ parts[right].T >= r_min - 1e-9
+        left, right = left[reach.any(axis=1)], right[reach.any(axis=0)]
+        r = x[left] @ x[right].T
+        i, j = np.nonzero(r >= r_min)
+        i, j, r = left[i], right[j], r[i, j]
+        if ti == tj:
+            i, j, r = i[i < j], j[i < j], r[i < j]
+        first, second = np.minimum(i, j).tolist(), np.maximum(i, j).tolist()
+        same = [pa.array([rows[k][0].as_py()] * len(r), rows.schema.field(k).type) for k in keys]
+        form = rows.schema.field(item).type
+        return pa.table([*same, pa.array([ids[k] for k in first], form), pa.array([ids[k] for k in second], form), pa.array([bins] * len(r), pa.int64()), pa.array(np.clip(r, -1, 1))], names=schema.names)
+
+    found = spread(sent, *keys, "_ti", "_tj").groupBy(*keys, "_ti", "_tj").applyInArrow(run, schema)
+    return found.withColumn("p", pearson_pvalue("r", F.col("n").cast("double")))
+
+
+def pearson_of(pairs: DataFrame, activity: DataFrame, keys: list[str], item: str, coord: str, value: str, n: int | Column, with_p: bool = False) -> DataFrame:
+    """(keys, a, b, n, r[, p]) of the given pairs (keys, a, b) alone: sampled products of the vectors of both cells.
+
+    A vector travels in arrays of VECTOR bins, one row per (pair, array), never one per (pair, bin). Constant cells give r NULL.
+    """
+    act = activity.select(*keys, item, F.col(coord).cast("long").alias("_c"), F.col(value).cast("double").alias("_v")).filter(F.col("_v") != 0)
+    wanted = pairs.select(*keys, "a", "b").distinct()
+    blocks = (act.groupBy(*keys, item, F.floor(F.col("_c") / VECTOR).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_c", "_v"))).alias("_e"))
+              .select(*keys, item, "_b", F.col("_e._c").alias("_c"), F.col("_e._v").alias("_v")))
+    side = lambda s: blocks.select(*keys, F.col(item).alias(s), "_b", F.col("_c").alias(f"_c{s}"), F.col("_v").alias(f"_v{s}"))
+    met = wanted.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b", "_b"]).select(*keys, "a", "b", "_ca", "_va", "_cb", "_vb")
+    schema = T.StructType([f for f in met.schema.fields if f.name not in ("_ca", "_va", "_cb", "_vb")] + [T.StructField("_xy", T.DoubleType())])
+
+    def dots(batches):
+        for batch in batches:
+            out = []
+            cols = [batch.column(k) for k in ("_ca", "_va", "_cb", "_vb")]
+            for ca, va, cb, vb in zip(*cols):
+                x, y = ca.values.to_numpy(), cb.values.to_numpy()
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                out.append(float((va.values.to_numpy() * np.where(y[at] == x, vb.values.to_numpy()[at], 0.0)).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in schema.fields[:-1]] + [pa.array(out, pa.float64())], names=schema.names)
+
+    shared = met.mapInArrow(dots, schema).groupBy(*keys, "a", "b").agg(F.sum("_xy").alias("_xy"))
+    full = _with_moments(wanted.join(shared, [*keys, "a", "b"], "left"), cell_moments(act, keys, item, "_v"), keys, item)
+    n = F.lit(n) if isinstance(n, int) else n
+    out = full.select(*keys, "a", "b", n.alias("n"), pearson_from_sums(n, "s_a", "s_b", "ss_a", "ss_b", F.coalesce("_xy", F.lit(0.0))).alias("r"))
+    return out.withColumn("p", pearson_pvalue("r", F.col("n").cast("double"))) if with_p else out
+
+
 def overlap_pixels(pixels: DataFrame, keys: list[str], cell: str, width: int, tiles: int | None = None) -> DataFrame:
     """Shared pixels of two footprints and their share of each."""
     flat = pixels.select(*keys, cell, (F.col("y") * width + F.col("x")).alias("_at"), F.lit(1.0).alias("_one"))
@@ -72,17 +164,23 @@ def candidate_pairs_overlap(overlaps: DataFrame, threshold: float, corr: DataFra
     return kept.select(F.col("cell1").alias("src"), F.col("cell2").alias("dst"))
 
 
-def candidate_pairs_center(distances: DataFrame, corr: DataFrame, max_distance: float, r_min: float) -> DataFrame:
+def candidate_pairs_center(distances: DataFrame, activity: DataFrame, keys: list[str], item: str, coord: str, value: str, n, max_distance: float, r_min: float) -> DataFrame:
+    """(keys, src, dst) of the cells at most ``max_distance`` apart with r >= ``r_min``; only near cells are correlated.
+
+    ``distances`` (a, b, distance) holds for all recordings unless it has the keys."""
     near = distances.filter(F.col("distance") <= max_distance)
-    return (near.join(corr.filter(F.col("r") >= r_min), ["a", "b"], "left_semi")
-                .select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    missing = [k for k in keys if k not in near.columns]
+    if missing:
+        near = near.crossJoin(F.broadcast(activity.select(*missing).distinct().agg(F.collect_list(F.struct(*missing)).alias("_all")))).select("*", F.inline("_all")).drop("_all")
+    return pearson_of(near, activity, keys, item, coord, value, n).filter(F.col("r") >= r_min).select(*keys, F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def corr_graph(corr: DataFrame, r_min: float = 0.3, p_max: float | None = 0.1) -> DataFrame:
     keep = F.col("r") >= r_min
     if p_max is not None:
         keep = keep & (F.col("p") < p_max)
-    return corr.filter(keep).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("r").alias("w"))
+    more = [c for c in corr.columns if c not in ("a", "b", "n", "r", "p")]
+    return corr.filter(keep).select(*more, F.col("a").alias("src"), F.col("b").alias("dst"), F.col("r").alias("w"))
 
 
 def map_cross_corr(left: DataFrame, right: DataFrame, keys: list[str], value: str, by: list[str] | None = None) -> DataFrame:

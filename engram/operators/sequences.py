@@ -102,14 +102,6 @@ def block_mode_baseline(df: DataFrame, keys: list[str], frame: str, value: str,
     return b.join(mode, [*keys, "_w"], "left").withColumn(out, F.col(value) - F.coalesce("_mode", F.lit(0.0))).drop("_w", "_mode")
 
 
-def linear_detrend(df: DataFrame, keys: list[str], frame: str, value: str, block: int, out: str) -> DataFrame:
-    """Subtract the straight line fitted to the block means of a trace."""
-    means = df.groupBy(*keys, F.floor(F.col(frame) / block).alias("_w")).agg(F.avg(frame).alias("_x"), F.avg(value).alias("_y"))
-    fit = means.groupBy(*keys).agg(F.regr_slope("_y", "_x").alias("_a"), F.regr_intercept("_y", "_x").alias("_c"))
-    line = F.coalesce(F.col("_a") * F.col(frame) + F.col("_c"), F.lit(0.0))
-    return df.join(fit, keys).withColumn(out, F.col(value) - line).drop("_a", "_c")
-
-
 def event_threshold(df: DataFrame, keys: list[str], value: str, z: float, width: float = 0.001, reach: float = 25.0,
                     dff_min: float = 0.0, max_sigma: float = 100.0) -> DataFrame:
     """Threshold from the left half of the value distribution.

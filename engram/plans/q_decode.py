@@ -19,27 +19,36 @@ def frames_of(activity):
     return activity.crossJoin(F.broadcast(activity.agg((F.max("frame") + 1).alias("nf"))))
 
 
-SHIFT = "CASE WHEN k = 0 THEN 0 ELSE nf // 5 + (cell_id * 7919 + k * 104729) % greatest(3 * (nf // 5), 1) END"
-SHUF = f"""sf AS (SELECT cell_id, k AS shuffle, (frame + {SHIFT}) % nf AS frame, f FROM activity CROSS JOIN (SELECT CAST(unnest(range(0, 21)) AS INTEGER) AS k) CROSS JOIN (SELECT {NF} AS nf))"""
+SHUFFLES = N.SHUFFLES
+DRAW = lambda ids, k="k", seed=0: f"CAST('0x' || left(md5('{seed}:' || {ids} || ':' || {k}), 8) AS BIGINT)"
+NUMBERS = lambda lo, hi: f"(SELECT CAST(unnest(range({lo}, {hi + 1})) AS INTEGER) AS k)"
+# one shift per cell and shuffle, in the middle three fifths; shuffle 0 is the recording itself
+SHIFTS = f"""sh AS (SELECT cell_id, k, nf, CASE WHEN k = 0 THEN 0 ELSE nf // 5 + {DRAW("cell_id")} % greatest(3 * (nf // 5), 1) END AS s
+    FROM (SELECT DISTINCT cell_id FROM activity) CROSS JOIN {NUMBERS(0, SHUFFLES)} CROSS JOIN (SELECT {NF} AS nf))"""
+SHUF = "sf AS (SELECT cell_id, k AS shuffle, (frame + s) % nf AS frame, f FROM activity JOIN sh USING (cell_id))"
 
 
-SHUFFLES = 1000   # of the reference; queries with an SQL twin run the count that stands in the SQL, the others this one
+def digest(df, keys, value, *more):
+    return df.groupBy(*keys).agg(*more, F.count(F.lit(1)).alias("n"), F.min(value).alias("first"), F.max(value).alias("last"), F.sum(value).alias("total"))
 
 
-def shuffled(spark, d, n=20):
-    return N.circ_shift(frames_of(S.activity(spark, d)), "cell_id", "frame", F.col("nf"), n)
-
-
-@query("circ_shift", with_views("activity", SHUF, "SELECT cell_id, shuffle, frame, round(f, 4) + 0.0 AS f FROM sf WHERE shuffle <= 3"))
+@query("circ_shift", with_views("activity", SHIFTS, SHUF, """SELECT cell_id, shuffle, round(sum(f * frame), 2) + 0.0 AS moment, count(*) AS n, min(frame) AS first, max(frame) AS last,
+    CAST(sum(frame) AS BIGINT) AS total FROM sf GROUP BY 1, 2"""))
 def circ_shift(spark, d):
-    return shuffled(spark, d, 3).select("cell_id", "shuffle", "frame", r("f", 4).alias("f"))
+    """Every shuffle of every cell, told by its number of rows, first, last and summed frame, and sum of value times frame."""
+    rolled = N.circ_shift(frames_of(S.activity(spark, d)), "cell_id", "frame", F.col("nf"))
+    return digest(rolled, ["cell_id", "shuffle"], "frame", r(F.sum(F.col("f") * F.col("frame")), 2).alias("moment"))
 
 
-@query("shuffle_times", with_views("spikes", f"""i AS (SELECT unit_id, event_id, k AS iteration, t_us + {HOUR} + CAST(floor(((unit_id * 7919 + k * 104729) % 10007) * {718 * HOUR} / 10007) AS BIGINT) AS t
-    FROM spikes CROSS JOIN (SELECT CAST(unnest(range(1, 5)) AS INTEGER) AS k))""", f"SELECT unit_id, event_id, iteration, CASE WHEN t > {720 * HOUR} THEN t - {720 * HOUR} ELSE t END AS t_us FROM i"))
+SPAN = 720 * HOUR
+@query("shuffle_times", with_views("spikes", f"""of AS (SELECT unit_id, k AS iteration, {HOUR} + ({DRAW("unit_id")} * 1048576 + {DRAW("unit_id", seed=1)} % 1048576) % {SPAN - 2 * HOUR + 1} AS o
+    FROM (SELECT DISTINCT unit_id FROM spikes) CROSS JOIN {NUMBERS(1, SHUFFLES)}),
+    i AS (SELECT unit_id, iteration, CASE WHEN t_us + o > {SPAN} THEN t_us + o - {SPAN} ELSE t_us + o END AS t FROM spikes JOIN of USING (unit_id))""",
+    "SELECT unit_id, iteration, count(*) AS n, min(t) AS first, max(t) AS last, CAST(sum(t) AS BIGINT) AS total FROM i GROUP BY 1, 2"))
 def shuffle_times(spark, d):
-    s = S.spikes(spark, d).select("unit_id", "event_id", "t_us")
-    return N.shuffle_times(s, "unit_id", "t_us", HOUR, 0, 720 * HOUR, 4).select("unit_id", "event_id", "iteration", "t_us")
+    """Every iteration of every spike train, told by its number of spikes and its first, last and summed time."""
+    s = S.spikes(spark, d).select("unit_id", "t_us")
+    return digest(N.shuffle_times(s, "unit_id", "t_us", HOUR, 0, SPAN), ["unit_id", "iteration"], "t_us")
 
 
 @query("shuffle_rasters", with_views("activity", f"SELECT cell_id, (frame + (cell_id * 7919 + 104729) % nf) % nf AS frame, n FROM activity CROSS JOIN (SELECT {NF} AS nf)"))
@@ -47,26 +56,31 @@ def shuffle_rasters(spark, d):
     return N.shuffle_rasters(frames_of(S.activity(spark, d)), "cell_id", "frame", F.col("nf")).select("cell_id", "frame", "n")
 
 
-ROLLS = [3, 5, 8, 11, 14, 17, 19, 22, 25, 27]
+def day_sums(spark, d):
+    return S.activity(spark, d).groupBy("cell_id", F.floor(F.col("frame") / 24).alias("bin")).agg(F.sum("f").alias("v"))
 
 
-def corr_z(spark, d, rolls):
-    days = S.activity(spark, d).groupBy("cell_id", F.floor(F.col("frame") / 24).alias("bin")).agg(F.sum("f").alias("v"))
-    return N.corr_zscore(days, [], "cell_id", "bin", "v", 30, rolls).select("a", "b", r("z", 5).alias("z"))
+def z_sql(weights):
+    """z over rolls of the right cell; a weight table w(b, s, w) holds how often each roll is drawn."""
+    return (f"""gr AS (SELECT c.cell_id, b.bin, coalesce(dy.v, 0.0) AS v FROM cells c CROSS JOIN bins b LEFT JOIN dy ON dy.cell_id = c.cell_id AND dy.bin = b.bin),
+    {weights},
+    rr AS (SELECT p.cell_id AS a, q.cell_id AS b, (p.bin - q.bin + 30) % 30 AS s, sum(p.v * q.v) AS c FROM gr p JOIN gr q ON q.cell_id > p.cell_id GROUP BY 1, 2, 3),
+    mm AS (SELECT a, b, sum(w * c) / sum(w) AS m, max(c) FILTER (WHERE s = 0) AS c0, max(abs(c)) AS top FROM rr JOIN w USING (b, s) GROUP BY 1, 2),
+    vv AS (SELECT a, b, sqrt(sum(w * (c - m) * (c - m)) / sum(w)) AS sd FROM rr JOIN w USING (b, s) JOIN mm USING (a, b) GROUP BY 1, 2)""",
+    "SELECT a, b, CASE WHEN sd > 1e-9 * top THEN round((c0 - m) / sd, 5) + 0.0 END AS z FROM mm JOIN vv USING (a, b)")
 
 
-@query("corr_zscore", with_views("activity", DAYS, f"""rl(k, s) AS (VALUES (0, 0), {", ".join(f"({i + 1}, {s})" for i, s in enumerate(ROLLS))}),
-    gr AS (SELECT c.cell_id, b.bin, coalesce(dy.v, 0.0) AS v FROM cells c CROSS JOIN bins b LEFT JOIN dy ON dy.cell_id = c.cell_id AND dy.bin = b.bin),
-    rr AS (SELECT p.cell_id AS a, q.cell_id AS b, k, corr(p.v, q.v) AS r FROM rl CROSS JOIN gr p JOIN gr q ON q.cell_id > p.cell_id AND (q.bin + s) % 30 = p.bin GROUP BY 1, 2, 3)""",
-    "SELECT a, b, round((max(r) FILTER (WHERE k = 0) - avg(r)) / stddev_pop(r), 5) + 0.0 AS z FROM rr GROUP BY 1, 2"))
+@query("corr_zscore", with_views("activity", DAYS, *z_sql(f"""w AS (SELECT b, s, count(*) AS w FROM (SELECT cell_id AS b, {DRAW("cell_id")} % 30 AS s FROM cells CROSS JOIN {NUMBERS(1, SHUFFLES)}
+    UNION ALL SELECT cell_id, 0 FROM cells) GROUP BY 1, 2)""")))
 def corr_zscore(spark, d):
-    return corr_z(spark, d, ROLLS)
+    """1,000 keyed rolls per cell."""
+    return N.corr_zscore(day_sums(spark, d), [], "cell_id", "bin", "v", 30).select("a", "b", r("z", 5).alias("z"))
 
 
-@query("corr_zscore_full")
+@query("corr_zscore_full", with_views("activity", DAYS, *z_sql("w AS (SELECT cell_id AS b, bin AS s, 1 AS w FROM cells CROSS JOIN bins)")))
 def corr_zscore_full(spark, d):
-    """corr_zscore within every roll of the recording."""
-    return corr_z(spark, d, list(range(1, 30)))
+    """Every roll of the recording once."""
+    return N.corr_zscore(day_sums(spark, d), [], "cell_id", "bin", "v", 30, rolls=None).select("a", "b", r("z", 5).alias("z"))
 
 
 # Position of the animal per frame, taken from the whole population of events in that hour.
@@ -84,36 +98,22 @@ def positions(spark, d):
             .agg((F.count(F.lit(1)) % 5).cast("int").alias("iy"), F.least(F.floor(F.avg("value") / 10), F.lit(9)).cast("int").alias("ix")))
 
 
-def si_z(spark, d, n=20):
-    pos = positions(spark, d)
-    si = N.si_by_shuffle(shuffled(spark, d, n), pos, N.occupancy_of(pos, BINS), ["cell_id", "shuffle"], "frame", "f", BINS)
-    return N.zscore_of_true(si, ["cell_id"], "shuffle", 0, "si")
+def si_z(spark, d):
+    return N.information_null(frames_of(S.activity(spark, d)), positions(spark, d), [], "cell_id", "frame", "f", BINS, F.col("nf"))
 
 
-@query("si_zscore", with_views("activity", POS, SHUF, SI, "SELECT cell_id, round(si, 6) + 0.0 AS si, round(z, 5) + 0.0 AS z FROM zz"))
+@query("si_zscore", with_views("activity", POS, SHIFTS, SHUF, SI, "SELECT cell_id, round(si, 6) + 0.0 AS si, round(z, 5) + 0.0 AS z FROM zz"))
 def si_zscore(spark, d):
+    """Within 1,000 shuffles."""
     return si_z(spark, d).select("cell_id", r("si").alias("si"), r("z", 5).alias("z"))
 
 
-@query("si_zscore_full")
-def si_zscore_full(spark, d):
-    """si_zscore within SHUFFLES shuffles."""
-    return si_z(spark, d, SHUFFLES).select("cell_id", r("si").alias("si"), r("z", 5).alias("z"))
-
-
-@query("place_cells", with_views("activity", POS, SHUF, SI, "SELECT cell_id, round(z, 5) + 0.0 AS z FROM zz WHERE z > 1.5"))
+@query("place_cells", with_views("activity", POS, SHIFTS, SHUF, SI, "SELECT cell_id, round(z, 5) + 0.0 AS z FROM zz WHERE z > 1.5"))
 def place_cells(spark, d):
     from engram.operators.filters import place_cells as keep
     return keep(si_z(spark, d), "z", 1.5).select("cell_id", r("z", 5).alias("z"))
 
 
-@query("place_cells_full")
-def place_cells_full(spark, d):
-    """place_cells by the z of SHUFFLES shuffles."""
-    from engram.operators.filters import place_cells as keep
-    return keep(si_z(spark, d, SHUFFLES), "z", 1.5).select("cell_id", r("z", 5).alias("z"))
-
-
 @query("split_half", with_views("activity", f"SELECT cell_id, CASE WHEN frame >= nf // 2 THEN 1 ELSE 0 END AS half, round(sum(f), 4) + 0.0 AS f FROM activity CROSS JOIN (SELECT {NF} AS nf) GROUP BY 1, 2"))
 def split_half(spark, d):
     h = N.split_half(frames_of(S.activity(spark, d)), "frame", F.col("nf"))
@@ -128,20 +128,18 @@ def split_half_minutes(spark, d):
 
 @query("place_cell_test")
 def place_cell_test(spark, d):
-    """Information z over {all, halves, shuffles}, overlap of the fields and coherence of the halves."""
+    """Information z over {all, halves, 1,000 shuffles}, overlap of the fields and coherence of the halves."""
     pos = positions(spark, d)
     occ = N.occupancy_of(pos, BINS)
     act = frames_of(S.activity(spark, d))
-    every = N.circ_shift(act, "cell_id", "frame", F.col("nf"), SHUFFLES).select("cell_id", F.col("shuffle").alias("variant"), "frame", "f")
+    z = N.information_null(act, pos, [], "cell_id", "frame", "f", BINS, F.col("nf"), halves=True)
     half = N.split_half(act, "frame", F.col("nf")).select("cell_id", (-1 - F.col("half")).alias("variant"), "frame", "f")
-    si = N.si_by_shuffle(every.unionByName(half), pos, occ, ["cell_id", "variant"], "frame", "f", BINS)
-    z = N.zscore_of_true(si, ["cell_id"], "variant", 0, "si")
     maps = (half.join(pos, "frame").groupBy("cell_id", "variant", *BINS).agg(F.sum("f").alias("_f"))
                 .join(occ, BINS).withColumn("rate", F.col("_f") / F.col("seconds")).select("cell_id", "variant", *BINS, "rate"))
     keys = ["cell_id", "variant"]
-    # Bins the animal visited without activity of the cell are part of its map with rate 0.
-    cells = maps.select(*keys).distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    full = (cells.join(occ.select(*BINS), cells["_b"] == occ["iy"]).drop("_b").join(maps, [*keys, *BINS], "left")
+    # Bins the animal visited without activity of the cell are part of its map with rate 0; the visited bins are as many as the arena has.
+    visited = occ.agg(F.collect_list(F.struct(*BINS)).alias("_bins"))
+    full = (maps.select(*keys).distinct().crossJoin(F.broadcast(visited)).select(*keys, F.inline("_bins")).join(maps, [*keys, *BINS], "left")
                  .withColumn("rate", F.coalesce("rate", F.lit(0.0))))
     sm = G.gauss_smooth(full, keys, "rate", 1.0, (5, 10)).select(*keys, *BINS, "smooth")
     fields = D.place_fields(sm, keys, "smooth", (5, 10), start=0.98, min_bins=5, min_peak=0.001, min_mean=0.1, relative=True, clear=0)
@@ -152,21 +150,19 @@ def place_cell_test(spark, d):
     return out.select("cell_id", *[r(c, 5).alias(c) for c in ("si", "z", "overlap", "coherence1", "coherence2")])
 
 
-@query("match_null", with_views("track", PRED, """sz AS (SELECT session, count(*) AS n FROM track GROUP BY 1),
-    sh AS (SELECT session, k, (frame + 100 + 37 * k) % n AS frame, x, y FROM track JOIN sz USING (session) CROSS JOIN (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS k)),
-    far AS (SELECT * FROM pd WHERE sqrt((px - x) * (px - x) + (py - y) * (py - y)) > 10),
-    nn AS (SELECT a.session, s.k, a.frame, min(CAST((s.x - a.px) * (s.x - a.px) + (s.y - a.py) * (s.y - a.py) AS BIGINT)) AS m FROM far a JOIN sh s ON s.session = a.session AND s.frame BETWEEN a.frame AND a.frame + 19 GROUP BY 1, 2, 3)""",
+@query("match_null", with_views("track", PRED, """sz AS (SELECT session, count(*) AS n FROM track GROUP BY 1)""",
+    f"""sh AS (SELECT session, n, k, 1000 + {DRAW("session")} % 9000 AS s FROM sz CROSS JOIN {NUMBERS(1, 500)})""",
+    """far AS (SELECT * FROM pd WHERE sqrt((px - x) * (px - x) + (py - y) * (py - y)) > 10),
+    ar AS (SELECT session, list(x ORDER BY frame) AS xs, list(y ORDER BY frame) AS ys FROM track GROUP BY 1),
+    nn AS (SELECT session, k, frame, list_min(list_transform(range(least(20, n - frame)), lambda j: pow(xs[(frame + j - s + 100 * n) % n + 1] - px, 2) + pow(ys[(frame + j - s + 100 * n) % n + 1] - py, 2))) AS m
+        FROM far JOIN sh USING (session) JOIN ar USING (session))""",
     "SELECT session, k AS shuffle, count(*) AS total, count(*) FILTER (WHERE m < 16) AS hits FROM nn GROUP BY 1, 2"))
 def match_null(spark, d):
+    """500 rolls of the trajectory by 1,000 to 9,999 frames."""
     p = predicted(spark, d)
-    n = p.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-    rolled = (p.join(n, "session").withColumn("shuffle", F.explode(F.sequence(F.lit(1), F.lit(3))))
-               .select("session", "shuffle", F.pmod(F.col("frame") + 100 + 37 * F.col("shuffle"), F.col("n")).cast("long").alias("frame"),
-                       F.col("x").alias("tx"), F.col("y").alias("ty")))
     far = F.sqrt((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2) > 10
-    asked = p.select("session", "frame", F.when(far, F.col("px")).alias("px"), F.when(far, F.col("py")).alias("py"))
-    got = J.nearest_approach(rolled.join(asked, ["session", "frame"]), ["session", "shuffle"], "frame", "tx", "ty", "px", "py", 20)
-    return got.groupBy("session", "shuffle").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("nearest") < 4, 1)).alias("hits"))
+    asked = p.withColumn("px", F.when(far, F.col("px"))).withColumn("py", F.when(far, F.col("py")))
+    return N.match_null(asked, ["session"], "frame", "x", "y", "px", "py", 20, 4.0)
 
 
 @query("random_distance", with_views("track", PRED, "sz AS (SELECT session, count(*) AS n FROM track GROUP BY 1)",

@@ -1,6 +1,5 @@
 """Joins, pairs and graphs."""
 
-from functools import reduce
 from math import comb
 
 from pyspark.sql import functions as F
@@ -200,20 +199,39 @@ def join_pairs(spark, d):
     return pair_products(days(spark, d), None, [], "cell_id", "bin", "v").select("a", "b", F.col("n").alias("bins"))
 
 
-# p < 0.1 at 30 bins is |r| > 0.306006; the twin uses the critical value.
-@query("corr_graph", with_views("activity", DAYS, PAIRS, "SELECT a AS src, b AS dst, round(r, 6) + 0.0 AS w FROM co WHERE r >= 0.4"))
+# Day bins of each kind of event as sessions of their own: the same cells, recorded several times.
+SESSION_DAYS = """dy AS (SELECT kind AS session, unit_id AS cell_id, t_us // 86400000000 AS bin, sum(value) AS v FROM spikes GROUP BY 1, 2, 3), cells AS (SELECT DISTINCT session, cell_id FROM dy),
+    bins AS (SELECT CAST(unnest(range(0, 30)) AS BIGINT) AS bin)"""
+SESSION_PAIRS = """gr AS (SELECT c.session, c.cell_id, b.bin, coalesce(dy.v, 0.0) AS v FROM cells c CROSS JOIN bins b LEFT JOIN dy ON dy.session = c.session AND dy.cell_id = c.cell_id AND dy.bin = b.bin),
+    st AS (SELECT session, cell_id, avg(v) AS mu, stddev_pop(v) AS sd FROM gr GROUP BY 1, 2 HAVING stddev_pop(v) > 1e-9),
+    z AS (SELECT session, cell_id, bin, (v - mu) / sd AS z FROM gr JOIN st USING (session, cell_id)),
+    co AS (SELECT p.session, p.cell_id AS a, q.cell_id AS b, sum(p.z * q.z) / 30 AS r FROM z p JOIN z q ON p.session = q.session AND p.bin = q.bin AND p.cell_id < q.cell_id GROUP BY 1, 2, 3)"""
+SESSION = ["session"]
+
+
+def session_days(spark, d):
+    return (S.spikes(spark, d).groupBy(F.col("kind").alias("session"), F.col("unit_id").alias("cell_id"), F.expr("t_us div 86400000000").alias("bin"))
+            .agg(F.sum("value").alias("v")))
+
+
+def above(spark, d, r_min):
+    """Pairs of a session from a threshold on; the others are never written."""
+    return P.pearson_above(session_days(spark, d), SESSION, "cell_id", "bin", "v", 30, r_min)
+
+
+@query("corr_graph", with_views("spikes", SESSION_DAYS, SESSION_PAIRS, f"SELECT session, a AS src, b AS dst, round(r, 6) + 0.0 AS w FROM co WHERE r >= 0.4 AND {P28} < 0.1"))
 def corr_graph(spark, d):
     return H_graph(spark, d).withColumn("w", r("w"))
 
 
 def H_graph(spark, d, r_min=0.4):
-    return P.corr_graph(corr(spark, d, with_p=True), r_min, 0.1)
+    return P.corr_graph(above(spark, d, r_min), r_min, 0.1)
 
 
-@query("corr_threshold", with_views("activity", DAYS, PAIRS, "SELECT a, b, round(r, 6) + 0.0 AS r FROM co WHERE r >= 0.45"))
+@query("corr_threshold", with_views("spikes", SESSION_DAYS, SESSION_PAIRS, f"SELECT session, a, b, round(r, 6) + 0.0 AS r, round({P28}, 6) + 0.0 AS p FROM co WHERE r >= 0.3 AND {P28} <= 0.05"))
 def corr_threshold(spark, d):
     from engram.operators.filters import corr_threshold as keep
-    return keep(corr(spark, d, with_p=True), p_max=0.05, r_min=0.45).select("a", "b", r("r").alias("r"))
+    return keep(above(spark, d, 0.3), p_max=0.05, r_min=0.3).select("session", "a", "b", r("r").alias("r"), r("p").alias("p"))
 
 
 OV = """sz AS (SELECT cell_id, count(*) AS n FROM pixels GROUP BY 1),
@@ -240,11 +258,11 @@ def candidate_pairs_overlap(spark, d):
     return edges(spark, d)
 
 
-@query("candidate_pairs_center", with_views("pixels activity", CENT, DAYS, PAIRS, """SELECT p.cell_id AS src, q.cell_id AS dst FROM ct p JOIN ct q ON p.cell_id < q.cell_id JOIN co ON co.a = p.cell_id AND co.b = q.cell_id
+@query("candidate_pairs_center", with_views("pixels spikes", CENT, SESSION_DAYS, SESSION_PAIRS, """SELECT co.session, p.cell_id AS src, q.cell_id AS dst FROM ct p JOIN ct q ON p.cell_id < q.cell_id JOIN co ON co.a = p.cell_id AND co.b = q.cell_id
     WHERE sqrt((p.cx - q.cx) * (p.cx - q.cx) + (p.cy - q.cy) * (p.cy - q.cy)) <= 4 AND co.r >= 0.2"""))
 def candidate_pairs_center(spark, d):
     dist = J.centroid_distance(S.pixels(spark, d), [], "cell_id", 4.0)
-    return P.candidate_pairs_center(dist, corr(spark, d), 4.0, 0.2)
+    return P.candidate_pairs_center(dist, session_days(spark, d), SESSION, "cell_id", "bin", "v", 30, 4.0, 0.2)
 
 
 COMP = """ar AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed),
@@ -273,71 +291,87 @@ SNR = "sn AS (SELECT unit AS node, avg(signal) / stddev_pop(signal) AS snr FROM
 DED = """cm AS (SELECT node, min(lab) AS component FROM cc GROUP BY 1),
     dg AS (SELECT src AS node, count(*) AS degree FROM ar GROUP BY 1),
     rk AS (SELECT component, node, row_number() OVER (PARTITION BY component ORDER BY {order}) AS rk FROM cm JOIN sn USING (node) JOIN dg USING (node)),
-    lm AS (SELECT a.component, max(least(a.rk, b.rk)) AS k FROM co JOIN rk a ON a.node = co.a JOIN rk b ON b.node = co.b AND b.component = a.component WHERE r > 0.1 GROUP BY 1)"""
+    lm AS (SELECT session, a.component, max(least(a.rk, b.rk)) AS k FROM co JOIN rk a ON a.node = co.a JOIN rk b ON b.node = co.b AND b.component = a.component WHERE r > 0.1 GROUP BY 1, 2)"""
 
 
 def _dedup_sql(order):
-    return with_views("pixels tracking activity", OV, COMP, DAYS, PAIRS, SNR, DED.format(order=order),
-                      "SELECT node, component FROM rk JOIN lm USING (component) WHERE rk <= k").replace("WITH ", "WITH RECURSIVE ", 1)
+    return with_views("pixels tracking spikes", OV, COMP, SESSION_DAYS, SESSION_PAIRS, SNR, DED.format(order=order),
+                      "SELECT session, node, component FROM rk JOIN lm USING (component) WHERE rk <= k").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _snr(spark, d):
     return Q.trace_stats(S.tracking(spark, d), ["unit"], "signal").select(F.col("unit").alias("node"), "snr")
 
 
+def alike(spark, d, comps):
+    return H.within_components(comps, session_days(spark, d), SESSION, "cell_id", "bin", "v", 30, 0.1)
+
+
 @query("dedup_snr", _dedup_sql("snr, node"))
 def dedup_snr(spark, d):
-    return H.dedup_snr(H.components(edges(spark, d)), corr(spark, d), _snr(spark, d), 0.1)
+    comps = H.components(edges(spark, d))
+    return H.dedup_snr(comps, alike(spark, d, comps), _snr(spark, d), SESSION)
 
 
 @query("dedup_hub_snr", _dedup_sql("degree DESC, snr, node"))
 def dedup_hub_snr(spark, d):
     e = edges(spark, d)
-    return H.dedup_hub_snr(H.components(e), corr(spark, d), _snr(spark, d), e, 0.1)
+    comps = H.components(e)
+    return H.dedup_hub_snr(comps, alike(spark, d, comps), _snr(spark, d), e, SESSION)
+
 
+G = f"""eg AS (SELECT session, a AS src, b AS dst FROM co WHERE r >= 0.4 AND {P28} < 0.1), en AS (SELECT session, src AS node FROM eg UNION ALL SELECT session, dst FROM eg),
+    dg AS (SELECT session, node, count(*) AS degree FROM en GROUP BY 1, 2)"""
 
-G = "eg AS (SELECT a AS src, b AS dst FROM co WHERE r >= 0.4), en AS (SELECT src AS node FROM eg UNION ALL SELECT dst FROM eg), dg AS (SELECT node, count(*) AS degree FROM en GROUP BY 1)"
 
+def graph_sql(text):
+    return with_views("spikes", SESSION_DAYS, SESSION_PAIRS, G, text)
 
-@query("degree_dist", with_views("activity", DAYS, PAIRS, G, "SELECT degree // 2 * 2 AS degree_from, count(*) AS nodes FROM dg GROUP BY 1"))
+
+@query("degree_dist", graph_sql("SELECT session, degree // 2 * 2 AS degree_from, count(*) AS nodes FROM dg GROUP BY 1, 2"))
 def degree_dist(spark, d):
-    return H.degree_dist(H_graph(spark, d))
+    return H.degree_dist(H_graph(spark, d), keys=SESSION)
+
+
+@query("degree_median", graph_sql("SELECT session, count(*) AS nodes, CAST(median(degree) AS DOUBLE) AS median_degree, round(avg(degree), 6) + 0.0 AS mean_degree FROM dg GROUP BY 1"))
+def degree_median(spark, d):
+    return H.degree_median(H_graph(spark, d), SESSION).withColumn("mean_degree", r("mean_degree"))
 
 
-@query("isolates_ratio", with_views("activity", DAYS, PAIRS, "nr AS (SELECT node, max(r) AS r FROM (SELECT a AS node, r FROM co UNION ALL SELECT b, r FROM co) GROUP BY 1)",
-    "SELECT t AS threshold, round(1 - count(*) FILTER (WHERE r >= t) / (SELECT count(*) FROM cells), 6) + 0.0 AS isolates FROM nr CROSS JOIN (VALUES (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE)) v(t) GROUP BY 1"))
+@query("isolates_ratio", with_views("spikes", SESSION_DAYS, SESSION_PAIRS, "nr AS (SELECT session, node, max(r) AS r FROM (SELECT session, a AS node, r FROM co UNION ALL SELECT session, b, r FROM co) GROUP BY 1, 2)",
+    """SELECT c.session, t AS threshold, round(1 - count(*) FILTER (WHERE r >= t) / count(*), 6) + 0.0 AS isolates FROM cells c LEFT JOIN nr ON nr.session = c.session AND nr.node = c.cell_id
+    CROSS JOIN (VALUES (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE)) v(t) GROUP BY 1, 2"""))
 def isolates_ratio(spark, d):
-    n = S.activity(spark, d).agg(F.countDistinct("cell_id").alias("n_cells"))
-    return H.isolates_ratio(corr(spark, d), n, [0.3, 0.4, 0.5, 0.6]).withColumn("isolates", r("isolates"))
+    n = session_days(spark, d).groupBy("session").agg(F.countDistinct("cell_id").alias("n_cells"))
+    return H.isolates_ratio(above(spark, d, 0.3), n, [0.3, 0.4, 0.5, 0.6], SESSION).withColumn("isolates", r("isolates"))
 
 
-@query("graph_density", with_views("activity", DAYS, PAIRS, G, "SELECT (SELECT count(*) FROM dg) AS nodes, (SELECT count(*) FROM eg) AS edges, round(2 * (SELECT count(*) FROM eg) / ((SELECT count(*) FROM dg) * ((SELECT count(*) FROM dg) - 1)), 6) + 0.0 AS density"))
+@query("graph_density", graph_sql("""SELECT session, nodes, edges, round(2 * edges / (nodes * (nodes - 1)), 6) + 0.0 AS density FROM (SELECT session, count(*) AS nodes FROM dg GROUP BY 1)
+    JOIN (SELECT session, count(*) AS edges FROM eg GROUP BY 1) USING (session)"""))
 def graph_density(spark, d):
-    return H.graph_density(H_graph(spark, d)).withColumn("density", r("density"))
+    return H.graph_density(H_graph(spark, d), SESSION).withColumn("density", r("density"))
 
 
-@query("corr_degree", with_views("activity", DAYS, PAIRS, G, "SELECT node, degree FROM dg"))
+@query("corr_degree", graph_sql("SELECT session, node, degree FROM dg"))
 def corr_degree(spark, d):
-    return H.degrees(H_graph(spark, d))
+    return H.degrees(H_graph(spark, d), SESSION)
 
 
-@query("degree_prune", with_views("activity", DAYS, PAIRS, G, "SELECT src, dst FROM eg JOIN dg a ON a.node = src JOIN dg b ON b.node = dst WHERE a.degree >= 3 AND b.degree >= 3"))
+@query("degree_prune", graph_sql("SELECT eg.session, src, dst FROM eg JOIN dg a ON a.session = eg.session AND a.node = src JOIN dg b ON b.session = eg.session AND b.node = dst WHERE a.degree >= 3 AND b.degree >= 3"))
 def degree_prune(spark, d):
     from engram.operators.filters import degree_prune as prune
-    return prune(H_graph(spark, d).select("src", "dst"), 3)
+    return prune(H_graph(spark, d).select("session", "src", "dst"), 3, SESSION)
 
 
-@query("subsample_nodes", with_views("activity", DAYS, PAIRS, G, "SELECT node FROM dg ORDER BY (node * 7919 + 104729) % 1000003, node LIMIT 20"))
+@query("subsample_nodes", graph_sql("SELECT session, node FROM dg QUALIFY row_number() OVER (PARTITION BY session ORDER BY (node * 7919 + 104729) % 1000003, node) <= 10"))
 def subsample_nodes(spark, d):
-    return H.subsample_nodes(H.degrees(H_graph(spark, d)).select("node"), "node", 20, 1)
+    return H.subsample_nodes(H.degrees(H_graph(spark, d), SESSION).select("session", "node"), "node", 10, 1, SESSION)
 
 
 @query("set_union_sessions", with_views("spikes", "SELECT kind AS session, event_id AS frame, value FROM spikes"))
 def set_union_sessions(spark, d):
-    s = S.spikes(spark, d).select(F.col("kind").alias("session"), F.col("event_id").alias("frame"), "value")
-    kinds = [row["session"] for row in s.select("session").distinct().collect()]   # one row per session
-    parts = [s.filter(F.col("session") == k) for k in kinds]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    # the sessions lie in one table, so their union is one scan of it
+    return S.spikes(spark, d).select(F.col("kind").alias("session"), F.col("event_id").alias("frame"), "value")
 
 
 @query("set_intersect_frames", with_views("activity", "SELECT frame FROM activity WHERE cell_id % 2 = 0 AND n >= 2 INTERSECT SELECT frame FROM activity WHERE cell_id % 2 = 1 AND n >= 2"))

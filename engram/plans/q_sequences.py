@@ -33,18 +33,63 @@ def conv_sql(name, weights, first, renorm, src="traces", key="cell_id", value="f
         JOIN {src} s ON s.{key} = t.{key} AND s.frame = t.frame + k.lag GROUP BY 1, 2)"""
 
 
-def conv_list_sql(name, weights, first, renorm, src="traces", value="f"):
-    """The same on dense traces: a dot product of the kernel with a slice of the padded trace."""
-    n, last = len(weights), first + len(weights) - 1
-    pad0, pad1 = max(0, -first), max(0, last)
-    zeros = lambda k: f"list_resize(CAST([] AS DOUBLE[]), {k}, 0.0)"
-    lo = f"(frame + 1 + {pad0 + first})"
-    wl = "[" + ", ".join(f"{v!r}::DOUBLE" for v in weights) + "]"
-    dot = lambda a: f"list_dot_product({a}[{lo}:{lo} + {n - 1}], {wl})"
-    div = f" / {dot('ones')}" if renorm else ""
-    return f"""{name}_a AS (SELECT cell_id, list_concat(list_concat({zeros(pad0)}, list({value}::DOUBLE ORDER BY frame)), {zeros(pad1)}) AS arr,
-        list_concat(list_concat({zeros(pad0)}, list(1.0::DOUBLE ORDER BY frame)), {zeros(pad1)}) AS ones FROM {src} GROUP BY 1),
-    {name} AS (SELECT cell_id, frame, {dot('arr')}{div} AS {name} FROM {src} JOIN {name}_a USING (cell_id))"""
+def filtered_sql(name, top, bottom, src="traces", key="cell_id", value="f", zero_phase=True, renorm=False, pad=0):
+    """A digital filter as the recursion it is: top and bottom are SQL lists of its coefficients, bottom[1] = 1.
+
+    Zero-phase filters run forward over the trace and ``pad`` zeros, and then back; ``pad`` lets the response die out."""
+    def run(to, start):
+        return f"""{to}_r AS (SELECT *, 0 AS i, CAST(NULL AS DOUBLE) AS y, list_transform(range(len({top}) - 1), lambda q: 0.0::DOUBLE) AS h FROM {start}
+        UNION ALL SELECT {key}, chan, arr, i + 1, y2, list_concat([y2], h[1:len(h) - 1]) FROM (SELECT {key}, chan, arr, i, h,
+            list_dot_product(list_reverse({top}), list_concat(list_transform(range(len({top})), lambda q: 0.0::DOUBLE), arr)[i + 2:i + 1 + len({top})]) - list_dot_product(({bottom})[2:], h) AS y2
+            FROM {to}_r WHERE i < len(arr)) s)"""
+    zeros = f"list_transform(range({pad}), lambda q: 0.0::DOUBLE)"
+    parts = [f"""{name}_0 AS (SELECT {key}, 'x' AS chan, list_concat(list({value}::DOUBLE ORDER BY frame), {zeros}) AS arr FROM {src} GROUP BY 1
+        {f"UNION ALL SELECT {key}, 'h', list_concat(list(1.0::DOUBLE ORDER BY frame), {zeros}) FROM {src} GROUP BY 1" if renorm else ""})""", run(f"{name}_f", f"{name}_0")]
+    at, last = "i - 1", f"{name}_f_r"
+    if zero_phase:
+        parts += [f"{name}_1 AS (SELECT {key}, chan, list(y ORDER BY i DESC) AS arr FROM {last} WHERE i > 0 GROUP BY 1, 2)", run(f"{name}_g", f"{name}_1")]
+        at, last = "len(arr) - i", f"{name}_g_r"
+    both = f"max(y) FILTER (WHERE chan = 'x'){f' / max(y) FILTER (WHERE chan = {chr(39)}h{chr(39)})' if renorm else ''}"
+    return ",\n".join([*parts, f"{name} AS (SELECT {key}, CAST({at} AS BIGINT) AS frame, {both} AS {name} FROM {last} WHERE i > 0 AND {at} < len(arr) - {pad} GROUP BY 1, 2)"])
+
+
+def low_sql(order, cut, rate):
+    """Coefficients of the Butterworth low-pass from its analog form: (s + 1), (s^2 + sqrt(2) s + 1), (s^2 + s + 1)(s + 1) with s scaled by w."""
+    w = f"tan(pi() * {cut} / {rate})"
+    if order == 1:
+        n = f"({w} + 1)"
+        return f"[{w} / {n}, {w} / {n}]", f"[1.0, ({w} - 1) / {n}]"
+    if order == 2:
+        n = f"(1 + sqrt(2) * {w} + {w} * {w})"
+        return f"[{w} * {w} / {n}, 2 * {w} * {w} / {n}, {w} * {w} / {n}]", f"[1.0, 2 * ({w} * {w} - 1) / {n}, (1 - sqrt(2) * {w} + {w} * {w}) / {n}]"
+    c = [f"pow({w}, 3)", f"2 * pow({w}, 2)", f"2 * {w}", "1.0"]
+    return analog_sql(c, [f"pow({w}, 3)", "0.0", "0.0", "0.0"])
+
+
+# (1 - z)^k (1 + z)^(m - k) by powers of z
+EXPANDED = {3: [[1, 3, 3, 1], [1, 1, -1, -1], [1, -1, -1, 1], [1, -3, 3, -1]],
+            4: [[1, 4, 6, 4, 1], [1, 2, 0, -2, -1], [1, 0, -2, 0, 1], [1, -2, 0, 2, -1], [1, -4, 6, -4, 1]],
+            2: [[1, 2, 1], [1, 0, -1], [1, -2, 1]]}
+
+
+def analog_sql(bottom, top):
+    """Digital coefficients of analog polynomials (lowest power first) by s = (1 - z) / (1 + z)."""
+    m = len(bottom) - 1
+    at = lambda coef, i: "(" + " + ".join(f"({c}) * ({EXPANDED[m][k][i]})" for k, c in enumerate(coef)) + ")"
+    lists = [", ".join(f"{at(c, i)} / {at(bottom, 0)}" for i in range(m + 1)) for c in (top, bottom)]
+    return f"[{lists[0]}]", f"[{lists[1]}]"
+
+
+def band_sql(order, low, high, rate):
+    wl, wh = f"tan(pi() * {low} / {rate})", f"tan(pi() * {high} / {rate})"
+    bw, w2 = f"({wh} - {wl})", f"({wl} * {wh})"
+    if order == 1:
+        return analog_sql([w2, bw, "1.0"], ["0.0", bw, "0.0"])
+    return analog_sql([f"{w2} * {w2}", f"sqrt(2) * {bw} * {w2}", f"2 * {w2} + {bw} * {bw}", f"sqrt(2) * {bw}", "1.0"], ["0.0", "0.0", f"{bw} * {bw}", "0.0", "0.0"])
+
+
+def recursive_views(*parts):
+    return with_views(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 STEP = """st AS (SELECT session, frame, x, y, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) / 0.05 AS s
@@ -122,11 +167,33 @@ def block_mode_baseline(spark, d):
     return out.select("session", "frame", r("base").alias("base"))
 
 
-@query("linear_detrend", with_views("track", """b AS (SELECT session, frame // 50 AS w, avg(frame) AS xx, avg(signal) AS yy FROM track GROUP BY 1, 2),
-    fit AS (SELECT session, regr_slope(yy, xx) AS a, regr_intercept(yy, xx) AS c FROM b GROUP BY 1)""",
-    "SELECT session, frame, round(signal - coalesce(a * frame + c, 0), 6) + 0.0 AS flat FROM track JOIN fit USING (session)"))
+def detrended(order):
+    """Polynomials that are orthogonal on the frames 0..n-1 take the place of normal equations."""
+    u = "(t.frame - (n - 1) / 2.0)"
+    p = ["1.0", u, f"({u} * {u} - m2)", f"({u} * {u} * {u} - {u} * m4 / m2)"][:order + 1]
+    return recursive_views("traces", filtered_sql("low", *low_sql(order, 0.02, 1.0), renorm=True, pad=600),
+        """nn AS (SELECT cell_id, count(*) AS n, avg(pow(frame - (z - 1) / 2.0, 2)) AS m2, avg(pow(frame - (z - 1) / 2.0, 4)) AS m4 FROM traces JOIN (SELECT cell_id, count(*) AS z FROM traces GROUP BY 1) USING (cell_id) GROUP BY 1)""",
+        f"""fit AS (SELECT t.cell_id, {", ".join(f"sum(low * {q}) / sum({q} * {q}) AS c{k}" for k, q in enumerate(p))} FROM low t JOIN nn USING (cell_id) GROUP BY 1)""",
+        f"""SELECT t.cell_id, t.frame, round(t.f - ({" + ".join(f"c{k} * {q}" for k, q in enumerate(p))}), 6) + 0.0 AS flat FROM traces t JOIN nn USING (cell_id) JOIN fit USING (cell_id)""")
+
+
+def flat_trace(spark, d, order):
+    return G.detrend(S.traces(spark, d), CELL, "frame", "f", order, 0.02, 1.0, "flat").select("cell_id", "frame", r("flat").alias("flat"))
+
+
+@query("linear_detrend", detrended(1))
 def linear_detrend(spark, d):
-    return Q.linear_detrend(S.track(spark, d), SES, "frame", "signal", 50, "flat").select("session", "frame", r("flat").alias("flat"))
+    return flat_trace(spark, d, 1)
+
+
+@query("detrend_quadratic", detrended(2))
+def detrend_quadratic(spark, d):
+    return flat_trace(spark, d, 2)
+
+
+@query("detrend_cubic", detrended(3))
+def detrend_cubic(spark, d):
+    return flat_trace(spark, d, 3)
 
 
 Z99999 = 4.264890793922825
@@ -350,35 +417,32 @@ def angle_hist(spark, d):
     return histogram(t, [], a, -math.pi, math.pi / 6, 12)
 
 
-# Filters. The kernels are numbers; the twin applies them as a plain join over frame offsets.
-_LP = K.zero_phase(K.low_pass_ir(1.0, 30.0))
-_BP = K.one_sided(K.band_pass_ir(0.5, 2.0, 30.0, 1))
-_EP = K.zero_phase(K.band_pass_ir(500.0, 6000.0, 30000.0, 2))
-_EX = [math.exp(-k / 20.0) for k in range(100)]
+# Filters. The twins run the textbook recursion sample by sample; the engine's poles and gains do not appear in them.
+_LOW = filtered_sql("low", *low_sql(1, 1.0, 30.0), renorm=True, pad=200)
 
 
-@query("lowpass", with_views("traces", conv_list_sql("low", _LP, -(len(_LP) // 2), True), "SELECT cell_id, frame, round(low, 6) + 0.0 AS low FROM low"))
+@query("lowpass", recursive_views("traces", _LOW, "SELECT cell_id, frame, round(low, 6) + 0.0 AS low FROM low"))
 def lowpass(spark, d):
     return G.lowpass(S.traces(spark, d), CELL, "frame", "f", 1.0, 30.0).select("cell_id", "frame", r("low").alias("low"))
 
 
-@query("highpass", with_views("traces", conv_list_sql("low", _LP, -(len(_LP) // 2), True),
-    "SELECT cell_id, frame, round(f - low, 6) + 0.0 AS high FROM low JOIN traces USING (cell_id, frame)"))
+@query("highpass", recursive_views("traces", _LOW, "SELECT cell_id, frame, round(f - low, 6) + 0.0 AS high FROM low JOIN traces USING (cell_id, frame)"))
 def highpass(spark, d):
     return G.highpass(S.traces(spark, d), CELL, "frame", "f", 1.0, 30.0).select("cell_id", "frame", r("high").alias("high"))
 
 
-@query("bandpass", with_views("traces", conv_list_sql("band", _BP[::-1], -(len(_BP) - 1), False), "SELECT cell_id, frame, round(band, 6) + 0.0 AS band FROM band"))
+@query("bandpass", recursive_views("traces", filtered_sql("band", *band_sql(1, 0.5, 2.0, 30.0), zero_phase=False), "SELECT cell_id, frame, round(band, 6) + 0.0 AS band FROM band"))
 def bandpass(spark, d):
     return G.bandpass(S.traces(spark, d), CELL, "frame", "f", 0.5, 2.0, 30.0).select("cell_id", "frame", r("band").alias("band"))
 
 
-@query("ephys_bandpass", with_views("traces", conv_list_sql("band", _EP, -(len(_EP) // 2), False), "SELECT cell_id, frame, round(band, 6) + 0.0 AS band FROM band"))
+@query("ephys_bandpass", recursive_views("traces", filtered_sql("band", *band_sql(2, 500.0, 6000.0, 30000.0), pad=600), "SELECT cell_id, frame, round(band, 6) + 0.0 AS band FROM band"))
 def ephys_bandpass(spark, d):
     return G.ephys_bandpass(S.traces(spark, d), CELL, "frame", "f", 500.0, 6000.0, 30000.0).select("cell_id", "frame", r("band").alias("band"))
 
 
-@query("exp_smooth", with_views("traces", conv_list_sql("ex", _EX[::-1], -99, False), conv_list_sql("low", _LP, -(len(_LP) // 2), True, "ex", "ex"),
+@query("exp_smooth", recursive_views("traces", """ex AS (SELECT t.cell_id, t.frame, sum(exp(-(t.frame - s.frame) / 20.0) * s.f) AS ex FROM traces t JOIN traces s
+    ON s.cell_id = t.cell_id AND s.frame BETWEEN t.frame - 99 AND t.frame GROUP BY 1, 2)""", filtered_sql("low", *low_sql(1, 1.0, 30.0), "ex", "cell_id", "ex", renorm=True, pad=200),
     "SELECT cell_id, frame, round(low, 6) + 0.0 AS smooth FROM low"))
 def exp_smooth(spark, d):
     return G.exp_smooth(S.traces(spark, d), CELL, "frame", "f", 100, 20.0, 1.0, 30.0).select("cell_id", "frame", r("smooth").alias("smooth"))

@@ -1,7 +1,12 @@
-"""Null distributions of the reference's size against numpy."""
+"""Null distributions and spectra against numpy, roll by roll."""
+
+import hashlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from engram.operators import nulls as N, signal as G
 from engram.plans import q_decode as Q
 from engram.plans.catalog import QUERIES
 from engram.sources import tables as S
@@ -9,12 +14,24 @@ from engram.sources import tables as S
 SF = "/root/testdata/sf0.001"
 
 
+def number(*ids):
+    return int(hashlib.md5(":".join(map(str, ids)).encode()).hexdigest()[:8], 16)
+
+
 def recording(spark):
     act = S.activity(spark, SF).select("cell_id", "frame", "f").toPandas()
     n = int(act.frame.max()) + 1
     return {c: np.bincount(g.frame, g.f, n) for c, g in act.groupby("cell_id")}, n
 
 
+def test_draws_agree_in_both_forms(spark):
+    df = spark.createDataFrame([("a", 3), ("a", None), (None, 7)], "s string, c int").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    got = {(r["s"], r["c"], r["k"]): r["u"] for r in df.select("s", "c", "k", N.draw(["s", "c"], "k", 5).alias("u")).collect()}
+    for s, c in (("a", 3), ("a", None), (None, 7)):
+        assert [got[s, c, k] for k in range(1, 41)] == N.drawn((s, c), 40, 5).tolist()
+    assert len(set(got.values())) > 100
+
+
 def test_place_tests_use_all_shuffles(spark):
     cells, n = recording(spark)
     pos = Q.positions(spark, SF).toPandas()
@@ -30,16 +47,66 @@ def test_place_tests_use_all_shuffles(spark):
 
     fifth, want, full = n // 5, {}, {}
     for c, f in cells.items():
-        shifts = [0, *(fifth + (c * 7919 + k * 104729) % max(3 * fifth, 1) for k in range(1, 1001))]
+        shifts = [0, *(fifth + number(0, c, k) % max(3 * fifth, 1) for k in range(1, 1001))]
         rolled = [si(np.roll(f, s)) for s in shifts]
         half = [si(np.where(np.arange(n) < n // 2, f, 0)), si(np.where(np.arange(n) < n // 2, 0, f))]
         for out, pool in ((full, rolled), (want, rolled + half)):
             pool = [x for x in pool if not np.isnan(x)]
             out[c] = (rolled[0] - np.mean(pool)) / np.std(pool)
-    for name, z in (("si_zscore_full", full), ("place_cell_test", want)):
+    for name, z in (("si_zscore", full), ("place_cell_test", want)):
         got = {r["cell_id"]: r["z"] for r in QUERIES[name](spark, SF).collect()}
         assert got.keys() == z.keys() and all(abs(got[c] - z[c]) < 1e-4 for c in z), name
-    assert {r["cell_id"] for r in QUERIES["place_cells_full"](spark, SF).collect()} == {c for c, x in full.items() if x > 1.5}
+    assert {r["cell_id"] for r in QUERIES["place_cells"](spark, SF).collect()} == {c for c, x in full.items() if x > 1.5}
+
+
+def test_information_of_sessions_of_unequal_length(spark):
+    rng = np.random.default_rng(4)
+    act, pos, want = [], [], {}
+    for session, n in (("a", 90), ("b", 41), (None, 7)):
+        place = rng.integers(-1, 4, n)
+        pos += [(session, i, int(p)) for i, p in enumerate(place) if p >= 0]
+        seconds = np.bincount(place[place >= 0], minlength=4).astype(float)
+        for c in range(3):
+            f = np.where(rng.random(n) < 0.4, rng.integers(1, 5, n), 0).astype(float) * (c < 2)
+            act += [(session, c, i, float(v), n) for i, v in enumerate(f) if v or (c == 2 and i == 0)]
+            def si(x):
+                per = np.bincount(place[place >= 0], x[place >= 0], 4)
+                with np.errstate(all="ignore"):
+                    rate = np.nan_to_num(per / seconds)
+                    mean = per.sum() / seconds.sum()
+                    return (seconds / seconds.sum() * rate * np.log2(np.maximum(rate / mean, 1))).sum() / mean if mean else np.nan
+            ids = [0, *([] if session is None else [session]), c]
+            pool = [si(f)] + [si(np.roll(f, n // 5 + number(*ids, k) % max(3 * (n // 5), 1))) for k in range(1, 51)]
+            known = [x for x in pool if not np.isnan(x)]
+            want[session, c] = None if np.isnan(pool[0]) or np.std(known) <= 1e-12 else (pool[0] - np.mean(known)) / np.std(known)
+    a = spark.createDataFrame(act, "s string, c int, frame int, v double, n int")
+    p = spark.createDataFrame(pos, "s string, frame int, bin int")
+    for tile in (64, 1):
+        got = {(r["s"], r["c"]): r["z"] for r in N.information_null(a, p, ["s"], "c", "frame", "v", ["bin"], F.col("n"), 50, cells_per_task=tile).collect()}
+        assert got.keys() == want.keys()
+        assert all((got[k] is None) == (want[k] is None) and (got[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
+
+
+@pytest.mark.parametrize("held", [1 << 22, 40])
+def test_corr_zscore_of_recordings_of_unequal_length(spark, monkeypatch, held):
+    monkeypatch.setattr(N, "HELD", held)
+    rng = np.random.default_rng(7)
+    rows, want, every = [], {}, {}
+    for session, n in ((1, 24), (2, 17)):
+        m = np.where(rng.random((5, n)) < 0.5, rng.random((5, n)), 0.0)
+        m[4] = 0.7
+        rows += [(session, f"c{c}", b, float(m[c, b]), n) for c in range(5) for b in range(n) if m[c, b]]
+        z = lambda a, b, shifts: (lambda pool: None if np.std(pool) < 1e-9 else (pool[0] - np.mean(pool)) / np.std(pool))([m[a] @ np.roll(m[b], s) for s in shifts])
+        for a in range(5):
+            for b in range(a + 1, 5):
+                want[session, f"c{a}", f"c{b}"] = z(a, b, [0, *(number(3, session, f"c{b}", k) % n for k in range(1, 101))])
+                every[session, f"c{a}", f"c{b}"] = z(a, b, range(n))
+    df = spark.createDataFrame(rows, "s int, cell string, bin bigint, v double, n int")
+    for rolls, expect in ((100, want), (None, every)):
+        got = {(r["s"], r["a"], r["b"]): r["z"] for r in N.corr_zscore(df, ["s"], "cell", "bin", "v", F.col("n"), rolls, seed=3).collect()}
+        assert got.keys() == expect.keys()
+        assert all((got[k] is None) == (expect[k] is None) and (got[k] is None or abs(got[k] - expect[k]) < 1e-6) for k in got), rolls
+    assert N.corr_zscore(df.limit(0), ["s"], "cell", "bin", "v", F.col("n")).count() == 0
 
 
 def test_corr_zscore_full_uses_every_roll(spark):
@@ -51,3 +118,50 @@ def test_corr_zscore_full_uses_every_roll(spark):
     for a, b in some:
         r = [np.corrcoef(days[a], np.roll(days[b], s))[0, 1] for s in range(30)]
         assert abs(got[a, b] - (r[0] - np.mean(r)) / np.std(r)) < 1e-4
+
+
+def test_match_null_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for session, n in (("a", 300), (None, 45)):
+        x, y = rng.integers(0, 12, n).astype(float), rng.integers(0, 12, n).astype(float)
+        ask = [(float(rng.integers(0, 12)), float(rng.integers(0, 12))) if rng.random() < 0.6 else (None, None) for _ in range(n)]
+        rows += [(session, i, float(x[i]), float(y[i]), *ask[i]) for i in range(n)]
+        for k in range(1, 21):
+            s = 30 + number(*([0] if session is None else [0, session]), k) % 60
+            tx, ty = np.roll(x, s), np.roll(y, s)
+            near = [min((tx[i:i + 5] - px) ** 2 + (ty[i:i + 5] - py) ** 2) for i, (px, py) in enumerate(ask) if px is not None]
+            want[session, k] = (len(near), int(sum(v < 4 for v in near)))
+    df = spark.createDataFrame(rows, "s string, frame bigint, x double, y double, px double, py double")
+    for block in (1 << 14, 32):
+        got = {(r["s"], r["shuffle"]): (r["total"], r["hits"]) for r in N.match_null(df, ["s"], "frame", "x", "y", "px", "py", 5, 2.0, 20, 30, 90, block=block).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("whole,chunk", [(1 << 20, 1 << 16), (100, 64), (1, 1), (1, 1 << 10)])
+def test_spectrum_of_any_length(spark, monkeypatch, whole, chunk):
+    monkeypatch.setattr(G, "WHOLE", whole)
+    monkeypatch.setattr(G, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    x = {c: rng.normal(size=n) for c, n in enumerate((720, 97, 1009, 1, 2, 64))}
+    x[None] = np.where(rng.random(211) < 0.3, 0.0, rng.normal(size=211))
+    x[None][-1] = 1.0
+    df = spark.createDataFrame([(c, t, float(v)) for c, xs in x.items() for t, v in enumerate(xs) if v], "cell int, t int, v double")
+    df = df.filter("cell IS NULL OR cell < 9")
+    got = G.power_spectrum(df, ["cell"], "t", "v", 30.0).collect()
+    for c, xs in x.items():
+        mine = sorted((r["freq"], r["power"]) for r in got if r["cell"] == c)
+        want = np.abs(np.fft.rfft(xs)) ** 2
+        assert len(mine) == len(want) and np.allclose([p for _, p in mine], want, atol=1e-8) and np.allclose([f for f, _ in mine], np.fft.rfftfreq(len(xs), 1 / 30))
+
+
+def test_long_prime_recording(spark, monkeypatch):
+    monkeypatch.setattr(G, "WHOLE", 1 << 16)
+    n = 65_537
+    df = spark.range(n).select(F.lit(1).alias("c"), F.col("id").alias("t"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0 - 0.5).alias("v"))
+    x = np.array([r["v"] for r in df.orderBy("t").collect()])
+    got = G.spectrum(df, ["c"], "t", "v").orderBy("k").toPandas()
+    want = np.abs(np.fft.rfft(x)) ** 2
+    assert got.k.tolist() == list(range(len(want))) and np.allclose(got.power, want, rtol=1e-8, atol=1e-6)
+    plan = G.spectrum(df, ["c"], "t", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" not in plan

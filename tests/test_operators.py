@@ -89,15 +89,6 @@ def test_convolve_matches_numpy_across_blocks(spark):
     assert np.allclose(got, np.convolve(x, w, "same"))
 
 
-def test_filters_have_the_right_gain():
-    lp = K.zero_phase(K.low_pass_ir(1.0, 30.0))
-    assert abs(sum(lp) - 1) < 1e-6 and len(lp) == 197
-    h = K.band_pass_ir(500.0, 6000.0, 30000.0, 2)
-    f = np.array([50.0, 500.0, 1732.0, 6000.0])
-    gain = np.abs([(h * np.exp(-2j * np.pi * k / 30000 * np.arange(len(h)))).sum() for k in f])
-    assert gain[0] < 0.02 and np.allclose(gain[[1, 3]], math.sqrt(0.5), atol=1e-3) and abs(gain[2] - 1) < 0.01
-
-
 def test_pearson_p_known_values():
     # r = 0.5 over 3 points: p = 2/3; r = 0 gives 1; two-sided t tables: t = 2.228 at 10 df is p = 0.05.
     r = 2.228138852 / math.sqrt(10 + 2.228138852 ** 2)
@@ -127,14 +118,38 @@ def test_constant_and_opposite_cells(spark):
     assert abs(got[0, 1][0] + 1) < 1e-9 and got[0, 2] == (None, 1.0)
 
 
-def test_corr_zscore_brute_force(spark):
-    rng = np.random.default_rng(7)
-    m = np.where(rng.random((5, 24)) < 0.5, rng.random((5, 24)), 0.0)
-    df = spark.createDataFrame([(c, b, float(m[c, b])) for c in range(5) for b in range(24) if m[c, b]], "cell int, bin bigint, v double")
-    rolls = [2, 7, 11, 19]
-    for r in N.corr_zscore(df, [], "cell", "bin", "v", 24, rolls, tiles=2).collect():
-        pool = [np.corrcoef(m[r["a"]], np.roll(m[r["b"]], s))[0, 1] for s in [0, *rolls]]
-        assert abs(r["z"] - (pool[0] - np.mean(pool)) / np.std(pool)) < 1e-6
+@pytest.mark.parametrize("held", [1 << 23, 60])
+def test_pairs_above_a_threshold_and_pairs_of_candidates(spark, monkeypatch, held):
+    monkeypatch.setattr(P, "HELD", held)
+    monkeypatch.setattr(P, "VECTOR", 7)
+    rng = np.random.default_rng(5)
+    rows, r = [], {}
+    for session, n in (("x", 30), ("y", 11)):
+        m = np.where(rng.random((9, n)) < 0.4, rng.integers(1, 4, (9, n)), 0).astype(float)
+        m[3], m[4], m[5] = m[2] * 2, 1.0, 0.0
+        rows += [(session, f"c{c}", b, float(m[c, b]), n) for c in range(9) for b in range(n) if m[c, b]]
+        for a, b in itertools.combinations(range(9), 2):
+            if m[a].std() and m[b].std():
+                r[session, f"c{a}", f"c{b}"] = np.corrcoef(m[a], m[b])[0, 1]
+    df = spark.createDataFrame(rows, "s string, cell string, bin int, v double, n int")
+    for least in (0.2, 0.99, -1.0):
+        got = {(x["s"], x["a"], x["b"]): x for x in P.pearson_above(df, ["s"], "cell", "bin", "v", F.col("n"), least).collect()}
+        assert got.keys() == {k for k, v in r.items() if v >= least - 1e-12}
+        assert all(abs(got[k]["r"] - r[k]) < 1e-9 and got[k]["n"] == (30 if k[0] == "x" else 11) and 0 <= got[k]["p"] <= 1 for k in got)
+    some = [k for i, k in enumerate(sorted(r)) if i % 3 == 0] + [("x", "c0", "c4")]
+    pairs = spark.createDataFrame(some, "s string, a string, b string")
+    got = {(x["s"], x["a"], x["b"]): x["r"] for x in P.pearson_of(pairs, df.filter("s = 'x'"), ["s"], "cell", "bin", "v", 30).collect()}
+    assert got.keys() == {k for k in some if k[0] == "x"} and got.pop(("x", "c0", "c4")) is None
+    assert all(abs(got[k] - r[k]) < 1e-9 for k in got)
+
+
+def test_no_plan_of_a_threshold_holds_all_pairs(spark):
+    from engram.plans.catalog import QUERIES
+    names = "corr_graph corr_threshold candidate_pairs_center degree_dist isolates_ratio graph_density corr_degree degree_prune subsample_nodes".split()
+    for name in names:
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        text = df._jdf.queryExecution().analyzed().toString()
+        assert "_ti" not in "".join(line for line in text.splitlines() if "Join" in line), name
 
 
 def test_overlap_counts(spark):
@@ -184,9 +199,9 @@ def test_dedup_snr_is_the_step_by_step_removal(spark):
         gone.append(low)
         left.discard(low)
     comps = spark.createDataFrame([(c, 0) for c in cells], "node bigint, component bigint")
-    corr = spark.createDataFrame([(a, b, v) for (a, b), v in r.items()], "a bigint, b bigint, r double")
+    corr = spark.createDataFrame([(0, a, b) for (a, b), v in r.items() if v > 0.6], "component bigint, a bigint, b bigint")
     s = spark.createDataFrame(list(snr.items()), "node bigint, snr double")
-    assert {x["node"] for x in H.dedup_snr(comps, corr, s, 0.6).collect()} == set(gone)
+    assert {x["node"] for x in H.dedup_snr(comps, corr, s).collect()} == set(gone)
 
 
 def test_knn_brute_force_with_copies(spark):
@@ -377,21 +392,6 @@ def test_plans_have_no_nested_loops(spark):
     assert "l_tax" not in plan
 
 
-def test_spectrum_in_two_steps_equals_one_transform(spark, monkeypatch):
-    import numpy as np
-    from engram.operators import signal as G
-    rng = np.random.default_rng(3)
-    x = {1: rng.normal(size=720), 2: rng.normal(size=97), 3: rng.normal(size=1001)}
-    df = spark.createDataFrame([(c, t, float(v)) for c, xs in x.items() for t, v in enumerate(xs)], "cell int, t int, v double")
-    for chunk in (1 << 16, 40):
-        monkeypatch.setattr(G, "CHUNK", chunk)
-        got = G.power_spectrum(df, ["cell"], "t", "v", 30.0).collect()
-        for c, xs in x.items():
-            mine = sorted((r["freq"], r["power"]) for r in got if r["cell"] == c)
-            want = np.abs(np.fft.rfft(xs)) ** 2
-            assert len(mine) == len(want) and np.allclose([p for _, p in mine], want) and np.allclose([f for f, _ in mine], np.fft.rfftfreq(len(xs), 1 / 30))
-
-
 def test_hub_removal_of_a_long_chain(spark):
     n = 40
     got = {r["node"] for r in H.dedup_hub(spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")).collect()}
@@ -419,17 +419,3 @@ def test_eigenspectrum_is_that_of_the_covariance(spark):
     assert np.allclose([r["explained"] for r in got.orderBy("component").collect()], share)
     c = np.cumsum(share)
     assert abs(E.auc_variance(got, [], "component", "explained").first()[0] - ((c[1:] + c[:-1]) / 2).sum() / 6) < 1e-9
-
-
-def test_slow_low_pass_equals_the_recursion():
-    import math
-    import numpy as np
-    from engram.functions import kernels as K
-    h = K.low_pass_ir(0.0005, 30.0)
-    w = math.tan(math.pi * 0.0005 / 30.0)
-    b, a = w / (1 + w), (w - 1) / (1 + w)
-    y, last = [], 0.0
-    for n in range(len(h)):
-        last = (b if n < 2 else 0.0) - a * last
-        y.append(last)
-    assert np.allclose(h, y, atol=1e-15) and abs(h.sum() - 1) < 1e-6 and abs(h[-1]) < 1e-8 * h.max()

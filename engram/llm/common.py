@@ -34,3 +34,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, bo
     chosen = pick[0].unionAll(pick[1])
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
             .join(F.broadcast(chosen), "doc_id"))
+
+
+_owner: list[str] = []
+_remembered: dict = {}
+
+
+def remembered(owner: str, key, make):
+    """What an operator keeps in a Python worker from task to task (words it has worked out, vocabularies). Workers outlive stages, so what
+    another operator has kept goes when this one starts: a pipeline holds the memory of one operator at a time."""
+    if _owner != [owner]:
+        _owner[:] = [owner]
+        _remembered.clear()
+    if key not in _remembered:
+        _remembered[key] = make()
+    return _remembered[key]

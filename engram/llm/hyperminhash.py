@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.common import remembered
 from engram.operators.graph import components
 from engram.session import cut_lineage
 
@@ -37,7 +38,6 @@ SLACK = 4.5                     # standard errors by which an estimate may fall
 TILE = 512                      # members of a bucket compared at once
 REMEMBERED = 300_000            # word hashes kept per Python worker
 MIX = np.uint64(0x9E3779B97F4A7C15)
-_hashes: dict[bytes, int] = {}
 
 
 def finish(h: np.ndarray) -> np.ndarray:
@@ -55,7 +55,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    known = _hashes
+    known = remembered("hyperminhash", "words", dict)
     if len(known) >= REMEMBERED:
         known.clear()
     out = []
@@ -150,19 +150,20 @@ def possible(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, perce
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc, n_shingles, set_hi, set_lo, reg): set size, 128-bit digest of the set and registers of every whole text."""
+    """(doc, th, n_shingles, set_hi, set_lo, reg): id, hash of the text, set size, 128-bit digest of the set and registers of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, hi, lo, reg = [], [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 s = shingles(t.as_py(), width)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 hi.append(int.from_bytes(d[:8], "big", signed=True))
                 lo.append(int.from_bytes(d[8:], "big", signed=True))
                 reg.append(registers(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(reg, pa.binary())], names=["doc", "n_shingles", "set_hi", "set_lo", "reg"])
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, "doc long, n_shingles long, set_hi long, set_lo long, reg binary")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(reg, pa.binary())],
+                                             names=["doc", "th", "n_shingles", "set_hi", "set_lo", "reg"])
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, th long, n_shingles long, set_hi long, set_lo long, reg binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -339,17 +340,22 @@ def open_links(lists: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept): components of documents linked by 100 * intersection >= percent * union of shingle sets.
-
-    component_id is the smallest id that links reach. A document without words or text (null, empty, white space) has an empty set and
-    is linked with nothing. Rows with equal id count as one document each and share its component through equal sets only; null ids
-    keep their rows as their own component (null) and are kept. Ties of any kind go to the smaller id; an empty table gives an empty
-    one; other columns are not read. At the threshold itself a pair of different sets shares no band with a probability of 5e-8.
+    """(id, n_shingles, component_id, kept, th, first): components of documents linked by 100 * intersection >= percent * union of shingle sets.
+
+    component_id is the smallest id that links reach, and kept says that it is the row's own. A document without words or text (null,
+    empty, white space) has an empty set and is linked with nothing. Every row is a document of its own set: rows that share an id are linked
+    through their sets only, and rows without an id take part like the others (component_id is null only if nothing they reach has
+    an id). th is the xxhash64 of the text; first marks the rows of the (id, th) that stands for its component: the smallest id, then th.
+    An empty table gives an empty one; other columns are not read. At the threshold itself a pair of different sets shares no band with
+    a probability of 5e-8.
     """
     sketch = cut_lineage(sketches(docs, id_col, text_col, width))
-    filled = sketch.filter("n_shingles > 0 AND doc IS NOT NULL")
-    classes = filled.groupBy("set_hi", "set_lo").agg(F.min("doc").alias("rep"))
-    reps = cut_lineage(filled.join(classes, ["set_hi", "set_lo"]).filter("doc = rep").dropDuplicates(["doc"]).select("doc", "n_shingles", "reg", "set_hi", "set_lo"))
+    filled = sketch.filter("n_shingles > 0")
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "th")
+    # a node per set, named by a number: ids may repeat or be missing
+    least = filled.groupBy("set_hi", "set_lo").agg(F.min(order).alias("rep"))
+    reps = filled.join(least, ["set_hi", "set_lo"]).filter(order == F.col("rep")).dropDuplicates(["set_hi", "set_lo"])
+    reps = cut_lineage(reps.select(F.monotonically_increasing_id().alias("doc"), "n_shingles", "reg", "set_hi", "set_lo", "rep"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,15 +365,21 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5,
     bands = reps.select("doc", "reg").mapInArrow(emit, "key long, doc long")
     crowded = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = cut_lineage(bands.join(crowded, "key", "left_semi"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(reps.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
-    first = cut_lineage(hub_pairs(members, reps, percent))
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    # only sets with a crowded bucket are ever compared in full
+    near = reps.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "rep")
+    texts = named.join(near, F.col("id").eqNullSafe(F.col("rep.doc")) & (F.col("hash") == F.col("rep.th"))).dropDuplicates(["doc"]).select("doc", "text")
+    sketched = reps.drop("rep")
+    first = cut_lineage(hub_pairs(members, sketched, percent))
     linked = cut_lineage(confirmed(first, texts, width, percent))
     labels = components(linked)
-    rest = cut_lineage(open_links(cut_lineage(open_lists(members, labels, reps, percent)), texts, width, percent))
+    rest = cut_lineage(open_links(cut_lineage(open_lists(members, labels, sketched, percent)), texts, width, percent))
     if rest.limit(1).count():
         labels = components(linked.unionByName(rest))
-    by_class = (reps.join(labels, reps.doc == labels.node, "left")
-                .select("set_hi", "set_lo", F.coalesce("component", "doc").alias("component_id")))
-    out = sketch.join(by_class, ["set_hi", "set_lo"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc")).otherwise(F.col("doc"))
-    return out.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    by_class = reps.join(labels, reps.doc == labels.node, "left").select("set_hi", "set_lo", "rep", F.coalesce("component", "doc").alias("group"))
+    lead = by_class.groupBy("group").agg(F.min("rep").alias("lead"))
+    out = sketch.join(by_class.join(lead, "group").select("set_hi", "set_lo", "lead"), ["set_hi", "set_lo"], "left")
+    alone = F.col("n_shingles") == 0
+    component = F.when(alone, F.col("doc")).otherwise(F.col("lead.doc"))
+    return out.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"), "th",
+                      (alone | (order == F.col("lead"))).alias("first"))

@@ -8,7 +8,6 @@ the smallest sum wins.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,9 +24,7 @@ OWN = 300                  # n-grams of a document
 GRAMS = (1, 2, 3)
 SAMPLE = 4000              # documents per language, about, that the profiles are learned from
 REMEMBERED = 200_000       # words kept per Python worker
-# letters: word characters that are no digits and none of the other numbers (fractions, superscripts, circled and Roman numerals)
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
+WORD = re.compile(r"[^\W\d_]+")      # letters, and numbers like fractions and Roman numerals, which words_of takes out
 
 
 def grams_of(word: str) -> list[str]:
@@ -41,7 +38,12 @@ def grams_of(word: str) -> list[str]:
 
 def words_of(text: str) -> Counter:
     """Counts of the runs of letters in a whole text."""
-    return Counter(WORD.findall(text.lower()))
+    counts = Counter(WORD.findall(text.lower()))
+    for odd in [w for w in counts if not w.isalpha()]:
+        n = counts.pop(odd)
+        for word in "".join(c if c.isalpha() else " " for c in odd).split():
+            counts[word] += n
+    return counts
 
 
 def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bound: int = SAMPLE) -> DataFrame:

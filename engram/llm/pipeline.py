@@ -27,9 +27,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (the one of the smallest id); shingles of five words, similarity 0.8 or more."""
-    kept = hyperminhash.near_duplicates(docs, "doc_id", "text", width=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept.filter(F.col("doc_id").isNotNull()), "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group of near copies (the one of the smallest id); shingles of five words, similarity 0.8 or more.
+
+    Rows without an id, and rows that share one, are judged by their own texts; of rows equal in id and text one stays, if they have words."""
+    found = hyperminhash.near_duplicates(docs, "doc_id", "text", width=5, percent=80).filter("first AND n_shingles > 0")
+    lead = found.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.count("*").alias("__n"))
+    own = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
+    words = F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    single = docs.filter(words).join(lead, own).select(*[docs[c] for c in docs.columns], "__n", F.col("__th"))
+    once = single.filter("__n = 1").unionByName(single.filter("__n > 1").dropDuplicates(["doc_id", "__th"]))
+    return once.select(*docs.columns).unionByName(docs.filter(~words))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

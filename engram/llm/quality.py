@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from engram.llm.common import remembered
+
 BUCKETS = 1 << 17
 GRAMS = (3, 4)
 DIM = 12
@@ -117,16 +119,9 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
     return (model["logits"].combine_chunks().flatten().to_numpy(), model["bias"][0].as_py()) if model.num_rows else train([])
 
 
-_known: dict[float, tuple[list[float], dict[str, tuple[float, int]]]] = {}
-
-
 def scorer(table: np.ndarray, bias: float):
     """Function from text to the probability of class 1; remembers words across the tasks of a Python worker."""
-    key = float(table.sum()) + bias
-    if key not in _known:
-        _known.clear()
-        _known[key] = (table.tolist(), {})
-    values, words = _known[key]
+    values, words = remembered("quality", float(table.sum()) + bias, lambda: (table.tolist(), {}))
 
     def score(text: str) -> float:
         total, features_seen = 0.0, 0

@@ -82,7 +82,7 @@ lb AS (SELECT node, min(lab) AS lab FROM cc GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(lb.lab, d.doc_id) AS component_id, coalesce(lb.lab, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN lb ON lb.node = d.doc_id""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", width=2, percent=80)
+    return hyperminhash.near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op7_top_k", """

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from engram.llm.common import remembered
+
 MARK = "▁"            # how a space is written inside pieces
 REMEMBERED = 250_000       # words and pairs kept per Python worker (some 110 MB)
 ROWS = 128                 # texts encoded before their tokens are handed on
@@ -243,15 +245,10 @@ def valid_utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def codec(broadcast) -> Codec:
     """One codec per Python worker and vocabulary; its remembered words serve all tasks of the worker."""
     key = hash((len(broadcast.value), broadcast.value[-1], broadcast.value[len(broadcast.value) // 2]))
-    if key not in _codecs:
-        _codecs[key] = Codec(broadcast.value)
-    return _codecs[key]
+    return remembered("spiece", key, lambda: Codec(broadcast.value))
 
 
 def tokenized(df: DataFrame, id_col: str, text_col: str, model_file: str, keep_ids: bool = True, digests: bool = False) -> DataFrame:

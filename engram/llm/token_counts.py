@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from engram.llm.common import remembered
+
 BATCH_BYTES = 1 << 18      # characters handed to the library in one call: its tokens take some 100 times the memory of the texts
 PIECE_CHARS = 1 << 15      # longer texts are cut
 # A single space between two letters or digits. The byte-level word pattern takes a space only in front of a word or within a run of white
@@ -93,15 +95,9 @@ class Counter:
         return total
 
 
-_counters: dict[bytes, Counter] = {}
-
-
 def counter(kind: str, raw: bytes) -> Counter:
     """One counter per Python worker and vocabulary."""
-    key = hashlib.sha256(raw).digest()
-    if key not in _counters:
-        _counters[key] = Counter(kind, raw)
-    return _counters[key]
+    return remembered("token_counts", hashlib.sha256(raw).digest(), lambda: Counter(kind, raw))
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer_file: str, limit: int = 512, batch_bytes: int = BATCH_BYTES, piece_chars: int = PIECE_CHARS) -> DataFrame:

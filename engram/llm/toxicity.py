@@ -17,18 +17,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from engram.llm.common import remembered
+
 BITS = 20
 SAMPLE = 3000              # labelled documents per class that the training may read
 REMEMBERED = 300_000       # word hashes kept per Python worker
 WORD = re.compile(r"\w+")
 NEXT, SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 STEMS = (4, 5, 6)          # letters of the stems; a word no longer than a stem has none
-_hashes: dict[str, tuple[int, ...]] = {}
 
 
 def word_hashes(text: str) -> np.ndarray:
     """A row per word: its hash and those of its stems (0: none)."""
-    out, known = [], _hashes
+    out, known = [], remembered("toxicity", "words", dict)
     for w in WORD.findall(text.lower()):
         h = known.get(w)
         if h is None:

@@ -62,13 +62,21 @@ def test_tiles_and_open_pairs(spark, monkeypatch):
 
 
 def test_edges(spark):
-    rows = [(1, "a b c", 1), (1, "a b c", 1), (None, "a b c", 2), (2, "A B\tC ", 3), (3, "z " * 20000 + "y", 4)]
+    rows = [(1, "a b c", 1), (1, "a b c", 1), (None, "a b c", 2), (2, "A B\tC ", 3), (3, "z " * 20000 + "y", 4), (None, None, 5), (None, "q r s", 6), (None, "Q r s", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
-    got = sorted(((r["doc_id"], r["component_id"]) for r in H.near_duplicates(df, "doc_id", "text", 2).collect()), key=str)
-    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 3), (None, None)], key=str) or len(got) == 5
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in H.near_duplicates(df, "doc_id", "text", 2).collect()), key=str)
+    want = [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 3, True), (None, 2, 1, False), (None, 0, None, True), (None, 2, None, True), (None, 2, None, True)]
+    assert got == sorted(want, key=str)
     assert H.near_duplicates(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_rows_that_share_an_id_lose_no_link(spark):
+    rows = [(1, "a b c d"), (1, "x y z w"), (2, "x y z w"), (3, "a b c d"), (None, "a b c d")]
+    got = H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 2, 80).collect()
+    assert sorted([(r["doc_id"], r["component_id"], r["kept"]) for r in got], key=str) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False)], key=str)
+    assert sorted(r["doc_id"] for r in got if r["first"]) == [1, 1]
+
+
 def test_registers_keep_order_and_estimates_are_centred():
     rng = np.random.default_rng(2)
     h = np.unique(rng.integers(0, 2 ** 64, 3000, dtype=np.uint64))

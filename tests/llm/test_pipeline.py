@@ -65,6 +65,25 @@ def test_registered():
     assert set(entry.oracle_sql()) <= set(names)
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(5, a), (5, a), (5, b), (4, b), (None, a), (None, "lone words that stand in no other text"), (None, "Lone words that stand in no other text"), (6, None), (6, ""), (None, None), (7, a.upper())]
+    docs = spark.createDataFrame([(i, t, "k", "x", 1) for i, t in rows], "doc_id long, text string, doc string, __n string, th int")
+    out = pipeline.near_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted([(r["doc_id"], (r["text"] or "").lower()) for r in out.collect()], key=str)
+    assert got == sorted([(5, a), (4, b), (None, "lone words that stand in no other text"), (6, ""), (6, ""), (None, "")], key=str)
+
+
+def test_decontamination_with_clashing_names_and_missing_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 200").first()["text"]
+    rows = [(1, item), (1, "clean text"), (None, item), (None, "clean too"), (2, None)]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, doc string, item int")
+    got = pipeline.decontamination_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=str) == sorted([(1, "clean text"), (None, "clean too"), (2, None)], key=str)
+
+
 def test_no_stub_of_a_copy_is_left(spark):
     a, b = "the first long line of a text", "another line which is long enough"
     texts = {1: f"{a}\nshort\n{b}", 2: f"{a}\n\n{b}", 3: f"{a}\n\u3000\t\n{b}\n", 4: "tiny\ntext", 5: "", 6: None, 7: f"{a}\nunseen\n{b}"}

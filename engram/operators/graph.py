@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from engram.functions.exprs import ratio
 from engram.operators.pairs import pearson_above
-from engram.session import cut_lineage
+from engram.session import Rounds
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -54,23 +54,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node id as label.
 
     Each round takes the smallest label around a node and then the label of that label, so long
-    chains shrink by more than half a round.  Every round is written to the checkpoint folder.
+    chains shrink by more than half a round.  Every round is written below the checkpoint folder.
     Labels only fall, so the loop ends.
     """
-    arcs = cut_lineage(both_ways(edges).distinct())
-    labels = cut_lineage(arcs.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("_m"))
-                         .select("node", F.least("node", "_m").alias("component")))
+    rounds = Rounds(edges.sparkSession, "components")
+    arcs = rounds.write("arcs", both_ways(edges).distinct())
+    labels = rounds.write("labels", arcs.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("_m"))
+                          .select("node", F.col("node").alias("_old"), F.least("node", "_m").alias("component")))
     while True:
         around = (arcs.join(labels.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst")
                       .groupBy(F.col("src").alias("node")).agg(F.min("_c").alias("_m")))
         near = labels.join(around, "node").select("node", F.col("component").alias("_old"), F.least("component", "_m").alias("_new"))
         jump = labels.select(F.col("node").alias("_new"), F.col("component").alias("_far"))
-        step = cut_lineage(near.join(jump, "_new", "left")
-                           .select("node", "_old", F.least("_new", F.coalesce("_far", "_new")).alias("component")))
-        moved = step.filter("component <> _old").limit(1).count()
-        labels = step.select("node", "component")
-        if moved == 0:
-            return labels
+        labels = rounds.write("labels", near.join(jump, "_new", "left").select("node", "_old", F.least("_new", F.coalesce("_far", "_new")).alias("component")))
+        if labels.filter("component <> _old").limit(1).count() == 0:
+            rounds.drop("arcs")
+            return labels.select("node", "component")
 
 
 def dedup_hub(edges: DataFrame) -> DataFrame:
@@ -80,17 +79,18 @@ def dedup_hub(edges: DataFrame) -> DataFrame:
     all such nodes go in the same round; the outcome is that of one removal at a time.  The node that
     outranks all others goes in every round, so the loop ends.
     """
-    arcs = cut_lineage(both_ways(edges.filter("src <> dst")).distinct())
+    rounds = Rounds(edges.sparkSession, "hubs")
+    arcs = rounds.write("arcs", both_ways(edges.filter("src <> dst")).distinct())
     removed = None
     while arcs.limit(1).count():
         deg = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("_d"))
         rank = deg.select(F.col("src").alias("dst"), F.struct("_d", F.col("src").alias("_i")).alias("_rank"))
         best = arcs.join(rank, "dst").groupBy("src").agg(F.max("_rank").alias("_best"))
-        go = cut_lineage(best.join(deg, "src").filter(F.struct("_d", F.col("src").alias("_i")) > F.col("_best"))
-                         .select(F.col("src").alias("node"), F.col("_d").alias("degree")))
-        removed = go if removed is None else removed.unionByName(go)
-        arcs = cut_lineage(arcs.join(go.select(F.col("node").alias("src")), "src", "left_anti")
-                               .join(go.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        go = rounds.write("go", best.join(deg, "src").filter(F.struct("_d", F.col("src").alias("_i")) > F.col("_best"))
+                          .select(F.col("src").alias("node"), F.col("_d").alias("degree")))
+        removed = rounds.add("removed", go)
+        arcs = rounds.write("arcs", arcs.join(go.select(F.col("node").alias("src")), "src", "left_anti")
+                            .join(go.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
     if removed is None:
         return edges.select(F.col("src").alias("node"), F.lit(0).cast("bigint").alias("degree")).filter("false")
     return removed

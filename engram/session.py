@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,44 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, used once per round by the iterative operators."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """Tables of a loop, each round written below the shared checkpoint folder and read again.
+
+    A table that is read has the size of its files. A checkpoint keeps the size that was estimated for its plan, and where a round
+    joins the results of the round before, these estimates multiply until planning alone takes minutes. Rounds that are no longer
+    needed are removed."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder = spark, f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+        self.last: dict[str, str] = {}
+        self.count = 0
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """The table in place of the one of the same name, which is removed once this one stands."""
+        self.count += 1
+        path, before = f"{self.folder}/{name}-{self.count}", self.last.get(name)
+        df.write.parquet(path)
+        self.last[name] = path
+        if before:
+            self.remove(before)
+        return self.read(path, df)
+
+    def add(self, name: str, df: DataFrame) -> DataFrame:
+        """The rows put to those that were added under this name before."""
+        df.write.mode("append").parquet(f"{self.folder}/{name}")
+        return self.read(f"{self.folder}/{name}", df)
+
+    def drop(self, name: str) -> None:
+        if name in self.last:
+            self.remove(self.last.pop(name))
+
+    def read(self, path: str, df: DataFrame) -> DataFrame:
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, path: str) -> None:
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

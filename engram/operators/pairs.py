@@ -191,6 +191,51 @@ def map_cross_corr(left: DataFrame, right: DataFrame, keys: list[str], value: st
         pearson_agg("_a", "_b").alias("r"), F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)).alias("n"))
 
 
+def session_pair_corr(maps: DataFrame, cell: str, session: str, pos: str, value: str, n_bins: int, alpha: float = 0.05, r_min: float = 0.0, offset: int = 0) -> DataFrame:
+    """(cell, first, second, r, p, peak_first, peak_second, shift, best_shift, best_r) of each cell in every pair of its sessions, earlier first.
+
+    Maps are circular tracks of ``n_bins`` bins (bins without a row are 0); r and the peaks leave out the first ``offset`` bins, and only pairs with
+    p < ``alpha`` and |r| > ``r_min`` stay. best_shift is the roll of the second map that correlates best with the first (ties: the
+    smallest roll), best_r that correlation. A map travels as one array, so a cell joins its sessions, not their bins. Maps that are
+    constant have no r. Null cells, sessions and bins outside the track take no part.
+    """
+    own = maps.filter(F.col(session).isNotNull() & F.col(pos).between(0, n_bins - 1)).groupBy(cell, session).agg(F.collect_list(F.struct(F.col(pos).cast("int").alias("b"), F.col(value).cast("double").alias("v"))).alias("m"))
+    side = lambda s: own.select(cell, F.col(session).alias(s), F.col("m.b").alias(f"_b_{s}"), F.col("m.v").alias(f"_v_{s}"))
+    met = side("first").join(side("second"), cell).filter("first < second")
+    out = ["r", "peak_first", "peak_second", "best_shift", "best_r"]
+    schema = T.StructType([met.schema[c] for c in (cell, "first", "second")] + [T.StructField(c, T.DoubleType() if c in ("r", "best_r") else T.IntegerType()) for c in out])
+
+    def dense(at, v):
+        x = np.zeros(n_bins)
+        np.add.at(x, at.values.to_numpy(), np.nan_to_num(v.values.to_numpy(zero_copy_only=False).astype(float)))
+        return x
+
+    def r_of(x, y):
+        x, y = x - x.mean(), y - y.mean()
+        norm = np.sqrt((x * x).sum() * (y * y).sum())
+        return (float((x * y).sum() / norm) if norm > 1e-12 else None), x, y, norm
+
+    def run(batches):
+        for batch in batches:
+            got: dict[str, list] = {c: [] for c in out}
+            for b1, v1, b2, v2 in zip(*(batch.column(c) for c in ("_b_first", "_v_first", "_b_second", "_v_second"))):
+                x, y = dense(b1, v1), dense(b2, v2)
+                got["r"].append(r_of(x[offset:], y[offset:])[0])
+                got["peak_first"].append(int(np.argmax(x[offset:])) + offset)
+                got["peak_second"].append(int(np.argmax(y[offset:])) + offset)
+                _, cx, cy, norm = r_of(x, y)
+                sums = np.fft.irfft(np.fft.rfft(cx) * np.fft.rfft(cy).conj(), n_bins)
+                best = int(np.argmax(sums >= sums.max() - 1e-9 * max(norm, 1e-300)))
+                got["best_shift"].append(best if norm > 1e-12 else None)
+                got["best_r"].append(float(sums[best] / norm) if norm > 1e-12 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (cell, "first", "second")]
+                                             + [pa.array(got[c], pa.float64() if c in ("r", "best_r") else pa.int32()) for c in out], names=schema.names)
+
+    compared = met.mapInArrow(run, schema).withColumn("p", pearson_pvalue("r", F.lit(float(n_bins - offset))))
+    return (compared.filter((F.col("p") < alpha) & (F.abs("r") > r_min))
+            .select(cell, "first", "second", "r", "p", "peak_first", "peak_second", (F.col("peak_first") - F.col("peak_second")).alias("shift"), "best_shift", "best_r"))
+
+
 def pv_corr(left: DataFrame, right: DataFrame, cell: str, value: str) -> tuple[DataFrame, DataFrame]:
     """Population vector correlation of two map stacks: per row over cells and bins, and per bin over cells."""
     j = (left.select(cell, "iy", "ix", F.col(value).alias("_a"))

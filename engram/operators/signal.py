@@ -75,6 +75,23 @@ def detrend(df: DataFrame, keys, frame, value, order: int, cut: float, rate: flo
     return low.join(curve, keys).withColumn(out, F.col(value) - trend).select(*df.columns, out)
 
 
+def activity_layers(df: DataFrame, keys, frame, value, cut: float, trend: float, rate: float, order: int = 1, k: float = 1.0) -> DataFrame:
+    """(keys, frame, raw, filtered, detrended, derivative, onphase, upphase, scaled): all layers of the activity file.
+
+    filtered: low-pass at ``cut``; detrended: filtered less the polynomial of ``order`` through its low-pass at ``trend``; derivative: of detrended;
+    onphase: 1 where detrended is at least ``k`` standard deviations; upphase: onphase while it rises; scaled: detrended on on-phases.
+    """
+    from engram.operators.sequences import derivative
+    keys = list(keys)
+    low = lowpass(df.select(*keys, frame, F.col(value).alias("raw")), keys, frame, "raw", cut, rate, "filtered")
+    flat = derivative(detrend(low, keys, frame, "filtered", order, trend, rate, "detrended"), keys, frame, "detrended", "derivative")
+    on = F.when(F.col("detrended") >= F.col("_sd") * k, 1).otherwise(0)
+    return (with_key_aggregates(flat, keys, F.stddev_pop("detrended").alias("_sd")).withColumn("onphase", on)
+            .withColumn("upphase", F.when((F.col("onphase") == 1) & (F.col("derivative") > 0), 1).otherwise(0))
+            .withColumn("scaled", F.col("detrended") * F.col("onphase"))
+            .select(*keys, frame, "raw", "filtered", "detrended", "derivative", "onphase", "upphase", "scaled"))
+
+
 def notch(df: DataFrame, keys, frame, value, freq: float, rate: float, block: int, out: str = "clean") -> DataFrame:
     """Subtract the sine and cosine of the mains frequency fitted per block."""
     ph = F.col(frame) * F.lit(2 * math.pi * freq / rate)

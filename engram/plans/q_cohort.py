@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from engram.functions.exprs import rounded as r
-from engram.operators import cohort as C
+from engram.operators import cohort as C, signal as G
 from engram.plans import q_sequences as QS
 from engram.plans.q_pairs import DAYS, PAIRS, corr
 from engram.plans.registry import query
@@ -138,11 +138,27 @@ def shared_folder(spark, name):
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-@query("sink_activity", with_views("activity", "SELECT cell_id, frame, CAST(n AS BIGINT) AS n, CAST(cell_id % 7 AS INTEGER) AS session FROM activity"))
+LAYERS = ["raw", "filtered", "detrended", "derivative", "scaled"]
+
+
+@query("sink_activity", QS.recursive_views("traces", QS._LOW, QS.filtered_sql("slow", *QS.low_sql(1, 0.6, 30.0), "low", "cell_id", "low", renorm=True, pad=600),
+    "nn AS (SELECT cell_id, (count(*) - 1) / 2.0 AS mid FROM traces GROUP BY 1)",
+    "ft AS (SELECT cell_id, avg(slow) AS c0, sum(slow * (frame - mid)) / sum(pow(frame - mid, 2)) AS c1 FROM slow JOIN nn USING (cell_id) GROUP BY 1)",
+    "dt AS (SELECT cell_id, frame, f, low, low - c0 - c1 * (frame - mid) AS d FROM low JOIN traces USING (cell_id, frame) JOIN nn USING (cell_id) JOIN ft USING (cell_id))",
+    """dv AS (SELECT *, CASE WHEN lag(d) OVER w IS NULL THEN lead(d) OVER w - d WHEN lead(d) OVER w IS NULL THEN d - lag(d) OVER w ELSE (lead(d) OVER w - lag(d) OVER w) / 2 END AS g,
+        stddev_pop(d) OVER (PARTITION BY cell_id) AS sd FROM dt WINDOW w AS (PARTITION BY cell_id ORDER BY frame))""",
+    """SELECT cell_id, frame, round(f, 4) + 0.0 AS raw, round(low, 4) + 0.0 AS filtered, round(d, 4) + 0.0 AS detrended, round(g, 4) + 0.0 AS derivative, CASE WHEN d >= sd THEN 1 ELSE 0 END AS onphase,
+    CASE WHEN d >= sd AND g > 0 THEN 1 ELSE 0 END AS upphase, round(CASE WHEN d >= sd THEN d ELSE 0 END, 4) + 0.0 AS scaled, CAST(cell_id % 7 AS INTEGER) AS session, CAST(0 AS BIGINT) AS written_again FROM dv"""))
 def sink_activity(spark, d):
+    """All layers of two sessions, then of all sessions, which adds the others only, then once more, which adds nothing."""
     path = shared_folder(spark, "activity")
-    R.write_activity(S.activity(spark, d).select("cell_id", "frame", "n", (F.col("cell_id") % 7).cast("int").alias("session")), path)
-    return spark.read.parquet(path).select("cell_id", "frame", "n", F.col("session").cast("int").alias("session"))
+    traces = S.traces(spark, d).withColumn("session", (F.col("cell_id") % 7).cast("int"))
+    layers = lambda t: G.activity_layers(t, ["session", "cell_id"], "frame", "f", 1.0, 0.6, 30.0)
+    R.write_layers(traces.filter("session < 2"), path, "session", layers, "low 1.0, trend 0.6")
+    R.write_layers(traces, path, "session", layers, "low 1.0, trend 0.6")
+    again = R.write_layers(traces, path, "session", layers, "low 1.0, trend 0.6")
+    out = spark.read.parquet(f"{path}/layers").withColumns({c: r(c, 4) for c in LAYERS})
+    return out.select("cell_id", "frame", *LAYERS, "onphase", "upphase", F.col("session").cast("int").alias("session"), F.lit(again).cast("long").alias("written_again"))
 
 
 @query("sink_corr", with_views("activity", DAYS, PAIRS, "SELECT a, b, round(r, 6) + 0.0 AS r FROM co"))

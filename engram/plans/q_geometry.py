@@ -6,6 +6,7 @@ from engram.functions import kernels as K
 from engram.functions.exprs import rounded as r
 from engram.operators import fields as D, maps as M, occupancy as O, pairs as P, signal as G
 from engram.plans.q_maps import IX, IY, TMAP, ix, iy, unit_map
+from engram.plans.q_pairs import P28
 from engram.plans.registry import query
 from engram.sources import tables as S
 from engram.sources.tables import with_views
@@ -85,18 +86,20 @@ def pv_corr_matrix(spark, d):
     return P.pv_matrix(first, second, "unit", "rate").withColumn("r", r("r"))
 
 
-@query("pairwise_session_corr", with_views("tracking", """b AS (SELECT unit, ok % 2 AS half, CAST(floor(x) AS BIGINT) AS bin, avg(signal) AS rate FROM tracking GROUP BY 1, 2, 3),
-    j AS (SELECT a.unit, corr(a.rate, c.rate) AS r, count(*) AS n FROM b a JOIN b c ON a.unit = c.unit AND a.bin = c.bin AND a.half = 0 AND c.half = 1 GROUP BY 1),
-    pk AS (SELECT unit, half, bin, row_number() OVER (PARTITION BY unit, half ORDER BY rate DESC, bin) AS rk FROM b)""",
-    "SELECT j.unit, round(r, 6) + 0.0 AS r, n, p.bin AS peak_first, q.bin AS peak_second, q.bin - p.bin AS shift FROM j JOIN pk p ON p.unit = j.unit AND p.half = 0 AND p.rk = 1 JOIN pk q ON q.unit = j.unit AND q.half = 1 AND q.rk = 1 WHERE abs(r) > 0.1"))
+# Sessions are years; a map has 30 bins, so that p is the finite sum of 28 degrees of freedom.
+@query("pairwise_session_corr", with_views("tracking", """mb AS (SELECT unit, t // 365 AS session, CAST(floor((x - 1) * 0.6) AS INTEGER) AS bin, avg(signal) AS rate FROM tracking GROUP BY 1, 2, 3),
+    gr AS (SELECT s.unit, s.session, b.bin, coalesce(rate, 0.0) AS rate FROM (SELECT DISTINCT unit, session FROM mb) s CROSS JOIN (SELECT CAST(unnest(range(30)) AS INTEGER) AS bin) b LEFT JOIN mb USING (unit, session, bin)),
+    rl AS (SELECT a.unit, a.session AS first, c.session AS second, (a.bin - c.bin + 30) % 30 AS s, a.rate AS x, c.rate AS y FROM gr a JOIN gr c ON a.unit = c.unit AND a.session < c.session),
+    rr AS (SELECT unit, first, second, s, corr(x, y) AS r FROM rl GROUP BY 1, 2, 3, 4),
+    bs AS (SELECT unit, first, second, max(r) FILTER (WHERE s = 0) AS r, max(r) AS best_r, arg_max(s, (round(r, 9), -s)) AS best_shift FROM rr GROUP BY 1, 2, 3),
+    pk AS (SELECT unit, session, arg_max(bin, (rate, -bin)) AS peak FROM gr GROUP BY 1, 2)""",
+    f"""SELECT unit, first, second, round(r, 6) + 0.0 AS r, round({P28}, 6) + 0.0 AS p, p1.peak AS peak_first, p2.peak AS peak_second, p1.peak - p2.peak AS shift, CAST(best_shift AS INTEGER) AS best_shift, round(best_r, 6) + 0.0 AS best_r
+    FROM bs JOIN pk p1 USING (unit) JOIN pk p2 USING (unit) WHERE p1.session = first AND p2.session = second AND {P28} < 0.2 AND abs(r) > 0.1"""))
 def pairwise_session_corr(spark, d):
-    t = S.tracking(spark, d)
-    first, second = (O.activity_map_1d(t.filter(F.col("ok") % 2 == h), UNIT, F.floor("x"), "signal", F.lit(True))
-                     .withColumn("iy", F.lit(0)).withColumnRenamed("bin", "ix") for h in (0, 1))
-    c = P.map_cross_corr(first, second, UNIT, "rate").filter(F.abs("r") > 0.1)
-    pk = lambda m, n: O.map_peak(m, UNIT).select("unit", F.col("peak_ix").alias(n))
-    return (c.join(pk(first, "peak_first"), "unit").join(pk(second, "peak_second"), "unit")
-             .select("unit", r("r").alias("r"), "n", "peak_first", "peak_second", (F.col("peak_second") - F.col("peak_first")).alias("shift")))
+    t = S.tracking(spark, d).withColumn("session", F.expr("t div 365"))
+    maps = t.groupBy("unit", "session", F.floor((F.col("x") - 1) * 0.6).cast("int").alias("bin")).agg(F.avg("signal").alias("rate"))
+    out = P.session_pair_corr(maps, "unit", "session", "bin", "rate", 30, alpha=0.2, r_min=0.1)
+    return out.withColumns({c: r(c) for c in ("r", "p", "best_r")})
 
 
 @query("unscramble_segments", with_views("tracking", "b AS (SELECT unit, CAST(floor(x) AS BIGINT) AS bin, count(*) AS n FROM tracking GROUP BY 1, 2)",

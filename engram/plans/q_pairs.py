@@ -13,6 +13,7 @@ from engram.sources import tables as S
 from engram.sources.tables import with_views
 
 HOUR = S.HOUR_US
+SESSION = ["session"]
 
 
 @query("join_frame_position", with_views("activity track", """SELECT cell_id, session, frame, round(f, 4) + 0.0 AS f, x, y
@@ -25,12 +26,12 @@ def join_frame_position(spark, d):
     return J.join_frame_position(act, pos, ["session", "frame"]).select("cell_id", "session", "frame", r("f", 4).alias("f"), "x", "y")
 
 
-@query("join_spike_position", with_views("spikes", """fr AS (SELECT DISTINCT t_us AS frame_t, value AS x FROM spikes WHERE kind = 'click')""",
-    """SELECT unit_id, frame_t, x, CAST(count(*) AS BIGINT) AS spikes FROM fr JOIN spikes ON t_us <= frame_t AND t_us > frame_t - 900000000 GROUP BY 1, 2, 3"""))
+@query("join_spike_position", with_views("spikes", """fr AS (SELECT DISTINCT unit_id % 4 AS session, t_us AS frame_t, value AS x FROM spikes WHERE kind = 'click')""",
+    """SELECT session, unit_id, frame_t, x, CAST(count(*) AS BIGINT) AS spikes FROM fr JOIN spikes ON unit_id % 4 = session AND t_us <= frame_t AND t_us > frame_t - 900000000 GROUP BY 1, 2, 3, 4"""))
 def join_spike_position(spark, d):
-    s = S.spikes(spark, d)
-    frames = s.filter("kind = 'click'").select(F.col("t_us").alias("frame_t"), F.col("value").alias("x")).distinct()
-    return J.join_spike_position(s.select("unit_id", "t_us"), frames, "unit_id", "t_us", "frame_t", 900_000_000)
+    s = S.spikes(spark, d).withColumn("session", F.col("unit_id") % 4)
+    frames = s.filter("kind = 'click'").select("session", F.col("t_us").alias("frame_t"), F.col("value").alias("x")).distinct()
+    return J.join_spike_position(s.select("session", "unit_id", "t_us"), frames, SESSION, "unit_id", "t_us", "frame_t", 900_000_000)
 
 
 @query("join_asof_velocity", with_views("spikes", QS.CLICK, QS.VEL, """tr AS (SELECT unit_id, t_us AS sample, event_id FROM spikes WHERE kind IN ('purchase', 'signup')),
@@ -206,7 +207,6 @@ SESSION_PAIRS = """gr AS (SELECT c.session, c.cell_id, b.bin, coalesce(dy.v, 0.0
     st AS (SELECT session, cell_id, avg(v) AS mu, stddev_pop(v) AS sd FROM gr GROUP BY 1, 2 HAVING stddev_pop(v) > 1e-9),
     z AS (SELECT session, cell_id, bin, (v - mu) / sd AS z FROM gr JOIN st USING (session, cell_id)),
     co AS (SELECT p.session, p.cell_id AS a, q.cell_id AS b, sum(p.z * q.z) / 30 AS r FROM z p JOIN z q ON p.session = q.session AND p.bin = q.bin AND p.cell_id < q.cell_id GROUP BY 1, 2, 3)"""
-SESSION = ["session"]
 
 
 def session_days(spark, d):

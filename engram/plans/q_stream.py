@@ -35,7 +35,8 @@ def stream_binned_activity(spark, d):
 @query("stream_threshold_events", f"""WITH n AS (SELECT user_id, ts, event_id, value, value >= 60 AS hit, lag(value >= 60) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     b AS (SELECT *, sum(CASE WHEN hit IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM n),
     l AS (SELECT user_id, run, any_value(hit) AS hit, min(ts) AS a, max(ts) AS z, count(*) AS c, max(value) AS pk FROM b GROUP BY 1, 2)
-    SELECT user_id, {US.format('a')} AS start_us, {US.format('z')} AS last_us, c AS events, pk AS peak FROM l WHERE hit AND run < (SELECT max(run) FROM l m WHERE m.user_id = l.user_id)""")
+    SELECT l.user_id, {US.format('l.a')} AS start_us, {US.format('l.z')} AS last_us, l.c AS events, l.pk AS peak FROM l JOIN l q ON q.user_id = l.user_id AND q.run = l.run + 1
+    WHERE l.hit AND epoch_us(q.a) < (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 FROM events)""")
 def stream_threshold_events(spark, d):
     out = T.drain(T.stream_threshold_events(T.read_events(spark, d), "user_id", 60.0, "1 hour"), shared_folder(spark, "runs"))
     return out.select("user_id", _us("start").alias("start_us"), _us("last").alias("last_us"), "events", "peak")

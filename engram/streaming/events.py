@@ -6,6 +6,7 @@ watermark.  Rows later than the watermark are dropped.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -35,32 +36,57 @@ def stream_binned_activity(events: DataFrame, key: str, width: str, delay: str,
             .select(key, F.col("w.start").alias("start"), "events", "value"))
 
 
+ROW = np.dtype([("at", "<i8"), ("id", "<i8"), ("v", "<f8")])
+
+
 def stream_threshold_events(events: DataFrame, key: str, threshold: float, delay: str) -> DataFrame:
-    """Runs of consecutive events at or above the threshold, sent out when the run ends.
+    """Runs of consecutive events at or above the threshold, sent out when an event below it is final.
 
-    The state of a key is its open run, four numbers.  A trigger hands a key only the rows that
-    arrived since the last one; ``files_per_trigger`` bounds them.
+    Events may arrive in any order within ``delay``: a key keeps those the watermark has not passed, and its open run. A timer at the earliest
+    of them calls the key when the watermark has passed it; then the final ones are taken in order of (time, event_id). Events behind
+    the watermark are dropped on arrival. The state of a key is bounded by its events within the delay and one trigger.
     """
-    schema = events.schema
-    out = f"`{key}` {schema[key].dataType.simpleString()}, start timestamp, last timestamp, events bigint, peak double"
+    kind = events.schema[key].dataType.simpleString()
+    names = [key, "start", "last", "events", "peak"]
 
     def step(k, batches, state):
-        start, last, n, peak = state.get if state.exists else (None, None, 0, 0.0)
-        rows = []
-        new = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        above = new["value"].to_numpy() >= threshold
-        for at, v, hit in zip(new["at"], new["value"], above):
-            if hit:
-                start, last, n, peak = (at, at, 1, v) if n == 0 else (start, at, n + 1, max(peak, v))
-            elif n:
-                rows.append((k[0], start, last, n, peak))
-                start, last, n, peak = None, None, 0, 0.0
-        state.update((start, last, n, peak))
-        yield pd.DataFrame(rows, columns=[key, "start", "last", "events", "peak"])
-
-    return (events.withWatermark("at", delay).select(key, "at", "event_id", "value").groupBy(key)
-            .applyInPandasWithState(step, out, "start timestamp, last timestamp, n bigint, peak double", "append",
-                                    GroupStateTimeout.NoTimeout))
+        start, last, n, peak, kept = state.get if state.exists else (0, 0, 0, 0.0, b"")
+        parts = [np.frombuffer(bytes(kept), ROW)]
+        for new in batches:
+            rows = np.empty(len(new), ROW)
+            rows["at"], rows["id"], rows["v"] = new["_us"], new["event_id"], new["value"]
+            parts.append(rows)
+        rows = np.sort(np.concatenate(parts), order=["at", "id"])
+        mark = state.getCurrentWatermarkMs()
+        final = rows["at"] < mark * 1000
+        ready, rows = rows[final], rows[~final]
+        hit = ready["v"] >= threshold
+        # runs of equal flags; the open run of the state goes before the first one
+        edge = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1]]) if len(hit) else np.zeros(0, int)
+        stop = np.r_[edge[1:], len(hit)]
+        size = (stop - edge)[hit[edge]]
+        on, off = edge[hit[edge]], stop[hit[edge]]
+        runs = [(int(ready["at"][i]), int(ready["at"][j - 1]), int(c), float(ready["v"][i:j].max())) for i, j, c in zip(on, off, size)]
+        if n and len(hit):
+            if hit[0]:
+                runs[0] = (start, runs[0][1], n + runs[0][2], max(peak, runs[0][3]))
+            else:
+                runs.insert(0, (start, last, n, peak))
+            n = 0
+        if len(hit) and hit[-1]:
+            start, last, n, peak = runs.pop()
+        if n or len(rows):
+            state.update((start, last, n, peak, rows.tobytes()))
+            if len(rows):
+                state.setTimeoutTimestamp(max(int(rows["at"][0]) // 1000, mark + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(k[0], *r) for r in runs], columns=names)
+
+    runs = (events.withWatermark("at", delay).select(key, "at", F.unix_micros("at").alias("_us"), "event_id", "value").groupBy(key)
+            .applyInPandasWithState(step, f"`{key}` {kind}, start bigint, last bigint, events bigint, peak double",
+                                    "start bigint, last bigint, n bigint, peak double, kept binary", "append", GroupStateTimeout.EventTimeTimeout))
+    return runs.select(key, F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), "events", "peak")
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:

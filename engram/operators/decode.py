@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from engram.functions.blocks import frame_block, sequence
 from engram.functions.exprs import ratio
@@ -32,45 +33,41 @@ def as_vectors(long: DataFrame, keys: list[str], dim: str, value: str, out: str
                 .withColumn(out, F.transform("_v", lambda s: s[value])).drop("_v"))
 
 
-CHUNK = 4096   # centroids held by one pass
+CHUNK = 4096       # centroids of a tile
+ROWS = 1 << 16     # states of a tile
 
 
 def nearest_centroid(states: DataFrame, vec: str, centroids: DataFrame, label: str, cvec: str) -> DataFrame:
     """Closest centroid in L1 (tie: smallest label), adding ``nearest`` and ``distance``.
 
-    Centroids go to the tasks in chunks of bounded size; further chunks are further passes over
-    the same partitions, without a shuffle and without pairing rows.
+    Tiles of states meet tiles of centroids, both of bounded size, and the least (distance, label) of each state is kept; centroids are rows
+    like the states and never leave the executors. Equal states are compared once. A null state has no nearest centroid.
     """
-    n = centroids.count()
-    chunks = max(1, -(-n // CHUNK))
-    label_type = centroids.schema[label].dataType
-    out = states.withColumn("nearest", F.lit(None).cast(label_type)).withColumn("distance", F.lit(None).cast("double"))
-    schema = out.schema
-    for i in range(chunks):
-        part = centroids.filter(F.pmod(F.xxhash64(label), F.lit(chunks)) == i) if chunks > 1 else centroids
-        rows = sorted((r[0], r[1]) for r in part.select(label, cvec).collect())
-        names = np.array([r[0] for r in rows])
-        grid = np.array([r[1] for r in rows], dtype=float)
-
-        def run(batches, names=names, grid=grid):
-            for pdf in batches:
-                if len(pdf) and len(grid):
-                    x = np.stack(pdf[vec].to_numpy())
-                    best, at = np.full(len(x), np.inf), np.zeros(len(x), int)
-                    for j, c in enumerate(grid):
-                        dist = np.abs(x - c).sum(1)
-                        closer = dist < best
-                        best[closer], at[closer] = dist[closer], j
-                    old = pdf["distance"].to_numpy(dtype=float)
-                    # Equal distances from another chunk go to the smaller label.
-                    tie = (best == old) & (names[at] < pdf["nearest"].fillna(names.max()).to_numpy())
-                    better = ~(old <= best) | tie
-                    pdf["nearest"] = np.where(better, names[at], pdf["nearest"].fillna(0)).astype(names.dtype)
-                    pdf["distance"] = np.where(better, best, old)
-                yield pdf
-
-        out = out.mapInPandas(run, schema)
-    return out
+    points = states.filter(F.col(vec).isNotNull()).select(F.col(vec).alias("_x")).distinct()
+    held = centroids.filter(F.col(cvec).isNotNull() & F.col(label).isNotNull())
+    # two counts size the tiles
+    over, along = (max(1, -(-n // size)) for n, size in ((points.count(), ROWS), (held.count(), CHUNK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = points.withColumn("_s", F.pmod(F.xxhash64("_x"), F.lit(over)).cast("int")).withColumn("_c", every(along))
+    there = (held.select(F.col(label).alias("_l"), F.col(cvec).alias("_y")).withColumn("_c2", F.pmod(F.xxhash64("_l"), F.lit(along)).cast("int")).withColumn("_s2", every(over)))
+    schema = T.StructType([T.StructField("_x", states.schema[vec].dataType), T.StructField("_d", T.DoubleType()), T.StructField("_l", centroids.schema[label].dataType)])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([left["_x"].slice(0, 0), pa.array([], pa.float64()), right["_l"].slice(0, 0)], names=schema.names)
+        right = right.sort_by("_l")
+        grid = right["_y"].combine_chunks().flatten().to_numpy().astype(float).reshape(right.num_rows, -1)
+        x = left["_x"].combine_chunks().flatten().to_numpy().astype(float).reshape(left.num_rows, -1)
+        best, at = np.full(len(x), np.inf), np.zeros(len(x), int)
+        for j, c in enumerate(grid):
+            d = np.abs(x - c).sum(1)
+            closer = d < best
+            best[closer], at[closer] = d[closer], j
+        return pa.table([left["_x"], pa.array(best), right["_l"].take(pa.array(at))], names=schema.names)
+
+    met = asked.groupBy("_s", "_c").cogroup(there.groupBy("_s2", "_c2")).applyInArrow(run, schema)
+    best = met.groupBy("_x").agg(F.min(F.struct("_d", "_l")).alias("_best"))
+    return states.join(best, F.col(vec) == F.col("_x"), "left").select(*states.columns, F.col("_best._l").alias("nearest"), F.col("_best._d").alias("distance"))
 
 
 def transition_matrix(located: DataFrame, frame: str, label: str) -> DataFrame:
@@ -80,26 +77,41 @@ def transition_matrix(located: DataFrame, frame: str, label: str) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n")))
 
 
+PIVOTS = 4096      # cells of the quantiser at most; their centres are sent to every task
+
+
 def knn_sum(states: DataFrame, frame: str, vec: str, k: int = 6, slab_rows: int = 4096) -> DataFrame:
     """Sum of the distances to the k nearest states, the state itself included.  Exact.
 
-    Equal states are counted once with their number.  States are cut in slabs by their distance to
-    one pivot.  The neighbours inside its own slab bound how far a state can look, and the triangle
-    inequality says which other slabs may hold something nearer; only those are compared.
+    Equal states are counted once with their number.  States belong to the nearest of some pivots (up to PIVOTS of them, drawn by a hash);
+    a crowded cell is cut in pieces of about ``slab_rows``.  The neighbours in its own piece bound how far a state can look.  What
+    lies in another cell is at least as far as the distance to its pivot less the radius of the cell, and as half of what that
+    pivot is farther away than the own one; only cells within reach are compared, piece by piece.
     """
-    points = states.groupBy(vec).agg(F.count(F.lit(1)).alias("_c"), F.min(frame).alias("_id"))
-    points = cut_lineage(points)
+    points = cut_lineage(states.groupBy(vec).agg(F.count(F.lit(1)).alias("_c"), F.min(frame).cast("long").alias("_id")))
     total = points.count()
-    pivot = np.array(points.orderBy("_id").select(vec).first()[0], dtype=float)
-    away = F.sqrt(F.aggregate(F.zip_with(vec, F.array(*[F.lit(float(v)) for v in pivot]), lambda a, b: (a - b) * (a - b)),
-                              F.lit(0.0), lambda t, v: t + v))
-    points = points.withColumn("_p", away)
-    slabs = max(1, -(-total // slab_rows))
-    cuts = points.approxQuantile("_p", [i / slabs for i in range(1, slabs)], 0.1 / slabs) if slabs > 1 else []
-    slab = sum((F.when(F.col("_p") >= c, 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) < 200 else \
-        F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("_p") >= c))
-    points = cut_lineage(points.withColumn("_slab", slab.cast("int")))
-    edges = [float("-inf"), *cuts, float("inf")]
+    drawn = points.select("_id", vec).orderBy(F.xxhash64("_id"), "_id").limit(min(PIVOTS, max(1, -(-2 * total // slab_rows)))).collect()
+    spark = states.sparkSession
+    pivots = spark.sparkContext.broadcast(np.array([r[1] for r in drawn], dtype=float))
+    array = points.schema[vec].dataType
+
+    def distances(batch: pa.RecordBatch) -> np.ndarray:
+        x = batch.column(vec).flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
+        return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots.value], axis=1)
+
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                away = distances(batch)
+                cell = away.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away.min(axis=1))], names=[*batch.schema.names, "_cell", "_away"])
+
+    placed = cut_lineage(points.select("_id", vec, "_c").mapInArrow(assign, T.StructType([T.StructField("_id", T.LongType()), T.StructField(vec, array), T.StructField("_c", T.LongType()),
+                                                                                          T.StructField("_cell", T.IntegerType()), T.StructField("_away", T.DoubleType())])))
+    cells = placed.groupBy("_cell").agg(F.max("_away").alias("_radius"), F.ceil(F.count(F.lit(1)) / slab_rows).cast("int").alias("_pieces"))
+    known = spark.sparkContext.broadcast([(r["_cell"], r["_radius"], r["_pieces"]) for r in cells.collect()])     # at most PIVOTS rows
+    points = placed.join(F.broadcast(cells), "_cell").withColumn("_piece", F.pmod(F.xxhash64("_id"), F.col("_pieces")).cast("int")).drop("_pieces", "_radius")
+    place = ["_cell", "_piece"]
 
     def nearest(x, y, count):
         d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(2), 0)) if len(x) * len(y) * x.shape[1] < 2e7 else \
@@ -108,31 +120,44 @@ def knn_sum(states: DataFrame, frame: str, vec: str, k: int = 6, slab_rows: int
         dist = np.take_along_axis(d, order, 1)
         return [[float(v) for v, c in zip(dr, count[o]) for _ in range(min(int(c), k))][:k] for dr, o in zip(dist, order)]
 
-    own_schema = f"`_id` bigint, `{vec}` array<double>, `_p` double, `_slab` int, `_near` array<double>"
+    own_schema = f"`_id` bigint, `{vec}` array<double>, `_cell` int, `_piece` int, `_near` array<double>"
 
     def own(pdf):
         x = np.stack(pdf[vec].to_numpy())
-        return pdf[["_id", vec, "_p", "_slab"]].assign(_near=nearest(x, x, pdf["_c"].to_numpy()))
+        return pdf[["_id", vec, *place]].assign(_near=nearest(x, x, pdf["_c"].to_numpy()))
 
-    first = points.groupBy("_slab").applyInPandas(own, own_schema)
+    first = cut_lineage(points.groupBy(*place).applyInPandas(own, own_schema))
     reach = F.when(F.size("_near") >= k, F.element_at("_near", k)).otherwise(F.lit(float("inf")))
-    bounds = F.array(*[F.struct(F.lit(i).alias("j"), F.lit(edges[i]).alias("lo"), F.lit(edges[i + 1]).alias("hi")) for i in range(slabs)])
-    sent = (first.withColumn("_reach", reach).withColumn("_to", F.explode(bounds))
-            .filter((F.col("_to.j") != F.col("_slab")) & (F.col("_to.lo") <= F.col("_p") + F.col("_reach"))
-                    & (F.col("_to.hi") >= F.col("_p") - F.col("_reach")))
-            .select("_id", vec, F.col("_to.j").alias("_slab")))
-    sent = cut_lineage(sent)
-    # A slab asked by many is copied once per slab_rows questions, so every piece stays small.
-    parts = sent.groupBy("_slab").agg(F.ceil(F.count(F.lit(1)) / slab_rows).cast("int").alias("_nq"))
-    sent = sent.join(parts, "_slab").withColumn("_q", F.pmod(F.xxhash64("_id"), F.col("_nq")).cast("int")).drop("_nq")
-    held = points.join(parts, "_slab").withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))).drop("_nq")
+    plain = T.StructType([T.StructField("_id", T.LongType()), T.StructField(vec, T.ArrayType(T.DoubleType())), T.StructField("_cell", T.IntegerType()), T.StructField("_piece", T.IntegerType())])
+
+    def visits(batches):
+        cell, radius, pieces = (np.array(v) for v in zip(*known.value))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            away = distances(batch)
+            mine, part = batch.column("_cell").to_numpy(), batch.column("_piece").to_numpy()
+            at_least = np.maximum(away[:, cell] - radius[None, :], (away[:, cell] - away[np.arange(len(mine)), mine][:, None]) / 2)
+            row, j = np.nonzero(at_least <= (batch.column("_reach").to_numpy() * (1 + 1e-9) + 1e-9)[:, None])
+            # every piece of a cell within reach, but the own one
+            rows, to = np.repeat(row, pieces[j]), np.repeat(j, pieces[j])
+            piece = np.arange(len(rows)) - np.repeat(np.cumsum(pieces[j]) - pieces[j], pieces[j])
+            keep = (cell[to] != mine[rows]) | (piece != part[rows])
+            rows = pa.array(rows[keep])
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(rows), batch.column(vec).take(rows), pa.array(cell[to[keep]].astype(np.int32)), pa.array(piece[keep].astype(np.int32))], names=plain.names)
+
+    sent = cut_lineage(first.select("_id", vec, *place, reach.alias("_reach")).mapInArrow(visits, plain))
+    # A piece asked by many is copied once per slab_rows questions, so every group stays small.
+    parts = sent.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / slab_rows).cast("int").alias("_nq"))
+    sent = sent.join(parts, place).withColumn("_q", F.pmod(F.xxhash64("_id"), F.col("_nq")).cast("int")).drop("_nq")
+    held = points.join(parts, place).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))).drop("_nq")
 
     def other(q, p):
         if not len(q) or not len(p):
             return pd.DataFrame({"_id": [], "_near": []})
         return pd.DataFrame({"_id": q["_id"].to_numpy(), "_near": nearest(np.stack(q[vec].to_numpy()), np.stack(p[vec].to_numpy()), p["_c"].to_numpy())})
 
-    rest = sent.groupBy("_slab", "_q").cogroup(held.groupBy("_slab", "_q")).applyInPandas(other, "`_id` bigint, `_near` array<double>")
+    rest = sent.groupBy(*place, "_q").cogroup(held.groupBy(*place, "_q")).applyInPandas(other, "`_id` bigint, `_near` array<double>")
     merged = (first.select("_id", "_near").unionByName(rest).groupBy("_id")
               .agg(F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, k).alias("_near")))
     sums = points.select("_id", vec).join(merged, "_id").select(vec, F.aggregate("_near", F.lit(0.0), lambda t, v: t + v).alias("knn"))

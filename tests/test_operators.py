@@ -224,6 +224,32 @@ def test_nearest_centroid_in_chunks(spark, monkeypatch):
     got = {r["frame"]: r["nearest"] for r in E.nearest_centroid(s, "vec", cs, "label", "c").collect()}
     want = np.abs(x[:, None] - c[None]).sum(2).argmin(1)
     assert [got[i] for i in range(30)] == list(want)
+    # ties across tiles go to the smallest label; a null state stays; equal states are one question
+    monkeypatch.setattr(E, "ROWS", 2)
+    s = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [5.0, 1.0])], "frame bigint, vec array<double>")
+    cs = spark.createDataFrame([(9, [1.0, 0.0]), (4, [0.0, 1.0]), (6, [-1.0, 0.0]), (2, [5.0, 3.0]), (1, None)], "label int, c array<double>")
+    got = {r["frame"]: (r["nearest"], r["distance"]) for r in E.nearest_centroid(s, "vec", cs, "label", "c").collect()}
+    assert got == {0: (4, 1.0), 1: (4, 1.0), 2: (None, None), 3: (2, 2.0)}
+    assert {r["nearest"] for r in E.nearest_centroid(s, "vec", cs.limit(0), "label", "c").collect()} == {None}
+
+
+def test_knn_of_clusters_in_many_dimensions_looks_at_few(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 64)) * 20
+    x = np.concatenate([c + rng.normal(size=(20, 64)) * 0.1 for c in centres] + [np.zeros((30, 64)) + rng.integers(0, 2, (30, 1))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "frame bigint, vec array<double>")
+    seen = []
+    cut = E.cut_lineage
+    def watch(t):
+        out = cut(t)
+        if out.columns == ["_id", "vec", "_cell", "_piece"]:
+            seen.append(out.count())
+        return out
+    monkeypatch.setattr(E, "cut_lineage", watch)
+    got = dict(rows(E.knn_sum(df, "frame", "vec", 6, slab_rows=20)))
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 1)[:, :6].sum(1)
+    assert np.allclose([got[i] for i in range(len(x))], d, atol=1e-9)
+    assert seen[0] < 0.25 * 402 * 40       # of some 40 cells, each state asks few
 
 
 def strip(spark, wall, width=1, size=40):

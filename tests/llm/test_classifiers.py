@@ -29,6 +29,8 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["held_out"] == held(i, 3, 1) for i, r in got.items())
     rows = [r for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if held(r["doc_id"], 3, 1)]
     assert sum(got[r["doc_id"]]["predicted"] == r["toxic"] for r in rows) >= 0.93 * len(rows)
+    toxic = [r for r in rows if r["toxic"] == 1]
+    assert sum(got[r["doc_id"]]["predicted"] for r in toxic) >= 0.7 * len(toxic)
 
 
 def test_language_on_held_out_rows(spark):
@@ -56,6 +58,24 @@ def test_odd_inputs_and_models(spark, kind):
     assert score(df.limit(0), "doc_id", "text", model).count() == 0
 
 
+def test_the_cut_is_set_on_unseen_examples():
+    import pyarrow.parquet as pq
+    docs, labels = (pq.read_table(f"/root/testdata/sf0.1/{t}.parquet", columns=c).to_pydict() for t, c in (("documents", ["doc_id", "text"]), ("labels", ["doc_id", "toxic"])))
+    text = dict(zip(docs["doc_id"], docs["text"]))
+    rows = [(i, toxicity.np.unique(toxicity.buckets(text[i])), y) for i, y in sorted(zip(labels["doc_id"], labels["toxic"])) if text.get(i)]
+    train, test = [(x, y) for i, x, y in rows if not held(i, 3, 1)], [(x, y) for i, x, y in rows if held(i, 3, 1)]
+
+    def rates(model):
+        at, w, bias = model
+        dense = toxicity.np.zeros(1 << toxicity.BITS)
+        dense[at] = w
+        hit = {c: [bias + dense[x].sum() >= 0.8473 for x, y in test if y == c] for c in (0, 1)}
+        return sum(hit[1]) / len(hit[1]), sum(hit[0]) / len(hit[0])
+    plain, moved = rates(toxicity.train(train)), rates(toxicity.calibrated(train))
+    assert moved[0] > plain[0] and moved[0] >= 0.87 and moved[1] <= 0.01, (plain, moved)
+    assert toxicity.calibrated([])[2] == toxicity.train([])[2]
+
+
 def test_repeats_are_one_mark():
     assert quality.word_counts("a a a b a") == {"a": 2, "b": 1, quality.REPEAT: 2}
 

@@ -57,6 +57,48 @@ def test_shards_keep_columns_with_clashing_names(spark):
     assert {r["shard"]: r["count"] for r in out.groupBy("shard").count().collect()} == dict.fromkeys(range(4), 15)
 
 
+def plain_index(cells, bits):
+    """Hilbert index by walking down the cube: each step turns the axes as the curve does inside the sub-cube."""
+    x, n = list(cells), len(cells)
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        if x[n - 1] & q:
+            t ^= q - 1
+    out = 0
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            out = out * 2 + ((v ^ t) >> b & 1)
+    return out
+
+
+def test_query_equals_a_plain_version(spark):
+    """op8 on the small documents: cells as the engine names them, everything behind them worked out in Python."""
+    import zlib
+    from engram.llm.queries import QUERIES
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))) + 1)
+    cells = docs.select("doc_id", "text", "size", hilbert.label_cell(F.col("lang"), 6).alias("a"), hilbert.label_cell(F.col("source"), 6).alias("b"), hilbert.log_cell(F.col("size"), 6).alias("c")).collect()
+    assert all(r["size"] == len((r["text"] or "").encode()) + 1 for r in cells)
+    rows = sorted((plain_index((r["a"], r["b"], r["c"]), 6), r["doc_id"], zlib.crc32((r["text"] or "").encode()), r["size"]) for r in cells)
+    n, want, slots = len(rows), {}, {}
+    for rank, (curve, doc, crc, size) in enumerate(rows):
+        shard = rank * 16 // n
+        want[doc] = (size, crc, "rows", shard, slots.setdefault(shard, 0), None, curve)
+        slots[shard] += 1
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op8_hilbert_shards"](spark, sf).collect()}
+    assert got == want
+
+
 # -- M-tree ---------------------------------------------------------------------------------------------------------------------
 def direct(rows, k, every):
     good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]

@@ -3,11 +3,15 @@
 Vectors are quantised to integers. One more coordinate, sqrt(M - |x|^2) with M the greatest squared norm, gives all rows one norm, and
 a larger inner product with a query (whose extra coordinate is 0) becomes a smaller Euclidean distance: |q' - x'|^2 = |q|^2 + M - 2 q.x.
 
-Inner nodes are routing vectors from a bounded sample; every row belongs to the nearest one (its parent). Rows are sorted by parent and
-parent distance and cut into pages, the leaf nodes: a page knows its covering radius and the least and greatest parent distance in it.
-For a query the triangle inequality bounds the distance to a page by |d(q, parent) - parent distance|, with no distance computed in the
-page. The search goes best first: a first visit to the page where the query itself would lie gives each query a k-th score, and only
-pages whose bound can still beat it are opened, queries in blocks, pages as they are stored.
+The tree has three levels. Leaf nodes are pages: rows of one routing vector, sorted by their distance to it (parent distance) and cut, so a
+page knows the least and greatest parent distance in it. Routing vectors come from a bounded sample; each knows its covering radius and
+its distance to its parent, one of the few roots, which again have covering radii. Routes and roots are as many as ROUTES says, whatever
+the data, and go to every task; pages stay tables.
+
+The search goes best first, in rounds for all queries at once. A query descends from the roots: a root whose ball is out of reach is left out
+with all below it, a stored parent distance rules a route out before its distance is computed, and only pages of routes in reach are
+looked up. Of the open pages in reach the best ones are read, eight times as many in each round, and the k-th score so far tightens
+the reach for the next. It ends when no query has an open page in reach.
 """
 
 from __future__ import annotations
@@ -20,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from engram.session import cut_lineage
+from engram.session import Rounds, cut_lineage
 
-ROUTES = 64                # routing vectors at most: the bounded sample
+ROUTES = 256               # routing vectors at most: the bounded sample
+ROOTS = 16                 # of them, the roots of the tree
+WIDEN = 8                  # how many times more pages a round reads than the one before
 PAGE = 1024                # rows of a page
 BLOCK = 256                # queries of a block
 SLACK = 1e-6               # relative slack of bounds, far above the rounding of doubles
@@ -135,12 +141,58 @@ def visit(work: DataFrame, k: int) -> DataFrame:
     return work.mapInArrow(run, "qid long, vec_id long, score long")
 
 
+class Upper:
+    """Roots and routes: routing vectors with covering radii and parent distances. Bounded by ROUTES; lives on the driver and in tasks."""
+
+    def __init__(self, routes: np.ndarray, radius: np.ndarray, norm: float):
+        self.routes, self.radius, self.norm = routes, radius, norm
+        lift = np.sqrt(np.maximum(norm - (routes * routes).sum(axis=1), 0))
+        self.square = (routes * routes).sum(axis=1) + lift * lift
+        self.roots = np.arange(min(ROOTS, len(routes)))
+        full = np.concatenate([routes, lift[:, None]], axis=1)
+        away = np.stack([np.sqrt(((full - full[r]) ** 2).sum(axis=1)) for r in self.roots], axis=1) if len(routes) else np.zeros((0, 0))
+        self.parent = away.argmin(axis=1) if len(routes) else np.zeros(0, int)
+        self.parent_distance = away.min(axis=1) if len(routes) else np.zeros(0)
+        used = radius >= 0                              # a route without rows has no ball
+        self.root_radius = np.array([(self.parent_distance + radius)[(self.parent == r) & used].max(initial=-np.inf) for r in self.roots])
+
+    def distances(self, q: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + self.square[to][None, :] - 2 * (q @ self.routes[to].T), 0))
+
+    def descend(self, q: np.ndarray, reach: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, route, distance) of the routes whose balls a query can reach; of queries with unlimited reach the `nearest` ones."""
+        limit = reach * (1 + SLACK) + SLACK
+        top = self.distances(q, self.roots)
+        out = []
+        for r in self.roots:
+            children = np.flatnonzero((self.parent == r) & (self.radius >= 0))
+            who = np.flatnonzero(top[:, r] - self.root_radius[r] <= limit)
+            if not len(children) or not len(who):
+                continue
+            # stored parent distances first: no distance is computed to a route that they rule out for all of these queries
+            maybe = np.abs(top[who, r][:, None] - self.parent_distance[children][None, :]) - self.radius[children][None, :] <= limit[who][:, None]
+            children, maybe = children[maybe.any(axis=0)], maybe[:, maybe.any(axis=0)]
+            d = self.distances(q[who], children)
+            i, j = np.nonzero(maybe & (d - self.radius[children][None, :] <= limit[who][:, None]))
+            out.append((who[i], children[j], d[i, j]))
+        if not out:
+            none = np.zeros(0, int)
+            return none, none, np.zeros(0)
+        query, route, dist = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((route, dist, query))
+        query, route, dist = query[order], route[order], dist[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = np.isfinite(reach[query]) | (nth < nearest)
+        return query[keep], route[keep], dist[keep]
+
+
 def top_k(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that satisfies `is_query`, its k rows of greatest integer inner product, its own row
     excepted; ties go to the smaller id, fewer rows give fewer ranks.
 
     Queries with equal vectors are searched once, for k + 1 rows. A shorter vector counts as filled up with zeros to the longest one, which
-    is the product over the components that both have. Rows with equal ids are each a candidate but for a query of that id. An empty table gives an empty one.
+    is the product over the components that both have. Rows with equal ids are each a candidate but for a query of that id. An empty
+    table gives an empty one.
     """
     spark = df.sparkSession
     rows = cut_lineage(quantised(df, id_col, vec_col, scale))
@@ -150,48 +202,62 @@ def top_k(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, scale:
     norm = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
     routes = routes_of(rows, dim)
     tree = pages(rows, routes, norm)
-    nodes = tree.select("page", "parent", "near", "far", F.size("ids").alias("n"))
+    nodes = tree.select("page", "parent", "near", "far")
+    radius = np.full(len(routes), -1.0)
+    for r in nodes.groupBy("parent").agg(F.max("far").alias("far")).collect():      # at most ROUTES rows
+        radius[r["parent"]] = r["far"]
+    shared = spark.sparkContext.broadcast(Upper(routes, radius, norm))
 
     asked = rows.filter(is_query(F.col("vec_id"))).select("vec_id", "v", F.xxhash64("v").alias("h"))
     # equal query vectors are one query, named by its smallest id
-    classes = asked.groupBy("h", "v").agg(F.min("vec_id").alias("qid"))
-    queries = cut_lineage(classes.select("qid", "v", "h"))
-    shared = spark.sparkContext.broadcast(routes)
-
-    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
-        rx = np.maximum(norm - (r * r).sum(axis=1), 0)
-        for batch in batches:
-            for s in range(0, batch.num_rows, 4096):
-                part = batch.slice(s, 4096)
-                q = matrix(part.column(1))
-                d = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + ((r * r).sum(axis=1) + rx)[None, :] - 2 * (q @ r.T), 0))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(d), pa.list_(pa.float64())), pa.array((q * q).sum(axis=1))], names=["qid", "d", "qq"])
-    to_routes = cut_lineage(queries.select("qid", "v").mapInArrow(distances, "qid long, d array<double>, qq double"))
-    pairs = to_routes.select("qid", "qq", F.posexplode("d").alias("parent", "dq")).join(nodes, "parent")
-    gap = F.greatest(F.col("near") - F.col("dq"), F.col("dq") - F.col("far"), F.lit(0.0)).alias("gap")
-    pairs = pairs.select("qid", "qq", "page", "n", gap)
-    # first visit: the pages of the smallest bounds that together hold k + 1 rows
-    nearest = pairs.groupBy("qid").agg(F.min_by(F.col("page"), F.struct("gap", "page")).alias("page"))
-
-    def visited(wanted: DataFrame) -> DataFrame:
-        """wanted: (qid, page, floor)"""
+    queries = cut_lineage(asked.groupBy("h", "v").agg(F.min("vec_id").alias("qid")).select("qid", "v", "h", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("qq")))
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
+    first = F.row_number().over(W.partitionBy("qid").orderBy("gap", "page"))
+
+    def descent(nearest: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in range(0, batch.num_rows, 4096):
+                    part = batch.slice(s, 4096)
+                    reach = part.column(2).fill_null(float("inf")).to_numpy()
+                    query, route, dist = shared.value.descend(matrix(part.column(1)), reach, nearest)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(query)), pa.array(route.astype(np.int32)), pa.array(dist)], names=["qid", "parent", "dq"])
+        return run
+
+    def read(wanted: DataFrame) -> DataFrame:
+        """The best rows of pages. wanted: (qid, page, floor)"""
         block = F.pmod(F.xxhash64("qid"), F.ceil(F.lit(0) + F.col("m") / BLOCK))
         sizes = wanted.groupBy("page").agg(F.count("*").alias("m"))
         ready = (wanted.join(sizes, "page").withColumn("block", block).join(queries.select("qid", F.col("v").alias("q")), "qid")
                  .groupBy("page", "block").agg(F.collect_list(F.struct("qid", "floor", "q")).alias("qs")))
         return visit(ready.join(tree.select("page", "ids", "data"), "page").select("page", "ids", "data", "qs"), k + 1)
 
-    seeds = cut_lineage(visited(nearest.withColumn("floor", F.lit(None).cast("long"))))
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
-    floors = seeds.withColumn("r", place).filter(F.col("r") == k + 1).select("qid", F.col("score").alias("floor"))
-    # a page can hold a score s >= floor only if its bound allows the distance sqrt(qq + norm - 2 s)
-    reach = F.sqrt(F.greatest(F.col("qq") + F.lit(norm) - 2 * F.col("floor"), F.lit(0.0)))
-    rest = (pairs.join(floors, "qid", "left").join(nearest.withColumnRenamed("page", "seen"), "qid")
-            .filter((F.col("page") != F.col("seen")) & (F.col("floor").isNull() | (F.col("gap") <= reach * (1 + SLACK) + SLACK))))
-    more = visited(rest.select("qid", "page", "floor"))
-    found = seeds.unionByName(more).withColumn("r", place).filter(F.col("r") <= k + 1).select("qid", "vec_id", "score")
+    rounds = Rounds(spark, "mtree")
+    seen = found = None
+    many = 1
+    while True:
+        # a page can hold a score s >= floor only if its bound allows the distance sqrt(qq + norm - 2 s)
+        floors = queries.select("qid", "v", "qq")
+        floors = (floors.withColumn("floor", F.lit(None).cast("long")) if found is None else
+                  floors.join(found.filter(F.col("r") == k + 1).select("qid", F.col("score").alias("floor")), "qid", "left"))
+        floors = floors.withColumn("reach", F.when(F.col("floor").isNotNull(), F.sqrt(F.greatest(F.col("qq") + F.lit(norm) - 2 * F.col("floor"), F.lit(0.0)))))
+        balls = floors.select("qid", "v", "reach").mapInArrow(descent(many), "qid long, parent int, dq double")
+        gap = F.greatest(F.col("near") - F.col("dq"), F.col("dq") - F.col("far"), F.lit(0.0))
+        open_ = balls.join(nodes, "parent").select("qid", "page", gap.alias("gap")).join(floors.select("qid", "floor", "reach"), "qid")
+        open_ = open_.filter(F.col("reach").isNull() | (F.col("gap") <= F.col("reach") * (1 + SLACK) + SLACK))
+        if seen is not None:
+            open_ = open_.join(seen, ["qid", "page"], "left_anti")
+        now = rounds.write("now", open_.withColumn("nth", first).filter(F.col("nth") <= many).select("qid", "page", "floor"))
+        if now.limit(1).count() == 0 and many >= len(routes):
+            break
+        got = read(now)
+        got = got if found is None else got.unionByName(found.select("qid", "vec_id", "score"))
+        found = rounds.write("found", got.withColumn("r", place).filter(F.col("r") <= k + 1).select("qid", "vec_id", "score", "r"))
+        seen = rounds.add("seen", now.select("qid", "page"))
+        many *= WIDEN
     named = asked.select(F.col("vec_id").alias("query_id"), "h", "v").join(queries, ["h", "v"]).select("query_id", "qid")
-    out = named.join(found, "qid").filter("query_id <> vec_id")
+    if found is None:
+        found = named.select("qid", F.col("qid").alias("vec_id"), F.col("qid").alias("score")).filter("false")
+    out = named.join(found.select("qid", "vec_id", "score"), "qid").filter("query_id <> vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -125,6 +125,28 @@ def test_top_k_equals_direct_search(spark, monkeypatch, page):
     assert got == direct(exact, 5, 10)
 
 
+def test_descent_leaves_out_no_ball_in_reach():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 5)) * 30
+    x = np.concatenate([c + rng.normal(size=(40, 5)) for c in centres])
+    norm = float((x * x).sum(axis=1).max())
+    routes = x[rng.permutation(len(x))[:60]]
+    lift = lambda v: np.concatenate([v, np.sqrt(np.maximum(norm - (v * v).sum(axis=1), 0))[:, None]], axis=1)
+    away = np.sqrt(((lift(x)[:, None] - lift(routes)[None]) ** 2).sum(axis=2))
+    parent = away.argmin(axis=1)
+    radius = np.array([away[parent == r, r].max(initial=-1.0) for r in range(len(routes))])
+    upper = mtree.Upper(routes, radius, norm)
+    q = np.concatenate([x[:30], rng.normal(size=(10, 5)) * 40])
+    dist = np.sqrt(((np.c_[q, np.zeros(len(q))][:, None] - lift(x)[None]) ** 2).sum(axis=2))
+    reach = np.sort(dist, axis=1)[:, 5]
+    query, route, d = upper.descend(q, reach, 1)
+    got = set(zip(query.tolist(), route.tolist()))
+    assert {(i, int(parent[j])) for i, j in zip(*np.nonzero(dist <= reach[:, None]))} <= got and len(got) < 0.7 * len(q) * len(routes)
+    query, route, d = upper.descend(q, np.full(len(q), np.inf), 3)
+    assert np.bincount(query).tolist() == [3] * len(q) and all(a <= b for a, b, i, j in zip(d, d[1:], query, query[1:]) if i == j)
+
+
 def test_top_k_of_few_or_no_rows(spark):
     df = spark.createDataFrame([(0, [0.1, 0.2]), (1, [0.3, -0.2])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in mtree.top_k(df, "vec_id", "embedding", lambda i: i % 50 == 0).collect()} == {(0, 1, 1, 25 * 76 + 51 * -52)}

@@ -274,12 +274,18 @@ def components(spark, d):
     return H.components(edges(spark, d))
 
 
-@query("dedup_hub")
+# One removal at a time: the node of the highest degree goes (tie: largest id) until no edge is left.
+HUB = """h(edges, node, degree) AS (SELECT (SELECT list({'s': src, 'd': dst}) FROM ed), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) UNION ALL
+    SELECT list_filter(edges, lambda e: e.s <> n.node AND e.d <> n.node), n.node, n.deg FROM h, LATERAL (SELECT node, count(*) AS deg FROM (SELECT unnest(list_concat(list_transform(h.edges, lambda e: e.s),
+        list_transform(h.edges, lambda e: e.d))) AS node) GROUP BY node ORDER BY deg DESC, node DESC LIMIT 1) n WHERE len(edges) > 0)"""
+
+
+@query("dedup_hub", with_views("pixels", OV, HUB, "SELECT node, degree FROM h WHERE node IS NOT NULL").replace("WITH ", "WITH RECURSIVE ", 1))
 def dedup_hub(spark, d):
     return H.dedup_hub(edges(spark, d))
 
 
-@query("set_except_removed")
+@query("set_except_removed", with_views("pixels", OV, HUB, "SELECT DISTINCT cell_id FROM pixels WHERE cell_id NOT IN (SELECT node FROM h WHERE node IS NOT NULL)").replace("WITH ", "WITH RECURSIVE ", 1))
 def set_except_removed(spark, d):
     """Cells left after the duplicates are taken out."""
     cells = S.pixels(spark, d).select("cell_id").distinct()

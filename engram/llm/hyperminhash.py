@@ -352,9 +352,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5,
     sketch = cut_lineage(sketches(docs, id_col, text_col, width))
     filled = sketch.filter("n_shingles > 0")
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "th")
-    # a node per set, named by a number: ids may repeat or be missing
-    least = filled.groupBy("set_hi", "set_lo").agg(F.min(order).alias("rep"))
-    reps = filled.join(least, ["set_hi", "set_lo"]).filter(order == F.col("rep")).dropDuplicates(["set_hi", "set_lo"])
+    # a node per set, named by a number: ids may repeat or be missing. Size and registers are the same for equal sets
+    reps = filled.groupBy("set_hi", "set_lo").agg(F.min(order).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("reg").alias("reg"))
     reps = cut_lineage(reps.select(F.monotonically_increasing_id().alias("doc"), "n_shingles", "reg", "set_hi", "set_lo", "rep"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,13 @@ from engram.llm.queries import tokenizer_path
 REJECT_BELOW = 0.5
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not use."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least REJECT_BELOW. The classifier learns from labelled rows outside the held-out fold."""
     model = quality.fit(labelled_sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "quality", fold("doc_id", 4) == 2, quality.SAMPLE))
@@ -31,19 +38,20 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id, and rows that share one, are judged by their own texts; of rows equal in id and text one stays, if they have words."""
     found = hyperminhash.near_duplicates(docs, "doc_id", "text", width=5, percent=80).filter("first AND n_shingles > 0")
-    lead = found.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.count("*").alias("__n"))
-    own = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
+    at, th, n = (free(docs, c) for c in ("at", "th", "n"))
+    lead = found.groupBy(F.col("doc_id").alias(at), F.col("th").alias(th)).agg(F.count("*").alias(n))
     words = F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    single = docs.filter(words).join(lead, own).select(*[docs[c] for c in docs.columns], "__n", F.col("__th"))
-    once = single.filter("__n = 1").unionByName(single.filter("__n > 1").dropDuplicates(["doc_id", "__th"]))
+    single = docs.filter(words).join(lead, docs["doc_id"].eqNullSafe(lead[at]) & (F.xxhash64(docs["text"]) == lead[th]))
+    once = single.filter(F.col(n) == 1).unionByName(single.filter(F.col(n) > 1).dropDuplicates(["doc_id", th]))
     return once.select(*docs.columns).unionByName(docs.filter(~words))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of ten words of a benchmark item."""
     hits = decontam.matches(docs, "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text", width=10)
-    hits = hits.select(F.col("doc").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["__id"]) & (F.xxhash64(docs["text"]) == hits["__th"]), "left_anti")
+    at, th = free(docs, "at"), free(docs, "th")
+    hits = hits.select(F.col("doc").alias(at), F.col("th").alias(th)).distinct()
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits[at]) & (F.xxhash64(docs["text"]) == hits[th]), "left_anti")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import remembered
+from engram.llm.common import broadcast_below, remembered
 from engram.operators.graph import components
 from engram.session import cut_lineage
 
@@ -166,14 +166,23 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, th long, n_shingles long, set_hi long, set_lo long, reg binary")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (src, dst) whose full shingle sets reach `percent`. `texts`: (doc, text) of at least the documents in the pairs.
+SMALL = 500_000                 # rows of (node, id, hash) that may be broadcast (some 40 bytes each)
 
-    Sets are made once per document that occurs in a pair and sent to its pairs."""
+
+def full_sets(named: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc, s): the full shingle sets of the wanted nodes (doc). named: (id, hash, text) of all documents; nodes: (doc, rep), the
+    document that stands for a node. Texts stay where they are while few nodes are wanted; sets and no texts are shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], names=["doc", "s"])
 
+    few = broadcast_below(cut_lineage(nodes.join(wanted, "doc", "left_semi").select("doc", F.col("rep.doc").alias("at"), F.col("rep.th").alias("th"))), SMALL)
+    texts = named.join(few, F.col("id").eqNullSafe(F.col("at")) & (F.col("hash") == F.col("th"))).select("doc", "text")
+    return texts.mapInArrow(run, "doc long, s binary").dropDuplicates(["doc"])      # rows may repeat
+
+
+def confirmed(pairs: DataFrame, named: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (src, dst) whose full shingle sets reach `percent`. Sets are made once per document that occurs in a pair."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -184,8 +193,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             got = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["src", "dst"])
 
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("doc")).distinct()
-    sets = texts.join(ends, "doc", "left_semi").mapInArrow(run, "doc long, s binary")
+    sets = full_sets(named, nodes, pairs.select(F.explode(F.array("src", "dst")).alias("doc")).distinct(), width)
     both = (pairs.join(sets.select(F.col("doc").alias("src"), F.col("s").alias("a")), "src")
             .join(sets.select(F.col("doc").alias("dst"), F.col("s").alias("b")), "dst"))
     return both.select("src", "dst", "a", "b").mapInArrow(keep, "src long, dst long")
@@ -303,13 +311,9 @@ def grouped(df: DataFrame) -> DataFrame:
     return df.repartition(n, "key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
 
 
-def open_links(lists: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def open_links(lists: DataFrame, named: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """(src, dst): the pairs of `open_lists` that full sets confirm. A set goes once to each group in which its document has a pair."""
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], names=["doc", "s"])
-
-    sets = texts.join(lists.select("doc").distinct(), "doc", "left_semi").mapInArrow(make, "doc long, s binary")
+    sets = full_sets(named, nodes, lists.select("doc").distinct(), width)
     rows = lists.join(sets, "doc").select("key", "ta", "tb", "doc", "s", "dsts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,14 +369,12 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5,
     crowded = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = cut_lineage(bands.join(crowded, "key", "left_semi"))
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    # only sets with a crowded bucket are ever compared in full
-    near = reps.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "rep")
-    texts = named.join(near, F.col("id").eqNullSafe(F.col("rep.doc")) & (F.col("hash") == F.col("rep.th"))).dropDuplicates(["doc"]).select("doc", "text")
+    nodes = reps.select("doc", "rep")
     sketched = reps.drop("rep")
     first = cut_lineage(hub_pairs(members, sketched, percent))
-    linked = cut_lineage(confirmed(first, texts, width, percent))
+    linked = cut_lineage(confirmed(first, named, nodes, width, percent))
     labels = components(linked)
-    rest = cut_lineage(open_links(cut_lineage(open_lists(members, labels, sketched, percent)), texts, width, percent))
+    rest = cut_lineage(open_links(cut_lineage(open_lists(members, labels, sketched, percent)), named, nodes, width, percent))
     if rest.limit(1).count():
         labels = components(linked.unionByName(rest))
     by_class = reps.join(labels, reps.doc == labels.node, "left").select("set_hi", "set_lo", "rep", F.coalesce("component", "doc").alias("group"))

@@ -196,3 +196,17 @@ def test_match_null_counts_every_roll_once(spark, shuffles):
     assert got == want
     at = np.flatnonzero(asked)
     assert [N.rolled_hits(at, px[at], py[at], x, y, reach, 4.0)[(10 + number(0, "s", k) % 40) % n] for k in want] == [h for _, h in want.values()]
+
+
+def test_multiplied_rows_are_not_shuffled(spark):
+    rows = [(None if c == 3 else c, f, float((f or 0) % 5)) for c in range(4) for f in (0, 7, 7, 11, None)]
+    act = spark.createDataFrame(rows, "cell_id bigint, frame bigint, f double")
+    rolled = Q.digest(N.circ_shift(act, "cell_id", "frame", F.lit(50), 30), ["cell_id", "shuffle"], "frame")
+    moved = Q.digest(N.shuffle_times(act, "cell_id", "frame", 5, 0, 50, 30), ["cell_id", "iteration"], "frame")
+    for df, name, first in ((rolled, "shuffle", 0), (moved, "iteration", 1)):
+        assert df._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0].count("Exchange") == 0
+        assert {(r["cell_id"], r[name]) for r in df.collect()} == {(c, k) for c in (0, 1, 2, None) for k in range(first, 31)}
+    for r in rolled.collect():
+        s = 0 if r["shuffle"] == 0 else 10 + number(0, *([] if r["cell_id"] is None else [r["cell_id"]]), r["shuffle"]) % 30
+        want = [(f + s) % 50 for f in (0, 7, 7, 11)]
+        assert (r["n"], r["first"], r["last"], r["total"]) == (5, min(want), max(want), sum(want))

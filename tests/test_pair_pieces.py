@@ -74,3 +74,16 @@ def test_a_crowded_square_is_met_in_pieces(spark, monkeypatch):
     assert "_p#" in out._jdf.queryExecution().optimizedPlan().toString()      # the piece is part of the join key
     want = {(a, b): np.hypot(ax - bx, ay - by) for (a, ax, ay), (b, bx, by) in itertools.combinations(at, 2) if np.hypot(ax - bx, ay - by) <= 1.2}
     assert {(r["a"], r["b"]): r["distance"] for r in out.collect()} == pytest.approx(want) and len(want) > 100
+
+
+def test_all_correlations_without_a_join(spark):
+    rng = np.random.default_rng(8)
+    m = np.where(rng.random((9, 12)) < 0.5, rng.random((9, 12)), 0.0)
+    m[0, 6:], m[1, :6] = 0.0, 0.0      # these two share no bin
+    rows = [(c, int(10**10 * b), float(m[c, b])) for c in range(9) for b in range(12) if m[c, b]]
+    df = spark.createDataFrame(rows + [(None, 0, 1.0), (0, 5, 0.0), (0, 5, None)], "cell bigint, bin bigint, v double")
+    out = P.pearson_pairs(df, [], "cell", "bin", "v", 12, tiles=2)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["a"], r["b"]): r["r"] for r in out.collect()}
+    assert got.keys() == {(a, b) for b in range(9) for a in range(b)}
+    assert all(abs(v - np.corrcoef(m[a], m[b])[0, 1]) < 1e-9 for (a, b), v in got.items())

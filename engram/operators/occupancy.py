@@ -9,7 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from engram.functions.blocks import sequence
+from engram.functions.blocks import dealt, sequence
 from engram.functions.ranks import numbered
 from engram.functions.exprs import col, histogram_bin, ratio
 
@@ -181,7 +181,7 @@ def egocentric_map(df: DataFrame, keys: list[str], x: str, y: str, heading: Colu
     step = 2 * math.pi / n_angles
     span = math.sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)
     # (x, y, heading) repeats are counted before the angles multiply the rows.
-    base = df.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), heading.alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
+    base = dealt(df, *keys)[0].groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), heading.alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
     a = F.pmod(F.col("angle") * step + F.col("_h"), F.lit(2 * math.pi))
     wx = F.when(F.abs(a - math.pi) < math.pi / 2, F.lit(float(x0))).otherwise(F.lit(float(x1)))
     wy = F.when(a > math.pi, F.lit(float(y0))).otherwise(F.lit(float(y1)))

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from engram.functions.blocks import frame_block, with_halo, block_window, core
+from engram.functions.blocks import dealt, frame_block, with_halo, block_window, core
 from engram.functions.exprs import rounded as r
 from engram.operators import occupancy as O
 from engram.plans.registry import query
@@ -33,7 +33,7 @@ def angle():
 
 
 def unit_map(spark, d):
-    return O.tuning_map(S.tracking(spark, d), ["unit"], ix(), iy(), "signal")
+    return O.tuning_map(dealt(S.tracking(spark, d), "unit")[0], ["unit"], ix(), iy(), "signal")
 
 
 @query("rate_map_stats", with_views("tracking", TMAP, STATS, """SELECT unit, round(mean_rate, 4) + 0.0 AS mean_rate,

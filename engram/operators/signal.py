@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from engram.functions import kernels as K
 from engram.functions.exprs import ratio, with_key_aggregates
@@ -245,14 +245,14 @@ def welch(df: DataFrame, keys, frame, value, segment: int, rate: float) -> DataF
     q = F.floor(F.col(frame) / half)
     seg = (df.join(ext, keys).withColumn("_seg", F.explode(F.array(q - 1, q)))
              .filter((F.col("_seg") >= 0) & (F.col("_seg") * half + segment <= F.col("_n"))))
-    mean = seg.groupBy(*keys, "_seg").agg(F.avg(value).alias("_m"))
+    seg = seg.withColumn("_m", F.avg(value).over(W.partitionBy(*keys, "_seg")))      # a segment is short; a join would shuffle every frame
     k = F.col(frame) - F.col("_seg") * half
     win = 0.5 - 0.5 * F.cos(k * F.lit(2 * math.pi / segment))
     x = (F.col(value) - F.col("_m")) * win
     hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(segment) / segment)
     scale = 2.0 / (rate * float((hann ** 2).sum()))
     freqs = [i * rate / segment for i in range(half + 1)]
-    parts = _fourier(seg.join(mean, [*keys, "_seg"]), [*keys, "_seg"], k / F.lit(float(rate)), x, freqs)
+    parts = _fourier(seg, [*keys, "_seg"], k / F.lit(float(rate)), x, freqs)
     p = (F.col("c") * F.col("c") + F.col("s") * F.col("s")) * F.lit(scale) * F.when(F.col("k").isin(*([0, half] if segment % 2 == 0 else [0])), 0.5).otherwise(1.0)
     return parts.groupBy(*keys, "freq").agg(F.sqrt(F.avg(p)).alias("density"))
 

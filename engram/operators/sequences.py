@@ -283,11 +283,11 @@ def dlc_median_part(df: DataFrame, keys: list[str], frame: str, x: str, y: str)
     return df.groupBy(*keys, frame).agg(F.median(x).alias("x"), F.median(y).alias("y"))
 
 
-def dlc_short_segments(df: DataFrame, keys: list[str], frame: str, x: str, y: str, min_length: int, fill: int) -> DataFrame:
-    """Blank valid stretches shorter than ``min_length``; fill blanks with the median of frames -fill..fill-1."""
-    runs = run_bounds(df, keys, [frame], frame_block(frame), F.col(x).isNotNull(), frame)
-    short = F.col("state") & (F.col("run_end") - F.col("run_start") + 1 < min_length)
-    cut = runs.withColumns({x: F.when(~short, F.col(x)), y: F.when(~short, F.col(y))}).select(*df.columns)
+def dlc_short_segments(df: DataFrame, keys: list[str], frame: str, x: str, y: str, min_length: int, fill: int, short: bool = False) -> DataFrame:
+    """Blank valid stretches shorter than ``min_length``; fill blanks with the median of frames -fill..fill-1. ``short`` keys fit a task each."""
+    runs = run_bounds(df, keys, [frame], frame_block(frame), F.col(x).isNotNull(), frame, short)
+    brief = F.col("state") & (F.col("run_end") - F.col("run_start") + 1 < min_length)
+    cut = runs.withColumns({x: F.when(~brief, F.col(x)), y: F.when(~brief, F.col(y))}).select(*df.columns)
     w = block_window(keys, frame).rangeBetween(-fill, fill - 1)
     halo = with_halo(cut, frame, fill, fill)
     med = halo.withColumn("_mx", F.percentile(x, F.lit(0.5)).over(w)).withColumn("_my", F.percentile(y, F.lit(0.5)).over(w))

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from engram.functions import kernels as K
-from engram.functions.blocks import frame_block
+from engram.functions.blocks import dealt, frame_block
 from engram.functions.exprs import rounded as r
 from engram.operators import sequences as Q, signal as G
 from engram.plans.registry import query
@@ -15,6 +15,7 @@ from engram.sources.tables import with_views
 CELL = ["cell_id"]
 SES = ["session"]
 BLOCK = frame_block
+PARTS = 4096   # rows of a frame whose median one aggregation holds
 MINUTE = S.MINUTE_US
 
 
@@ -379,14 +380,17 @@ def dlc_jump(spark, d):
     WINDOW w AS (PARTITION BY session ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)"""))
 def dlc_short_segments(spark, d):
     j = Q.dlc_jump(S.track(spark, d), SES, "frame", "x", "y", 30.0).select("session", "frame", "x", "y")
-    return Q.dlc_short_segments(j, SES, "frame", "x", "y", 3, 5)
+    return Q.dlc_short_segments(j, SES, "frame", "x", "y", 3, 5, short=S.short_tracks(spark, d))
 
 
 @query("dlc_median_part", with_views("tracking", "SELECT unit, t AS frame, median(x) AS x, median(y) AS y FROM tracking GROUP BY 1, 2"))
 def dlc_median_part(spark, d):
     # The rows of one unit and day stand for the body parts of one frame; exact at any group size.
     from engram.functions.quantiles import exact_quantile
-    t = S.tracking(spark, d).withColumnRenamed("t", "frame")
+    t, _ = dealt(S.tracking(spark, d).select("unit", F.col("t").alias("frame"), "x", "y").dropna(subset=["unit", "frame"]), "unit")
+    most = t.groupBy("unit", "frame").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if (most or 0) <= PARTS:
+        return Q.dlc_median_part(t, ["unit"], "frame", "x", "y").filter("x is not null and y is not null")
     mx, my = (exact_quantile(t, ["unit", "frame"], c, 0.5, c) for c in ("x", "y"))
     return mx.join(my, ["unit", "frame"])
 

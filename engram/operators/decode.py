@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from engram.functions.blocks import frame_block, sequence
+from engram.functions.blocks import frame_block, sequence, spread
 from engram.functions.exprs import ratio
 from engram.functions.quantiles import exact_quantile
 from engram.session import cut_lineage
@@ -78,6 +77,8 @@ def transition_matrix(located: DataFrame, frame: str, label: str) -> DataFrame:
 
 
 PIVOTS = 4096      # cells of the quantiser at most; their centres are sent to every task
+MEET = 16384       # states of a tile that meets others
+PART = 1024        # states of a tile that are compared at once, with twice as many
 
 
 def knn_sum(states: DataFrame, frame: str, vec: str, k: int = 6, slab_rows: int = 4096) -> DataFrame:
@@ -86,78 +87,120 @@ def knn_sum(states: DataFrame, frame: str, vec: str, k: int = 6, slab_rows: int
     Equal states are counted once with their number.  States belong to the nearest of some pivots (up to PIVOTS of them, drawn by a hash);
     a crowded cell is cut in pieces of about ``slab_rows``.  The neighbours in its own piece bound how far a state can look.  What
     lies in another cell is at least as far as the distance to its pivot less the radius of the cell, and as half of what that
-    pivot is farther away than the own one; only cells within reach are compared, piece by piece.
+    pivot is farther away than the own one.  Neighbouring cells share a tile of about MEET states; a state travels once per tile
+    within reach of its own, never once per piece, and a task compares the cells of two tiles that are within reach.
     """
     points = cut_lineage(states.groupBy(vec).agg(F.count(F.lit(1)).alias("_c"), F.min(frame).cast("long").alias("_id")))
     total = points.count()
     drawn = points.select("_id", vec).orderBy(F.xxhash64("_id"), "_id").limit(min(PIVOTS, max(1, -(-2 * total // slab_rows)))).collect()
     spark = states.sparkSession
-    pivots = spark.sparkContext.broadcast(np.array([r[1] for r in drawn], dtype=float))
+    centres = np.array([r[1] for r in drawn], dtype=float)
+    pivots = spark.sparkContext.broadcast(centres)
     array = points.schema[vec].dataType
 
-    def distances(batch: pa.RecordBatch) -> np.ndarray:
-        x = batch.column(vec).flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
-        return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots.value], axis=1)
+    def to(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+        return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in some], axis=1)
 
     def assign(batches):
         for batch in batches:
-            if batch.num_rows:
-                away = distances(batch)
-                cell = away.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away.min(axis=1))], names=[*batch.schema.names, "_cell", "_away"])
+            x = batch.column(vec).flatten().to_numpy().astype(float).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+            for lo in range(0, batch.num_rows, PART):
+                away = to(x[lo:lo + PART], pivots.value)
+                part = batch.slice(lo, PART)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(away.argmin(axis=1).astype(np.int32)), pa.array(away.min(axis=1))], names=[*batch.schema.names, "_cell", "_away"])
 
     placed = cut_lineage(points.select("_id", vec, "_c").mapInArrow(assign, T.StructType([T.StructField("_id", T.LongType()), T.StructField(vec, array), T.StructField("_c", T.LongType()),
                                                                                           T.StructField("_cell", T.IntegerType()), T.StructField("_away", T.DoubleType())])))
-    cells = placed.groupBy("_cell").agg(F.max("_away").alias("_radius"), F.ceil(F.count(F.lit(1)) / slab_rows).cast("int").alias("_pieces"))
-    known = spark.sparkContext.broadcast([(r["_cell"], r["_radius"], r["_pieces"]) for r in cells.collect()])     # at most PIVOTS rows
-    points = placed.join(F.broadcast(cells), "_cell").withColumn("_piece", F.pmod(F.xxhash64("_id"), F.col("_pieces")).cast("int")).drop("_pieces", "_radius")
+    cells = placed.groupBy("_cell").agg(F.max("_away").alias("_radius"), F.count(F.lit(1)).alias("_size"), F.ceil(F.count(F.lit(1)) / slab_rows).cast("int").alias("_pieces"))
+    points = placed.join(F.broadcast(cells), "_cell").withColumn("_piece", F.pmod(F.xxhash64("_id"), F.col("_pieces")).cast("int")).drop("_pieces", "_radius", "_size")
     place = ["_cell", "_piece"]
 
     def nearest(x, y, count):
         d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(2), 0)) if len(x) * len(y) * x.shape[1] < 2e7 else \
             np.stack([np.sqrt(((y - row) ** 2).sum(1)) for row in x])
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        dist = np.take_along_axis(d, order, 1)
-        return [[float(v) for v, c in zip(dr, count[o]) for _ in range(min(int(c), k))][:k] for dr, o in zip(dist, order)]
+        return several(np.take_along_axis(d, order, 1), count[order])
 
-    own_schema = f"`_id` bigint, `{vec}` array<double>, `_cell` int, `_piece` int, `_near` array<double>"
+    def several(dist, count):
+        """The k least of distances in order, each as often as its state occurs."""
+        return [[float(v) for v, c in zip(dr, cr) for _ in range(min(int(c), k))][:k] for dr, cr in zip(dist, count)]
+
+    own_schema = f"`_id` bigint, `{vec}` array<double>, `_c` bigint, `_cell` int, `_piece` int, `_near` array<double>"
 
     def own(pdf):
         x = np.stack(pdf[vec].to_numpy())
-        return pdf[["_id", vec, *place]].assign(_near=nearest(x, x, pdf["_c"].to_numpy()))
+        return pdf[["_id", vec, "_c", *place]].assign(_near=nearest(x, x, pdf["_c"].to_numpy()))
 
     first = cut_lineage(points.groupBy(*place).applyInPandas(own, own_schema))
     reach = F.when(F.size("_near") >= k, F.element_at("_near", k)).otherwise(F.lit(float("inf")))
-    plain = T.StructType([T.StructField("_id", T.LongType()), T.StructField(vec, T.ArrayType(T.DoubleType())), T.StructField("_cell", T.IntegerType()), T.StructField("_piece", T.IntegerType())])
-
-    def visits(batches):
-        cell, radius, pieces = (np.array(v) for v in zip(*known.value))
-        for batch in batches:
-            if not batch.num_rows:
+    asked = first.select("_id", vec, "_c", *place, reach.alias("_reach"))
+    # at most PIVOTS rows: cells along the widest axis of their pivots, the states before each, and how far its own can look
+    known = cells.join(asked.groupBy("_cell").agg(F.max("_reach").alias("_far")), "_cell").select("_cell", "_radius", "_size", "_pieces", "_far").collect()
+    cell, radius, size, pieces, far = (np.array(v) for v in zip(*known)) if known else (np.zeros(0, int),) * 5
+    along = np.argsort(centres[cell][:, centres.std(axis=0).argmax()], kind="stable") if known else cell
+    cell, radius, size, pieces, far = (v[along] for v in (cell, radius, size, pieces, far))
+    ahead = np.cumsum(size) - size
+    tiles = int((ahead + (pieces - 1) * slab_rows).max(initial=0)) // MEET + 1
+    there = np.zeros((len(cell), tiles), np.float32)
+    for row, lo, n in zip(there, ahead, pieces):
+        row[lo // MEET:(lo + (n - 1) * slab_rows) // MEET + 1] = 1
+    met = np.zeros((tiles, tiles), bool)
+    for i in range(len(cell)):
+        gap = np.sqrt(((centres[cell] - centres[cell[i]]) ** 2).sum(1)) - radius - radius[i]
+        near = gap <= np.maximum(far, far[i]) * (1 + 1e-9) + 1e-9
+        met |= (there[i][:, None] > 0) & (there[near].max(axis=0) > 0)[None, :]
+    pairs = spark.createDataFrame([(int(t), int(o), int(min(t, o)), int(max(t, o))) for t, o in np.argwhere(met | met.T)], "_t int, _o int, _ti int, _tj int")
+    start = spark.createDataFrame([(int(c), int(n)) for c, n in zip(cell, ahead)], "_cell int, _ahead long")
+    bounds = spark.sparkContext.broadcast({int(c): float(v) for c, v in zip(cell, radius)})
+    tiled = asked.join(F.broadcast(start), "_cell").withColumn("_t", F.floor((F.col("_ahead") + F.col("_piece") * slab_rows) / MEET).cast("int")).drop("_ahead")
+    sent = spread(tiled.join(F.broadcast(pairs), "_t").drop("_o"), "_ti", "_tj")
+    answer = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_near", T.ArrayType(T.DoubleType()))])
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_cell", "ascending"), ("_piece", "ascending")])
+        x = table[vec].combine_chunks().flatten().to_numpy().astype(float).reshape(table.num_rows, -1)
+        ids, count, home, piece, look, tile = (table[c].to_numpy() for c in ("_id", "_c", "_cell", "_piece", "_reach", "_t"))
+        norm = (x * x).sum(1)
+        ti, tj = table["_ti"][0].as_py(), table["_tj"][0].as_py()
+        slack = 1e-12 * float(norm.max()) + 1e-18
+        out_ids, out = [], []
+        for mine, other in {(ti, tj), (tj, ti)}:
+            rows, cols = np.flatnonzero(tile == mine), np.flatnonzero(tile == other)
+            if not len(rows) or not len(cols):
                 continue
-            away = distances(batch)
-            mine, part = batch.column("_cell").to_numpy(), batch.column("_piece").to_numpy()
-            at_least = np.maximum(away[:, cell] - radius[None, :], (away[:, cell] - away[np.arange(len(mine)), mine][:, None]) / 2)
-            row, j = np.nonzero(at_least <= (batch.column("_reach").to_numpy() * (1 + 1e-9) + 1e-9)[:, None])
-            # every piece of a cell within reach, but the own one
-            rows, to = np.repeat(row, pieces[j]), np.repeat(j, pieces[j])
-            piece = np.arange(len(rows)) - np.repeat(np.cumsum(pieces[j]) - pieces[j], pieces[j])
-            keep = (cell[to] != mine[rows]) | (piece != part[rows])
-            rows = pa.array(rows[keep])
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(rows), batch.column(vec).take(rows), pa.array(cell[to[keep]].astype(np.int32)), pa.array(piece[keep].astype(np.int32))], names=plain.names)
-
-    sent = cut_lineage(first.select("_id", vec, *place, reach.alias("_reach")).mapInArrow(visits, plain))
-    # A piece asked by many is copied once per slab_rows questions, so every group stays small.
-    parts = sent.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / slab_rows).cast("int").alias("_nq"))
-    sent = sent.join(parts, place).withColumn("_q", F.pmod(F.xxhash64("_id"), F.col("_nq")).cast("int")).drop("_nq")
-    held = points.join(parts, place).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))).drop("_nq")
-
-    def other(q, p):
-        if not len(q) or not len(p):
-            return pd.DataFrame({"_id": [], "_near": []})
-        return pd.DataFrame({"_id": q["_id"].to_numpy(), "_near": nearest(np.stack(q[vec].to_numpy()), np.stack(p[vec].to_numpy()), p["_c"].to_numpy())})
-
-    rest = sent.groupBy(*place, "_q").cogroup(held.groupBy(*place, "_q")).applyInPandas(other, "`_id` bigint, `_near` array<double>")
+            met, at = np.unique(home[cols], return_inverse=True)
+            wide = np.array([bounds.value[c] for c in met])
+            for lo in range(0, len(rows), PART):
+                q = rows[lo:lo + PART]
+                limit = look[q] * (1 + 1e-9) + 1e-9
+                away = to(x[q], pivots.value[met])
+                base = np.sqrt(((x[q] - pivots.value[home[q]]) ** 2).sum(1))
+                live = (np.maximum(away - wide[None, :], (away - base[:, None]) / 2) <= limit[:, None]).any(axis=0)
+                p = cols[live[at]]
+                best, who = np.full((len(q), k), np.inf), np.zeros((len(q), k), int)
+                bound = limit * limit + slack
+                for j in range(0, len(p), 2 * PART):
+                    some = p[j:j + 2 * PART]
+                    d = norm[q][:, None] + norm[some][None, :] - 2 * (x[q] @ x[some].T)
+                    if ti == tj:
+                        d[(home[q][:, None] == home[some][None, :]) & (piece[q][:, None] == piece[some][None, :])] = np.inf   # its own piece is known
+                    hit = np.flatnonzero((d <= bound[:, None]).any(axis=1))
+                    if len(hit):
+                        both = np.concatenate([best[hit], d[hit]], axis=1)
+                        names = np.concatenate([who[hit], np.broadcast_to(some, (len(hit), len(some)))], axis=1)
+                        least = np.argpartition(both, k - 1, axis=1)[:, :k]
+                        best[hit], who[hit] = np.take_along_axis(both, least, 1), np.take_along_axis(names, least, 1)
+                        bound[hit] = np.minimum(bound[hit], best[hit].max(axis=1) + slack)
+                found = np.flatnonzero(np.isfinite(best).any(axis=1))
+                dist = np.sqrt(((x[q[found]][:, None, :] - x[who[found]]) ** 2).sum(2))      # products choose, differences measure
+                dist[~np.isfinite(best[found])] = np.inf
+                order = np.argsort(dist, axis=1, kind="stable")
+                dist, named = np.take_along_axis(dist, order, 1), np.take_along_axis(who[found], order, 1)
+                out_ids.append(ids[q[found]])
+                out += several(dist, np.where(np.isfinite(dist), count[named], 0))
+        return pa.table([pa.array(np.concatenate(out_ids) if out_ids else [], pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=answer.names)
+
+    rest = sent.groupBy("_ti", "_tj").applyInArrow(meet, answer)
     merged = (first.select("_id", "_near").unionByName(rest).groupBy("_id")
               .agg(F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, k).alias("_near")))
     sums = points.select("_id", vec).join(merged, "_id").select(vec, F.aggregate("_near", F.lit(0.0), lambda t, v: t + v).alias("knn"))

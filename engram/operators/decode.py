@@ -79,6 +79,7 @@ def transition_matrix(located: DataFrame, frame: str, label: str) -> DataFrame:
 PIVOTS = 4096      # cells of the quantiser at most; their centres are sent to every task
 MEET = 16384       # states of a tile that meets others
 PART = 1024        # states of a tile that are compared at once, with twice as many
+MEASURED = 1 << 16 # pairs whose distance is made from differences at once
 
 
 def knn_sum(states: DataFrame, frame: str, vec: str, k: int = 6, slab_rows: int = 4096) -> DataFrame:
@@ -160,9 +161,10 @@ def knn_sum(states: DataFrame, frame: str, vec: str, k: int = 6, slab_rows: int
         table = table.sort_by([("_cell", "ascending"), ("_piece", "ascending")])
         x = table[vec].combine_chunks().flatten().to_numpy().astype(float).reshape(table.num_rows, -1)
         ids, count, home, piece, look, tile = (table[c].to_numpy() for c in ("_id", "_c", "_cell", "_piece", "_reach", "_t"))
-        norm = (x * x).sum(1)
+        z = x - x.mean(axis=0)
+        norm = (z * z).sum(1)
         ti, tj = table["_ti"][0].as_py(), table["_tj"][0].as_py()
-        slack = 1e-12 * float(norm.max()) + 1e-18
+        slack = 1e-13 * float(norm.max())       # of a squared distance that is made from products
         out_ids, out = [], []
         for mine, other in {(ti, tj), (tj, ti)}:
             rows, cols = np.flatnonzero(tile == mine), np.flatnonzero(tile == other)
@@ -178,22 +180,28 @@ def knn_sum(states: DataFrame, frame: str, vec: str, k: int = 6, slab_rows: int
                 live = (np.maximum(away - wide[None, :], (away - base[:, None]) / 2) <= limit[:, None]).any(axis=0)
                 p = cols[live[at]]
                 best, who = np.full((len(q), k), np.inf), np.zeros((len(q), k), int)
-                bound = limit * limit + slack
+                bound = limit * limit
                 for j in range(0, len(p), 2 * PART):
                     some = p[j:j + 2 * PART]
-                    d = norm[q][:, None] + norm[some][None, :] - 2 * (x[q] @ x[some].T)
+                    d = norm[q][:, None] + norm[some][None, :] - 2 * (z[q] @ z[some].T)
                     if ti == tj:
                         d[(home[q][:, None] == home[some][None, :]) & (piece[q][:, None] == piece[some][None, :])] = np.inf   # its own piece is known
-                    hit = np.flatnonzero((d <= bound[:, None]).any(axis=1))
+                    hit = np.flatnonzero((d <= bound[:, None] + slack).any(axis=1))
                     if len(hit):
+                        # products choose, differences measure: what may be among the k least is measured
                         both = np.concatenate([best[hit], d[hit]], axis=1)
+                        most = np.minimum(np.partition(both, k - 1, axis=1)[:, k - 1] + 2 * slack, bound[hit] + slack)
+                        i, c = np.nonzero((both[:, k:] <= most[:, None]) & np.isfinite(both[:, k:]))
+                        both[:, k:] = np.inf
+                        for e in range(0, len(i), MEASURED):
+                            one, two = i[e:e + MEASURED], c[e:e + MEASURED]
+                            both[one, k + two] = ((x[q[hit[one]]] - x[some[two]]) ** 2).sum(1)
                         names = np.concatenate([who[hit], np.broadcast_to(some, (len(hit), len(some)))], axis=1)
                         least = np.argpartition(both, k - 1, axis=1)[:, :k]
                         best[hit], who[hit] = np.take_along_axis(both, least, 1), np.take_along_axis(names, least, 1)
-                        bound[hit] = np.minimum(bound[hit], best[hit].max(axis=1) + slack)
+                        bound[hit] = np.minimum(bound[hit], best[hit].max(axis=1))
                 found = np.flatnonzero(np.isfinite(best).any(axis=1))
-                dist = np.sqrt(((x[q[found]][:, None, :] - x[who[found]]) ** 2).sum(2))      # products choose, differences measure
-                dist[~np.isfinite(best[found])] = np.inf
+                dist = np.sqrt(best[found])
                 order = np.argsort(dist, axis=1, kind="stable")
                 dist, named = np.take_along_axis(dist, order, 1), np.take_along_axis(who[found], order, 1)
                 out_ids.append(ids[q[found]])

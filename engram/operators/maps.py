@@ -93,15 +93,13 @@ def grid_stats(peaks: DataFrame, keys: list[str], min_orientation: float = 15.0,
     Of two peaks in nearly the same direction the farther one is left out; units with fewer than
     six peaks give nothing.
     """
+    # An autocorrelogram has few peaks, so those of a unit are compared as one array; the peaks are made once.
     d = F.sqrt(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"))
-    p = peaks.withColumn("_d", d).withColumn("_a", F.atan2("dy", "dx"))
-    many = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 6").select(*keys)
-    p = p.join(many, keys, "left_semi")
-    q = p.select(*keys, F.col("_d").alias("_d2"), F.col("_a").alias("_a2"), F.col("dy").alias("_y2"), F.col("dx").alias("_x2"))
-    turn = F.abs(F.atan2(F.sin(F.col("_a") - F.col("_a2")), F.cos(F.col("_a") - F.col("_a2"))))
-    behind = (F.struct("_d", "dy", "dx") > F.struct("_d2", "_y2", "_x2")) & (turn < F.lit(min_orientation * 3.141592653589793 / 180))
-    shadow = p.join(q, keys).filter(behind).select(*keys, "dy", "dx").distinct()
-    six = nearest6(p.join(shadow, [*keys, "dy", "dx"], "left_anti").drop("_d", "_a"), keys)
+    p = peaks.dropna(subset=keys).groupBy(*keys).agg(F.collect_list(F.struct(d.alias("_d"), "dy", "dx", F.atan2("dy", "dx").alias("_a"))).alias("_p")).filter(F.size("_p") >= 6)
+    turn = lambda a, b: F.abs(F.atan2(F.sin(a["_a"] - b["_a"]), F.cos(a["_a"] - b["_a"])))
+    place = lambda a: F.struct(a["_d"], a["dy"], a["dx"])
+    behind = lambda a: F.exists("_p", lambda b: (place(a) > place(b)) & (turn(a, b) < F.lit(min_orientation * 3.141592653589793 / 180)))
+    six = nearest6(p.select(*keys, F.inline(F.filter("_p", lambda a: ~behind(a)))).drop("_d", "_a"), keys)
     first = six.filter("rank <= 3")
     o = F.pmod(F.degrees("angle"), F.lit(60.0))
     return (first.withColumn("_o", F.when(60 - o < o, o - 60).otherwise(o)).groupBy(*keys)

@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from engram.functions import kernels as K
+from engram.functions.blocks import dealt
 from engram.functions.exprs import rounded as r
 from engram.operators import fields as D, maps as M, occupancy as O, pairs as P, signal as G
 from engram.plans.q_maps import IX, IY, TMAP, ix, iy, unit_map
 from engram.plans.q_pairs import P28
 from engram.plans.registry import query
+from engram.session import Rounds
 from engram.sources import tables as S
 from engram.sources.tables import with_views
 
@@ -130,7 +132,7 @@ COARSE = (11, 10)
 
 def coarse_acorr(spark, d):
     """Autocorrelogram of coarse maps that have hardly any unvisited bin, smooth enough to have a centre field."""
-    m = O.tuning_map(S.tracking(spark, d), UNIT, F.floor((F.col("x") - 1) / 5).cast("int"), iy(), "signal").select("unit", "iy", "ix", "rate")
+    m = O.tuning_map(dealt(S.tracking(spark, d), "unit")[0], UNIT, F.floor((F.col("x") - 1) / 5).cast("int"), iy(), "signal").select("unit", "iy", "ix", "rate")
     sm = G.gauss_smooth(m, UNIT, "rate", 3.0, COARSE).select("unit", "iy", "ix", "smooth")
     return D.autocorrelogram(sm, UNIT, "smooth", COARSE)
 
@@ -141,7 +143,8 @@ def grid_score(spark, d):
 
 
 def _grid_peaks(spark, d):
-    ac = coarse_acorr(spark, d)
+    # scores and peaks read the same autocorrelograms, which are made once
+    ac = Rounds(spark, "acorr").write("acorr", coarse_acorr(spark, d))
     return D.grid_peaks(ac, D.grid_score(ac, UNIT), UNIT, 0)
 
 

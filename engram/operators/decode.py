@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
@@ -77,6 +78,7 @@ def transition_matrix(located: DataFrame, frame: str, label: str) -> DataFrame:
 
 
 PIVOTS = 4096      # cells of the quantiser at most; their centres are sent to every task
+ASKED = 8          # pieces that a state asks on average, up to which it travels to each of them
 MEET = 16384       # states of a tile that meets others
 PART = 1024        # states of a tile that are compared at once, with twice as many
 MEASURED = 1 << 16 # pairs whose distance is made from differences at once
@@ -88,8 +90,8 @@ def knn_sum(states: DataFrame, frame: str, vec: str, k: int = 6, slab_rows: int
     Equal states are counted once with their number.  States belong to the nearest of some pivots (up to PIVOTS of them, drawn by a hash);
     a crowded cell is cut in pieces of about ``slab_rows``.  The neighbours in its own piece bound how far a state can look.  What
     lies in another cell is at least as far as the distance to its pivot less the radius of the cell, and as half of what that
-    pivot is farther away than the own one.  Neighbouring cells share a tile of about MEET states; a state travels once per tile
-    within reach of its own, never once per piece, and a task compares the cells of two tiles that are within reach.
+    pivot is farther away than the own one; only what lies within reach is compared.  Where the states ask few pieces, they travel to
+    these.  Else neighbouring cells share a tile of about MEET states, and a state travels once per tile within reach of its own.
     """
     points = cut_lineage(states.groupBy(vec).agg(F.count(F.lit(1)).alias("_c"), F.min(frame).cast("long").alias("_id")))
     total = points.count()
@@ -140,75 +142,123 @@ def knn_sum(states: DataFrame, frame: str, vec: str, k: int = 6, slab_rows: int
     cell, radius, size, pieces, far = (np.array(v) for v in zip(*known)) if known else (np.zeros(0, int),) * 5
     along = np.argsort(centres[cell][:, centres.std(axis=0).argmax()], kind="stable") if known else cell
     cell, radius, size, pieces, far = (v[along] for v in (cell, radius, size, pieces, far))
-    ahead = np.cumsum(size) - size
-    tiles = int((ahead + (pieces - 1) * slab_rows).max(initial=0)) // MEET + 1
-    there = np.zeros((len(cell), tiles), np.float32)
-    for row, lo, n in zip(there, ahead, pieces):
-        row[lo // MEET:(lo + (n - 1) * slab_rows) // MEET + 1] = 1
-    met = np.zeros((tiles, tiles), bool)
-    for i in range(len(cell)):
-        gap = np.sqrt(((centres[cell] - centres[cell[i]]) ** 2).sum(1)) - radius - radius[i]
-        near = gap <= np.maximum(far, far[i]) * (1 + 1e-9) + 1e-9
-        met |= (there[i][:, None] > 0) & (there[near].max(axis=0) > 0)[None, :]
-    pairs = spark.createDataFrame([(int(t), int(o), int(min(t, o)), int(max(t, o))) for t, o in np.argwhere(met | met.T)], "_t int, _o int, _ti int, _tj int")
-    start = spark.createDataFrame([(int(c), int(n)) for c, n in zip(cell, ahead)], "_cell int, _ahead long")
-    bounds = spark.sparkContext.broadcast({int(c): float(v) for c, v in zip(cell, radius)})
-    tiled = asked.join(F.broadcast(start), "_cell").withColumn("_t", F.floor((F.col("_ahead") + F.col("_piece") * slab_rows) / MEET).cast("int")).drop("_ahead")
-    sent = spread(tiled.join(F.broadcast(pairs), "_t").drop("_o"), "_ti", "_tj")
     answer = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_near", T.ArrayType(T.DoubleType()))])
-
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_cell", "ascending"), ("_piece", "ascending")])
-        x = table[vec].combine_chunks().flatten().to_numpy().astype(float).reshape(table.num_rows, -1)
-        ids, count, home, piece, look, tile = (table[c].to_numpy() for c in ("_id", "_c", "_cell", "_piece", "_reach", "_t"))
-        z = x - x.mean(axis=0)
-        norm = (z * z).sum(1)
-        ti, tj = table["_ti"][0].as_py(), table["_tj"][0].as_py()
-        slack = 1e-13 * float(norm.max())       # of a squared distance that is made from products
-        out_ids, out = [], []
-        for mine, other in {(ti, tj), (tj, ti)}:
-            rows, cols = np.flatnonzero(tile == mine), np.flatnonzero(tile == other)
-            if not len(rows) or not len(cols):
-                continue
-            met, at = np.unique(home[cols], return_inverse=True)
-            wide = np.array([bounds.value[c] for c in met])
-            for lo in range(0, len(rows), PART):
-                q = rows[lo:lo + PART]
-                limit = look[q] * (1 + 1e-9) + 1e-9
-                away = to(x[q], pivots.value[met])
-                base = np.sqrt(((x[q] - pivots.value[home[q]]) ** 2).sum(1))
-                live = (np.maximum(away - wide[None, :], (away - base[:, None]) / 2) <= limit[:, None]).any(axis=0)
-                p = cols[live[at]]
-                best, who = np.full((len(q), k), np.inf), np.zeros((len(q), k), int)
-                bound = limit * limit
-                for j in range(0, len(p), 2 * PART):
-                    some = p[j:j + 2 * PART]
-                    d = norm[q][:, None] + norm[some][None, :] - 2 * (z[q] @ z[some].T)
-                    if ti == tj:
-                        d[(home[q][:, None] == home[some][None, :]) & (piece[q][:, None] == piece[some][None, :])] = np.inf   # its own piece is known
-                    hit = np.flatnonzero((d <= bound[:, None] + slack).any(axis=1))
-                    if len(hit):
-                        # products choose, differences measure: what may be among the k least is measured
-                        both = np.concatenate([best[hit], d[hit]], axis=1)
-                        most = np.minimum(np.partition(both, k - 1, axis=1)[:, k - 1] + 2 * slack, bound[hit] + slack)
-                        i, c = np.nonzero((both[:, k:] <= most[:, None]) & np.isfinite(both[:, k:]))
-                        both[:, k:] = np.inf
-                        for e in range(0, len(i), MEASURED):
-                            one, two = i[e:e + MEASURED], c[e:e + MEASURED]
-                            both[one, k + two] = ((x[q[hit[one]]] - x[some[two]]) ** 2).sum(1)
-                        names = np.concatenate([who[hit], np.broadcast_to(some, (len(hit), len(some)))], axis=1)
-                        least = np.argpartition(both, k - 1, axis=1)[:, :k]
-                        best[hit], who[hit] = np.take_along_axis(both, least, 1), np.take_along_axis(names, least, 1)
-                        bound[hit] = np.minimum(bound[hit], best[hit].max(axis=1))
-                found = np.flatnonzero(np.isfinite(best).any(axis=1))
-                dist = np.sqrt(best[found])
-                order = np.argsort(dist, axis=1, kind="stable")
-                dist, named = np.take_along_axis(dist, order, 1), np.take_along_axis(who[found], order, 1)
-                out_ids.append(ids[q[found]])
-                out += several(dist, np.where(np.isfinite(dist), count[named], 0))
-        return pa.table([pa.array(np.concatenate(out_ids) if out_ids else [], pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=answer.names)
-
-    rest = sent.groupBy("_ti", "_tj").applyInArrow(meet, answer)
+    def meet_in_tiles() -> DataFrame:
+        ahead = np.cumsum(size) - size
+        tiles = int((ahead + (pieces - 1) * slab_rows).max(initial=0)) // MEET + 1
+        there = np.zeros((len(cell), tiles), np.float32)
+        for row, lo, n in zip(there, ahead, pieces):
+            row[lo // MEET:(lo + (n - 1) * slab_rows) // MEET + 1] = 1
+        met = np.zeros((tiles, tiles), bool)
+        for i in range(len(cell)):
+            gap = np.sqrt(((centres[cell] - centres[cell[i]]) ** 2).sum(1)) - radius - radius[i]
+            near = gap <= np.maximum(far, far[i]) * (1 + 1e-9) + 1e-9
+            met |= (there[i][:, None] > 0) & (there[near].max(axis=0) > 0)[None, :]
+        pairs = spark.createDataFrame([(int(t), int(o), int(min(t, o)), int(max(t, o))) for t, o in np.argwhere(met | met.T)], "_t int, _o int, _ti int, _tj int")
+        start = spark.createDataFrame([(int(c), int(n)) for c, n in zip(cell, ahead)], "_cell int, _ahead long")
+        bounds = spark.sparkContext.broadcast({int(c): float(v) for c, v in zip(cell, radius)})
+        tiled = asked.join(F.broadcast(start), "_cell").withColumn("_t", F.floor((F.col("_ahead") + F.col("_piece") * slab_rows) / MEET).cast("int")).drop("_ahead")
+        sent = spread(tiled.join(F.broadcast(pairs), "_t").drop("_o"), "_ti", "_tj")
+
+        def meet(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("_cell", "ascending"), ("_piece", "ascending")])
+            x = table[vec].combine_chunks().flatten().to_numpy().astype(float).reshape(table.num_rows, -1)
+            ids, count, home, piece, look, tile = (table[c].to_numpy() for c in ("_id", "_c", "_cell", "_piece", "_reach", "_t"))
+            z = x - x.mean(axis=0)
+            norm = (z * z).sum(1)
+            ti, tj = table["_ti"][0].as_py(), table["_tj"][0].as_py()
+            slack = 1e-13 * float(norm.max())       # of a squared distance that is made from products
+            out_ids, out = [], []
+            for mine, other in {(ti, tj), (tj, ti)}:
+                rows, cols = np.flatnonzero(tile == mine), np.flatnonzero(tile == other)
+                if not len(rows) or not len(cols):
+                    continue
+                met, at = np.unique(home[cols], return_inverse=True)
+                wide = np.array([bounds.value[c] for c in met])
+                for lo in range(0, len(rows), PART):
+                    q = rows[lo:lo + PART]
+                    limit = look[q] * (1 + 1e-9) + 1e-9
+                    away = to(x[q], pivots.value[met])
+                    base = np.sqrt(((x[q] - pivots.value[home[q]]) ** 2).sum(1))
+                    live = (np.maximum(away - wide[None, :], (away - base[:, None]) / 2) <= limit[:, None]).any(axis=0)
+                    p = cols[live[at]]
+                    best, who = np.full((len(q), k), np.inf), np.zeros((len(q), k), int)
+                    bound = limit * limit
+                    for j in range(0, len(p), 2 * PART):
+                        some = p[j:j + 2 * PART]
+                        d = norm[q][:, None] + norm[some][None, :] - 2 * (z[q] @ z[some].T)
+                        if ti == tj:
+                            d[(home[q][:, None] == home[some][None, :]) & (piece[q][:, None] == piece[some][None, :])] = np.inf   # its own piece is known
+                        hit = np.flatnonzero((d <= bound[:, None] + slack).any(axis=1))
+                        if len(hit):
+                            # products choose, differences measure: what may be among the k least is measured
+                            both = np.concatenate([best[hit], d[hit]], axis=1)
+                            most = np.minimum(np.partition(both, k - 1, axis=1)[:, k - 1] + 2 * slack, bound[hit] + slack)
+                            i, c = np.nonzero((both[:, k:] <= most[:, None]) & np.isfinite(both[:, k:]))
+                            both[:, k:] = np.inf
+                            for e in range(0, len(i), MEASURED):
+                                one, two = i[e:e + MEASURED], c[e:e + MEASURED]
+                                both[one, k + two] = ((x[q[hit[one]]] - x[some[two]]) ** 2).sum(1)
+                            names = np.concatenate([who[hit], np.broadcast_to(some, (len(hit), len(some)))], axis=1)
+                            least = np.argpartition(both, k - 1, axis=1)[:, :k]
+                            best[hit], who[hit] = np.take_along_axis(both, least, 1), np.take_along_axis(names, least, 1)
+                            bound[hit] = np.minimum(bound[hit], best[hit].max(axis=1))
+                    found = np.flatnonzero(np.isfinite(best).any(axis=1))
+                    dist = np.sqrt(best[found])
+                    order = np.argsort(dist, axis=1, kind="stable")
+                    dist, named = np.take_along_axis(dist, order, 1), np.take_along_axis(who[found], order, 1)
+                    out_ids.append(ids[q[found]])
+                    out += several(dist, np.where(np.isfinite(dist), count[named], 0))
+            return pa.table([pa.array(np.concatenate(out_ids) if out_ids else [], pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=answer.names)
+        return sent.groupBy("_ti", "_tj").applyInArrow(meet, answer)
+
+    shape = spark.sparkContext.broadcast((cell, radius, pieces))
+
+    def asks(batch):
+        """(rows, row, cell) of parts of a batch: which cells are within reach of which state."""
+        cell, radius, _ = shape.value
+        for lo in range(0, batch.num_rows, PART):
+            part = batch.slice(lo, PART)
+            away = to(part.column(vec).flatten().to_numpy().astype(float).reshape(part.num_rows, -1), pivots.value)
+            mine = part.column("_cell").to_numpy()
+            at_least = np.maximum(away[:, cell] - radius[None, :], (away[:, cell] - away[np.arange(len(mine)), mine][:, None]) / 2)
+            yield part, *np.nonzero(at_least <= (part.column("_reach").to_numpy() * (1 + 1e-9) + 1e-9)[:, None])
+
+    def counted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(shape.value[2][j].sum()) for _, _, j in asks(batch))], pa.int64())], names=["n"])
+
+    if (asked.mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0) > ASKED * total:
+        rest = meet_in_tiles()
+    else:
+        plain = T.StructType([T.StructField("_id", T.LongType()), T.StructField(vec, T.ArrayType(T.DoubleType())), T.StructField("_cell", T.IntegerType()), T.StructField("_piece", T.IntegerType())])
+
+        def visits(batches):
+            cell, _, pieces = shape.value
+            for batch in batches:
+                for rows, row, j in asks(batch):
+                    # every piece of a cell within reach, but the own one
+                    row, at = np.repeat(row, pieces[j]), np.repeat(j, pieces[j])
+                    piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces[j]) - pieces[j], pieces[j])
+                    keep = (cell[at] != rows.column("_cell").to_numpy()[row]) | (piece != rows.column("_piece").to_numpy()[row])
+                    row, at, piece = row[keep], at[keep], piece[keep]
+                    for lo in range(0, len(row), MEET):
+                        some = pa.array(row[lo:lo + MEET])
+                        yield pa.RecordBatch.from_arrays([rows.column("_id").take(some), rows.column(vec).take(some), pa.array(cell[at[lo:lo + MEET]].astype(np.int32)),
+                                                          pa.array(piece[lo:lo + MEET].astype(np.int32))], names=plain.names)
+
+        sent = cut_lineage(asked.mapInArrow(visits, plain))
+        # A piece asked by many is copied once per slab_rows questions, so every group stays small.
+        parts = sent.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / slab_rows).cast("int").alias("_nq"))
+        sent = sent.join(parts, place).withColumn("_q", F.pmod(F.xxhash64("_id"), F.col("_nq")).cast("int")).drop("_nq")
+        held = points.join(parts, place).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))).drop("_nq")
+
+        def other(q, p):
+            if not len(q) or not len(p):
+                return pd.DataFrame({"_id": [], "_near": []})
+            return pd.DataFrame({"_id": q["_id"].to_numpy(), "_near": nearest(np.stack(q[vec].to_numpy()), np.stack(p[vec].to_numpy()), p["_c"].to_numpy())})
+
+        rest = sent.groupBy(*place, "_q").cogroup(held.groupBy(*place, "_q")).applyInPandas(other, "`_id` bigint, `_near` array<double>")
     merged = (first.select("_id", "_near").unionByName(rest).groupBy("_id")
               .agg(F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, k).alias("_near")))
     sums = points.select("_id", vec).join(merged, "_id").select(vec, F.aggregate("_near", F.lit(0.0), lambda t, v: t + v).alias("knn"))

@@ -96,6 +96,7 @@ def test_neighbours_meet_in_tiles(spark, monkeypatch, meet):
     from engram.operators import decode as E
     monkeypatch.setattr(E, "MEET", meet)
     monkeypatch.setattr(E, "PART", 7)
+    monkeypatch.setattr(E, "ASKED", -1)
     draw = np.random.default_rng(5)
     x = np.concatenate([draw.normal(size=(60, 6)), 40 + draw.normal(size=(40, 6)), np.zeros((5, 6)), np.full((20, 6), 1e3) + draw.normal(size=(20, 6)) * 1e-6])
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "frame long, vec array<double>")

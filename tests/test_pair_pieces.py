@@ -87,3 +87,12 @@ def test_all_correlations_without_a_join(spark):
     got = {(r["a"], r["b"]): r["r"] for r in out.collect()}
     assert got.keys() == {(a, b) for b in range(9) for a in range(b)}
     assert all(abs(v - np.corrcoef(m[a], m[b])[0, 1]) < 1e-9 for (a, b), v in got.items())
+
+
+def test_a_batch_ends_with_its_strip(spark):
+    """3,000 cells of a tile are multiplied in strips that no number of whole batches fills; the batch after the last one named cells of the next strip."""
+    cells = spark.range(3000).select(F.col("id").alias("cell"), F.floor(F.col("id") / 2).alias("bin"), (F.col("id") % 7 + 1.0).alias("v"))
+    got = {(r["a"], r["b"]): (r["n"], r["sxy"]) for r in X.pair_products(cells, None, [], "cell", "bin", "v", tiles=1).collect()}
+    assert got == {(a, a + 1): (1, (a % 7 + 1.0) * ((a + 1) % 7 + 1.0)) for a in range(0, 3000, 2)}
+    every = P.pearson_pairs(cells, [], "cell", "bin", "v", 1500, tiles=1).agg(F.count("r"), F.countDistinct("a"), F.sum((F.col("r") > 0.999).cast("int")), F.sum((F.col("b") > F.col("a")).cast("int"))).first()
+    assert tuple(every) == (3000 * 2999 // 2, 2999, 1500, 3000 * 2999 // 2)

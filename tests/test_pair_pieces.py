@@ -96,3 +96,15 @@ def test_a_batch_ends_with_its_strip(spark):
     assert got == {(a, a + 1): (1, (a % 7 + 1.0) * ((a + 1) % 7 + 1.0)) for a in range(0, 3000, 2)}
     every = P.pearson_pairs(cells, [], "cell", "bin", "v", 1500, tiles=1).agg(F.count("r"), F.countDistinct("a"), F.sum((F.col("r") > 0.999).cast("int")), F.sum((F.col("b") > F.col("a")).cast("int"))).first()
     assert tuple(every) == (3000 * 2999 // 2, 2999, 1500, 3000 * 2999 // 2)
+
+
+def test_all_distances(spark):
+    """centroid_distance kept the pairs within 1.2 only and left out all others."""
+    from engram.operators import joins as J
+    from engram.plans.catalog import ORACLE
+    rng = np.random.default_rng(2)
+    at = [(c, float(x), float(y)) for c, (x, y) in enumerate(60 * rng.random((30, 2)))]
+    out = J.centroid_distance(spark.createDataFrame(at + [(99, None, 1.0), (None, 2.0, 2.0)], "cell int, x double, y double"), [], "cell").collect()
+    assert {(r["a"], r["b"]): r["distance"] for r in out if r["b"] < 99} == pytest.approx({(a, b): np.hypot(ax - bx, ay - by) for (a, ax, ay), (b, bx, by) in itertools.combinations(at, 2)})
+    assert len(out) == 31 * 30 // 2 and all(r["distance"] is None for r in out if r["b"] == 99)
+    assert "1.2" not in ORACLE["centroid_distance"]

@@ -210,3 +210,21 @@ def test_multiplied_rows_are_not_shuffled(spark):
         s = 0 if r["shuffle"] == 0 else 10 + number(0, *([] if r["cell_id"] is None else [r["cell_id"]]), r["shuffle"]) % 30
         want = [(f + s) % 50 for f in (0, 7, 7, 11)]
         assert (r["n"], r["first"], r["last"], r["total"]) == (5, min(want), max(want), sum(want))
+
+
+def test_every_roll_makes_pairs_in_tiles_without_a_join(spark, monkeypatch):
+    """Two tables of all pairs were joined with each other and twice with the totals; the driver built their hash tables (corr_zscore_full)."""
+    from engram.functions import pairs as X
+    rng = np.random.default_rng(9)
+    m = np.where(rng.random((9, 12)) < 0.5, rng.integers(1, 6, (9, 12)), 0).astype(float)
+    m[2], m[5, 0], m[6, 0] = 3.0, 2.0, 4.0      # one constant cell
+    rows = [("s", c, b, float(m[c, b])) for c in range(9) for b in range(12) if m[c, b]]
+    df = spark.createDataFrame(rows + [("s", None, 0, 1.0), (None, 0, 0, 1.0), (None, 1, 1, 1.0)], "s string, cell bigint, bin bigint, v double")
+    monkeypatch.setattr(X, "NARROW", 4)      # three tiles
+    out = N.corr_zscore(df, ["s"], "cell", "bin", "v", 12, rolls=None)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["a"], r["b"]): r["z"] for r in out.collect()}
+    assert got.keys() == {(a, b) for b in range(9) for a in range(b)}
+    for (a, b), z in got.items():
+        sums = np.array([m[a] @ np.roll(m[b], k) for k in range(12)])
+        assert z is None if 2 in (a, b) else abs(z - (sums[0] - sums.mean()) / sums.std()) < 1e-9

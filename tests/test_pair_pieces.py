@@ -108,3 +108,20 @@ def test_all_distances(spark):
     assert {(r["a"], r["b"]): r["distance"] for r in out if r["b"] < 99} == pytest.approx({(a, b): np.hypot(ax - bx, ay - by) for (a, ax, ay), (b, bx, by) in itertools.combinations(at, 2)})
     assert len(out) == 31 * 30 // 2 and all(r["distance"] is None for r in out if r["b"] == 99)
     assert "1.2" not in ORACLE["centroid_distance"]
+
+
+def test_near_cells_are_correlated_in_tiles(spark):
+    """A row per near pair, session and vector met for every correlation (candidate_pairs_center)."""
+    rng = np.random.default_rng(4)
+    m = np.where(rng.random((2, 12, 30)) < 0.5, rng.random((2, 12, 30)), 0.0)
+    m[0, 3] = 0.0
+    rows = [(f"s{s}", c, b, float(m[s, c, b])) for s in range(2) for c in range(12) for b in range(30) if m[s, c, b]]
+    act = spark.createDataFrame(rows + [(None, 1, 0, 1.0), (None, 2, 0, 1.0), ("s0", None, 0, 1.0)], "s string, cell bigint, bin bigint, v double")
+    dist = spark.createDataFrame([(a, b, float(b - a)) for b in range(12) for a in range(b)], "a bigint, b bigint, distance double")
+    out = P.candidate_pairs_center(dist, act, ["s"], "cell", "bin", "v", 30, 4.0, 0.1)
+    assert "_xy" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {(f"s{s}", a, b) for s in range(2) for b in range(12) for a in range(max(b - 4, 0), b) if m[s, a].any() and m[s, b].any() and np.corrcoef(m[s, a], m[s, b])[0, 1] >= 0.1}
+    assert {tuple(r) for r in out.collect()} == want and len(want) > 10
+    kept = P.pearson_pairs(act, ["s"], "cell", "bin", "v", 30, tiles=3, r_min=0.1).collect()
+    every = P.pearson_pairs(act, ["s"], "cell", "bin", "v", 30).filter("r >= 0.1").collect()
+    assert {(r["s"], r["a"], r["b"]) for r in kept} == {(r["s"], r["a"], r["b"]) for r in every} and len(kept) == len(every)
